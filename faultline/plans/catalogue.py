@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import case_queries, model_queries, table_queries, vector_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _part in (vector_queries, table_queries, case_queries, model_queries):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
