@@ -162,7 +162,8 @@ def grades_of(labels: DataFrame, id_name: str = "doc_id", quality: str = "qualit
 def learn(docs: DataFrame, graded: DataFrame, id_name: str = "doc_id", text_name: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fits on the ``sample_docs`` rated documents that a hash of doc_id puts first."""
     chosen = graded.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    picked = docs.join(F.broadcast(chosen), F.col(id_name) == chosen["id"])  # bounded by the sample
+    texts = docs.select(F.col(id_name).alias("id"), F.col(text_name).alias("text"))
+    picked = texts.join(F.broadcast(chosen), "id")  # bounded by the sample
 
     def make():
         features = Features()
@@ -174,7 +175,7 @@ def learn(docs: DataFrame, graded: DataFrame, id_name: str = "doc_id", text_name
         return numbers
 
     carry = [F.col("id"), F.col("grade").cast("long").alias("grade")]
-    rows = sorted(text_map(picked, F.col(text_name), carry, "numbers binary", make).collect(), key=lambda r: (r.id, bytes(r.numbers)))
+    rows = sorted(text_map(picked, F.col("text"), carry, "numbers binary", make).collect(), key=lambda r: (r.id, bytes(r.numbers)))
     if not rows:
         return fit([], np.zeros(0, np.int64))
     return fit([np.frombuffer(bytes(r.numbers), dtype="<u4").astype(np.int64) for r in rows], np.array([r.grade for r in rows]))
