@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..rules import CONTROL_WORDS, DEFINITION_HEAD
 
@@ -20,6 +21,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space, Unicode's included, at the ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def tokens(c: Column) -> Column:
     """Words and single signs in order; the default where no trained tokenizer is given."""
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
@@ -36,7 +42,7 @@ def snippet(token_array: Column, n_tokens: int = 50, n_chars: int = 200) -> Colu
 
 
 def without_blank_lines(c: Column) -> Column:
-    return F.array_join(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), "\n")
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: strip(x) != ""), "\n")
 
 
 def strip_comments(c: Column) -> Column:
@@ -46,7 +52,7 @@ def strip_comments(c: Column) -> Column:
     return without_blank_lines(F.array_join(kept, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_python_comments(source: pd.Series) -> pd.Series:
     """Python source without comments and docstrings, blank lines dropped; source that does not tokenize is kept."""
     import io
@@ -116,7 +122,7 @@ def cache_key(code: Column, vuln_type: Column, exploit_id: Column) -> Column:
 
 def is_valid(code: Column, payload: Column) -> Column:
     """Both hold something other than white space."""
-    return (F.length(squeeze(code)) > 0) & (F.length(squeeze(payload)) > 0)
+    return (strip(code) != "") & (strip(payload) != "")
 
 
 def triage_prompt(code: Column, vuln_type: Column, cwe: Column, score: Column, context: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..rules import (
     CATEGORY_CONFIDENCE, CATEGORY_SOURCE, CWE, DIRECT, MAX_OUTPUT, PROFILES, SIGNALS, SUGGESTIVE, VALGRIND,
 )
@@ -70,7 +71,7 @@ def asan_report(text: Column) -> Column:
         F.coalesce(F.regexp_extract(text, access, 2).try_cast("int"), F.lit(0)).alias("access_size"),
         F.regexp_extract(text, access, 3).alias("address"),
         F.regexp_extract(text, r"(Address 0x[0-9a-fA-F]+ is .+)", 1).alias("description"),
-        F.transform(frames, lambda f: F.concat(F.lit("#"), F.regexp_extract(f, frame, 1), F.lit(" "), F.regexp_extract(f, frame, 2), F.lit(" ("), F.trim(F.regexp_extract(f, frame, 3)), F.lit(")"))).alias("stack_frames"),
+        F.transform(frames, lambda f: F.concat(F.lit("#"), F.regexp_extract(f, frame, 1), F.lit(" "), F.regexp_extract(f, frame, 2), F.lit(" ("), strip(F.regexp_extract(f, frame, 3)), F.lit(")"))).alias("stack_frames"),
     )
 
 
@@ -129,7 +130,7 @@ def classify(logs: DataFrame) -> DataFrame:
 def execution_log(raw: DataFrame, returncode: str = "returncode") -> DataFrame:
     """From raw tool output: exit_code stated in it (else the return code), compiled, the valgrind section, cut outputs."""
     output = combined(F.col("stdout"), F.col("stderr"))
-    section = F.trim(F.regexp_extract(output, r"(?s)===VALGRIND_START===(.*?)===VALGRIND_END===", 1))
+    section = strip(F.regexp_extract(output, r"(?s)===VALGRIND_START===(.*?)===VALGRIND_END===", 1))
     compiled = F.contains(output, F.lit("===COMPILATION_OK==="))
     return raw.select(
         *[c for c in raw.columns if c not in ("stdout", "stderr", returncode)],

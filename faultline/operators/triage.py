@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import strip
 
 VERDICTS = ("true_positive", "false_positive", "uncertain")
 FENCE = "```"
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def _without_fence(text: Column) -> Column:
     """What stands inside a fence that opens the text; null where none does."""
     body = F.regexp_replace(text, r"(?s)\A[^\n]*\n", "")
@@ -24,7 +20,7 @@ def _without_fence(text: Column) -> Column:
 
 def json_candidates(response: Column) -> Column:
     """Texts that may be the JSON, most trusted first: fenced, raw, an object naming a verdict, the widest braces."""
-    text = _strip(response)
+    text = strip(response)
     named = F.regexp_extract_all(response, F.lit(r'\{[^{}]*"verdict"[^{}]*\}'), F.lit(0))
     widest = F.regexp_extract(response, r"(?s)\{.*\}", 0)
     return F.concat(F.array(_without_fence(text), text), named, F.array(widest))
@@ -32,7 +28,7 @@ def json_candidates(response: Column) -> Column:
 
 def extracted_json(response: Column) -> Column:
     """The first candidate that parses, as text; null when none does."""
-    return F.get(F.filter(json_candidates(response), lambda c: c.isNotNull() & (F.length(squeeze(c)) > 0) & F.try_parse_json(c).isNotNull()), 0)
+    return F.get(F.filter(json_candidates(response), lambda c: c.isNotNull() & (strip(c) != "") & F.try_parse_json(c).isNotNull()), 0)
 
 
 def parse_triage(responses: DataFrame, response: str = "response") -> DataFrame:
@@ -62,5 +58,5 @@ def adapter_json(response: Column) -> Column:
 
 def code_block(response: Column) -> Column:
     """The first fenced C block if it has a main function, else null."""
-    body = _strip(F.regexp_extract(response, r"(?s)```(?:c|cpp)?\s*\n(.*?)```", 1))
+    body = strip(F.regexp_extract(response, r"(?s)```(?:c|cpp)?\s*\n(.*?)```", 1))
     return F.when(F.contains(body, F.lit("main(")) | F.contains(body, F.lit("int main")), body)

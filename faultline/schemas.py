@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql.types import StructType
 
 _DDL = {
@@ -39,4 +41,18 @@ _DDL = {
     ),
 }
 
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+class _Schemas(Mapping):
+    """Parsed when first asked for: parsing needs a session, importing must not."""
+
+    def __getitem__(self, name: str) -> StructType:
+        return StructType.fromDDL(_DDL[name])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_DDL)
+
+    def __len__(self) -> int:
+        return len(_DDL)
+
+
+SCHEMAS = _Schemas()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
 from ..operators.taint import sink_category
 from ..schemas import SCHEMAS
 
@@ -26,7 +27,7 @@ def _objects(lines: DataFrame, text: str) -> DataFrame:
 
 def repairing_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """func, target: blank lines skipped, a missing opening brace added, bad lines dropped; ``limit`` counts good rows."""
-    line = F.trim("value")
+    line = strip(F.col("value"))
     lines = spark.read.text(path).filter(line != "").withColumn("value", F.when(line.startswith("{"), line).otherwise(F.concat(F.lit("{"), line)))
     rows = _objects(lines, "value").select(
         F.coalesce("__o.func", F.lit("")).alias("func"), F.coalesce(F.col("__o.target").try_cast("int"), F.lit(0)).alias("target")
@@ -40,13 +41,13 @@ def batch_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     lines = numbered_lines(spark, path)
     if limit:
         lines = lines.filter(F.col("line_no") < limit)
-    lines = lines.filter(F.trim("value") != "")
+    lines = lines.filter(strip(F.col("value")) != "")
     o = F.from_json("value", _LOOSE, {"mode": "FAILFAST"})
     rows = lines.withColumn("__o", o).select(
         "line_no", F.coalesce("__o.func", "__o.code", F.lit("")).alias("code"),
         F.coalesce(F.col("__o.target").try_cast("int"), F.col("__o.label").try_cast("int"), F.lit(-1)).alias("label"),
     )
-    return rows.filter(F.trim("code") != "")
+    return rows.filter(strip(F.col("code")) != "")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +67,7 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def split_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct whole numbers, one a line."""
-    return spark.read.text(path).select(F.trim("value").cast("long").alias("idx")).distinct()
+    return spark.read.text(path).select(strip(F.col("value")).cast("long").alias("idx")).distinct()
 
 
 def template_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +117,7 @@ def vector_index(spark: SparkSession, path: str) -> DataFrame:
 
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """word, vector: lines of a word and its numbers; lines of two fields or fewer (headings) are skipped."""
-    parts = F.split(F.trim("value"), " ")
+    parts = F.split(strip(F.col("value")), " ")
     rows = spark.read.text(path).withColumn("p", parts).filter(F.size("p") > 2)
     return rows.select(F.get("p", 0).alias("word"), F.slice("p", 2, 1 << 30).cast("array<float>").alias("vector"))
 
@@ -129,7 +130,7 @@ def graph_tool_rows(outputs: DataFrame, id_name: str = "sample_id", output: str
 
     The section of a line is that of the last heading before it, found inside the row's own array: no window.
     """
-    lines = F.transform(F.split(F.trim(F.regexp_replace(output, r"\A\s+|\s+\z", "")), "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(strip(F.col(output)), "\n"), strip)
     headings = F.array(*[F.lit(h) for h in SECTIONS])
     names = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
     flat = outputs.select(F.col(id_name).alias("sample_id"), lines.alias("ls")).select("sample_id", "ls", F.posexplode(F.filter(F.transform("ls", lambda x, i: F.struct(F.when(F.array_contains(headings, x), F.element_at(names, x)).alias("section"), i.alias("i"))), lambda s: s["section"].isNotNull())).alias("h", "s"))
