@@ -35,10 +35,28 @@ def hash_order(id_name: str, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_name).cast("string"))), F.col(id_name)]
 
 
+DIGITS = 4
+
+
 def sample(rows: DataFrame, share: float, id_name: str = "idx", seed: int = 10) -> DataFrame:
-    """``int(share * n)`` rows in hash order."""
-    n = int(share * rows.count())
-    return rows.orderBy(*hash_order(id_name, seed)).limit(n)
+    """``int(share * n)`` rows, the first in hash order, without sorting them.
+
+    Rows are counted by the first digits of their hash; digits below the one where the share is reached are taken
+    whole, and only the rows of that one are ranked. What reaches the driver is one count per digit group.
+    """
+    order, _ = hash_order(id_name, seed)
+    marked = rows.withColumn("__h", order).withColumn("__d", F.substring("__h", 1, DIGITS))
+    counts = sorted((r["__d"], r["count"]) for r in marked.groupBy("__d").count().collect())  # at most 16^DIGITS
+    left, last = int(share * sum(n for _, n in counts)), ""
+    for digits, n in counts:
+        last = digits
+        if n > left:
+            break
+        left -= n
+    else:
+        return rows
+    edge = marked.filter(F.col("__d") == last).withColumn("__n", F.row_number().over(Window.partitionBy("__d").orderBy("__h", id_name)))
+    return marked.filter(F.col("__d") < last).drop("__h", "__d").unionByName(edge.filter(F.col("__n") <= left).drop("__h", "__d", "__n"))
 
 
 def replay_mix(new: DataFrame, old: DataFrame, share: float, id_name: str = "idx", seed: int = 10) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import call_names
+from ..plans.lineage import cut
 from ..rules import CONTROL_WORDS, DEFINITION, SINKS, SOURCES
 
-PATH_CAP, CONTEXT_PATHS, CONTEXT_EDGES, CALLER_DEPTH = 20, 5, 10, 50
+PATH_CAP, CONTEXT_PATHS, CONTEXT_EDGES = 20, 5, 10
 
 
 def lines_of(samples: DataFrame, id_name: str = "sample_id", code: str = "code") -> DataFrame:
@@ -101,31 +102,26 @@ def call_edges(samples: DataFrame, functions: DataFrame, id_name: str = "sample_
     return met.select("sample_id", "caller", "callee", "line").distinct()
 
 
-def callers(edges: DataFrame, wanted: DataFrame, depth: int = CALLER_DEPTH) -> DataFrame:
+def callers(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """sample_id, func, caller: everything that reaches ``func`` (``wanted``: sample_id, func), itself excluded.
 
-    Rounds of an equi-join from the last round's new callers, each cut by a reliable checkpoint; it ends when a round
-    adds nothing.
+    Rounds of an equi-join from the last round's new callers, each written to the shared folder; it ends when a round
+    adds nothing, cycles included.
     """
-    step = edges.select("sample_id", "caller", "callee").distinct().cache()
+    step = edges.select("sample_id", "caller", "callee").distinct()
+    step = cut(step, "calls")
     seen = wanted.select("sample_id", "func", F.col("func").alias("caller")).distinct()
     fresh = seen
-    for _ in range(depth):
+    while True:
         reach = fresh.select("sample_id", "func", F.col("caller").alias("callee")).join(step, ["sample_id", "callee"]).select("sample_id", "func", "caller").distinct()
         fresh = reach.join(seen, ["sample_id", "func", "caller"], "left_anti")
-        fresh = _cut(fresh)
+        fresh = cut(fresh, "callers")
         if fresh.isEmpty():
             break
         seen = seen.union(fresh)
     return seen.filter("caller <> func")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from ..plans.lineage import cut
-
-    return cut(df)
-
-
 def context(path: DataFrame, edge: DataFrame, samples: DataFrame, id_name: str = "sample_id") -> DataFrame:
     """sample_id, taint_context: up to five paths and ten distinct calls as text, empty without any."""
     shown = path.filter(F.col("path_no") <= CONTEXT_PATHS).withColumn("t", F.format_string("  %d. %s(line %d) -[direct]-> %s(line %d) [%s]", "path_no", "source_func", F.col("source_line").cast("int"), "sink_func", F.col("sink_line").cast("int"), "sink_category"))

@@ -20,7 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+def written(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and where it is."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    return written(df, label)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing reads any more, by the file system they are on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        p = hadoop(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -88,3 +88,19 @@ def test_index_grows_from_a_stream(spark, tmp_path):
     stream.score_stream(spark.readStream.schema(new.schema).parquet(str(tmp_path / "in")), grown, str(tmp_path / "scores"), str(tmp_path / "c2"), k=3).awaitTermination()
     scored = spark.read.parquet(str(tmp_path / "scores"))
     assert scored.count() == 12 and scored.filter("faiss_score between 0 and 1").count() == 12
+
+
+def test_command_line(spark, tmp_path):
+    from faultline import cli
+
+    samples = spark.createDataFrame([(1, "int f(char *argv) { system(argv); }", 0.9, [1.0, 0.0])], "sample_id long, code string, cls_prob double, embedding array<double>")
+    samples.write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(9, [1.0, 0.1], 1, "exec")], "vec_id long, embedding array<double>, label int, vuln_type string").write.parquet(str(tmp_path / "v"))
+    cli.main(["index", "--vectors", str(tmp_path / "v"), "--path", str(tmp_path / "i")])
+    cli.main(["scan", "--samples", str(tmp_path / "s"), "--index", str(tmp_path / "i"), "--out", str(tmp_path / "o"), "--report"])
+    got = json.loads(spark.read.text(str(tmp_path / "o/json")).first().value)
+    assert got["vuln_type"] == "exec" and got["verdict"] == "SUGGESTIVE" and "system" in got["taint_context"]
+    spark.createDataFrame([(1, 1, 0.9, 1.0), (0, 1, 0.2, 3.0), (0, 0, 0.1, 2.0)], "prediction int, label int, score double, seconds double").write.parquet(str(tmp_path / "p"))
+    cli.main(["evaluate", "--predictions", str(tmp_path / "p"), "--out", str(tmp_path / "m")])
+    m = spark.read.json(str(tmp_path / "m")).first()
+    assert (m.recall, m.auc, m.median_time) == (0.5, 1.0, 2.0)
