@@ -1,14 +1,11 @@
 """Shared plumbing of the training-data operators.
 
-Two things live here: ``text_map``/``text_filter``, which push one text column through an
-Arrow-batched Python function while bounding how much of it is held at a time, and ``materialize``,
-which cuts lineage by writing a table into the shared checkpoint folder of the cluster.
+``text_map`` and ``text_filter`` push one text column through an Arrow-batched Python function while bounding how much
+of it is held at a time.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -26,10 +23,6 @@ LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
 
 
-#: The folder used where the session names none.
-_own_dir: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,24 +32,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="faultline-"))
-        found = _own_dir[0]
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a plan boundary that outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """(offset, texts) runs of a batch, so that a batch of long texts is not unpacked at once."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()

@@ -38,7 +38,8 @@ TEMPLATES = (
     ("under the [[terms of the]] gnu [[lesser]] general public license [[as published by the free software foundation]] [[either]] version 2", "gpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("creative commons attribution [[4 0]] [[international]] [[public]] license", "cc-by"),
-    ("creative commons attribution non [[]]commercial [[4 0]] [[international]] [[public]] license", "cc-by-nc"),
+    ("creative commons attribution noncommercial [[4 0]] [[international]] [[public]] license", "cc-by-nc"),
+    ("creative commons attribution non commercial [[4 0]] [[international]] [[public]] license", "cc-by-nc"),
     ("licensed under [[a]] [[the]] cc by nc", "cc-by-nc"),
     ("copyright [[c]] {{1}} [[by]] {{4}} all rights reserved", "all-rights-reserved"),
 )
@@ -178,3 +179,40 @@ def scan_licenses(docs: DataFrame, id_name: str, text_name: str, base=BASE, temp
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _pattern(template: str) -> str:
+    """A template over text where each word stands between two spaces of its own."""
+    out = ""
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        out += {"[[": "(?:", "]]": ")?"}.get(token) or (f"(?: [^ ]+ ){{0,{token[2:-2]}}}" if token.startswith("{{") else f" {token} ")
+    return out
+
+
+def _matches_sql() -> str:
+    parts = []
+    for template, label in (*BASE, *TEMPLATES):
+        mandatory = Automaton(template).mandatory
+        parts.append(f"SELECT doc_id, '{label}' AS label, list_max(list_transform(regexp_extract_all(s, '{_pattern(template)}'), lambda m: {mandatory} / len(string_split(trim(m), '  '))::DOUBLE)) AS score FROM s WHERE regexp_matches(s, '{_pattern(template)}')")
+    return " UNION ALL ".join(parts)
+
+
+def _places_sql() -> str:
+    parts = []
+    for phrase, label in BASE:
+        words = phrase.split()
+        stands = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        parts.append(f"SELECT doc_id, '{label}' AS label, i - 1 AS pos FROM p, unnest(range(1, len(w) - {len(words) - 2})) AS r(i) WHERE len(w) >= {len(words)} AND list_contains(w, '{words[-2]}') AND {stands}")
+    return " UNION ALL ".join(parts)
+
+
+#: The scan in DuckDB: base phrases by position, templates as regular expressions.
+OP5_SQL = f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS s FROM p),
+b AS ({_places_sql()}), m AS ({_matches_sql()}),
+bg AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+mg AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM m GROUP BY 1)
+SELECT p.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM p LEFT JOIN bg USING (doc_id) LEFT JOIN mg USING (doc_id)"""

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .language import op8_language
-from .licenses import op5_licenses
+from .licenses import OP5_SQL, op5_licenses
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op2_packing
 from .quality import op7_quality
 from .rabitq import OP3_SQL, op3_rabitq
-from .repetition import op6_repetition
+from .repetition import OP6_SQL, op6_repetition
 from .simhash import op4_simhash
 from .token_counts import op9_token_counts
 from .url_rules import OP10_SQL, op10_url_rules
@@ -20,4 +20,4 @@ QUERIES = {
         op9_token_counts, op10_url_rules,
     )
 }
-SQL = {"op1_mixing": OP1_SQL, "op3_rabitq": OP3_SQL, "op10_url_rules": OP10_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op3_rabitq": OP3_SQL, "op5_licenses": OP5_SQL, "op6_repetition": OP6_SQL, "op10_url_rules": OP10_SQL}

@@ -172,4 +172,32 @@ def keep_unrepetitive(docs: DataFrame, text_name: str = "text", **limits) -> Dat
 
 
 def op6_repetition(spark, sf_dir: str) -> DataFrame:
-    return repetition_report(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = repetition_report(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.drop("longest_repeat", "n_intervals")
+
+
+def _covered_sql(size: int) -> str:
+    """Positions covered by windows of ``size`` words that occur twice or more in their document."""
+    return f"""SELECT doc_id, count(*) AS covered FROM (
+      SELECT DISTINCT doc_id, i + d AS pos FROM (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM (
+          SELECT doc_id, i, hash(w[i:i + {size - 1}]) AS g FROM t, unnest(range(1, len(w) - {size - 2})) AS r(i) WHERE len(w) >= {size}))
+      , unnest(range({size})) AS s(d) WHERE times > 1) GROUP BY 1"""
+
+
+def _longer_sql(size: int) -> str:
+    """Documents where some window of ``size`` words occurs twice or more."""
+    return f"""SELECT DISTINCT doc_id FROM (SELECT doc_id, hash(w[i:i + {size - 1}]) AS g FROM t, unnest(range(1, len(w) - {size - 2})) AS r(i) WHERE len(w) >= {size}) GROUP BY doc_id, g HAVING count(*) > 1"""
+
+
+#: The rules in DuckDB by counting windows, with no suffix array.
+OP6_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM t),
+c AS ({_covered_sql(MIN_WORDS)}), o AS ({_longer_sql(LONGEST_WORDS + 1)}),
+b AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars,
+  (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(covered, 0)::BIGINT AS n_repeat_words, o.doc_id IS NOT NULL AS longer
+  FROM t JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)),
+f AS (SELECT *, n_words < {FEW_WORDS} OR 100 * n_repeat_words > {MOST_PERCENT} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT longer AS kept FROM f"""

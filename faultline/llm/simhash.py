@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, materialize, table, text_map
+from ..plans.lineage import cut, discard, written
+from .common import LOWER_AZ, table, text_map
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: (shift, width) of the segments, lowest bits first.
@@ -163,7 +164,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, that connect exactly the fingerprints connected by distances of two bits or less."""
     keyed = with_keys(distinct)
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(keyed.join(buckets, "key"), "golay-members")
+    members, members_at = written(keyed.join(buckets, "key"), "golay-members")
     near = F.transform(
         F.col("fps"),
         lambda a: F.transform(
@@ -182,13 +183,15 @@ def links(distinct: DataFrame) -> DataFrame:
         .filter(F.size("fps") > 1)
     )
     stars = met.select(F.element_at("fps", 1).alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
-    return pairs.union(stars).distinct()
+    found = cut(pairs.union(stars).distinct(), "links")
+    discard(distinct.sparkSession, members_at)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the smallest node of its component."""
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
-    last = None
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last, last_at = None, None
     while True:
         # large star: neighbours above a node move to the smallest node around it
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -198,9 +201,12 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("b").agg(F.min("a").alias("low"))
         moved = large.join(lower, "b").select(F.col("low").alias("a"), F.col("a").alias("x"), F.col("b").alias("y"))
         small = moved.select("a", F.explode(F.array("x", "y")).alias("b")).filter("a < b").distinct()
-        edges = materialize(small, "stars")
+        edges, at = written(small, "stars")
+        if last_at:
+            discard(edges.sparkSession, last_at)
+        last_at = at
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
+        if state == last:  # every edge joins a root to one of its nodes
             break
         last = state
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -209,15 +215,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
     """doc_id, fp, component_id: one row per document."""
-    printed = materialize(fingerprints(docs, id_name, text_name), "fingerprints")
-    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = materialize(distinct, "distinct-fingerprints")
+    printed = cut(fingerprints(docs, id_name, text_name), "fingerprints")
+    distinct, distinct_at = written(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     root_of = components(links(distinct))
     grouped = distinct.join(root_of, distinct["fp"] == root_of["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(grouped.join(smallest, "root").select("fp", "component_id"), "components")
+    named = cut(grouped.join(smallest, "root").select("fp", "component_id"), "components")
+    discard(docs.sparkSession, distinct_at)
     return printed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -226,13 +232,13 @@ def drop_near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: st
 
     A row that repeats a kept doc_id goes as well. Rows with a null doc_id stay: they cannot be told apart.
     """
-    found = materialize(near_duplicates(docs, id_name, text_name), "near-duplicates")
+    found = cut(near_duplicates(docs, id_name, text_name), "near-duplicates")
     go = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     left = docs.join(go, F.col(id_name) == F.col("__id"), "left_anti")
     again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"))
     if again.isEmpty():
         return left
-    again = materialize(again, "repeated-ids")
+    again = cut(again, "repeated-ids")
     once = left.join(again, F.col(id_name) == F.col("__id"), "left_semi").dropDuplicates([id_name])
     return left.join(again, F.col(id_name) == F.col("__id"), "left_anti").unionByName(once)
 
