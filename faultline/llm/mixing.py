@@ -127,7 +127,7 @@ def mix(
     )
 
     def position(offset: Column) -> Column:
-        share = offset / F.col("target")
+        share = F.try_divide(offset.cast("double"), F.col("target"))
         found = None
         for k, knots in enumerate(schedules):
             at = invert(share, knots)

@@ -553,3 +553,8 @@ def test_url_rules_against_brute_force(spark):
     blocked = {urls[i] for i, r in got.items() if r.rule is None and r.verdict == "block"}
     assert blocked == {"http://best-casino.io/", "http://x.io/free-bonus/", "http://x.io/\nen/casino", "http://x.io/win_bet"}
     assert url_rules.judge_urls(df.limit(0), "page_id", "url").count() == 0
+
+
+def test_mix_without_words(spark):
+    df = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.taken, r.target, r.position) for r in mixing.mix(df).collect()) == [(1, 0, 0.0, None), (2, 0, 0.0, None)]
