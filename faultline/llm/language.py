@@ -6,8 +6,9 @@ Every language has a few centroids, found by spherical k-means over its own samp
 several manners is not averaged into one. The nearest centroid by cosine names the language; a text further from
 it than any text of the sample, with a margin, is marked ``rejected``.
 
-The fit reads at most ``SAMPLE_DOCS`` documents, dealt evenly to the languages and picked by a hash of doc_id, none
-of them held out (crc32 of the id divisible by 5). Scoring is row-wise without a shuffle: the model has a fixed
+The fit reads at most ``SAMPLE_DOCS`` documents, dealt evenly to the languages (20 each at least, of the
+``MOST_LANGUAGES`` with most documents) and picked by a hash of doc_id, none of them held out (crc32 of the id divisible
+by 5). Scoring is row-wise without a shuffle: the model has a fixed
 size per language.
 
 Defined cases: a null text, or one without a letter of any script, is ``und`` with score 0 and not rejected; with
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table, text_map
 
 DIM, CENTROIDS, ROUNDS, SEED = 4096, 3, 12, 7
-SAMPLE_DOCS, PER_LANGUAGE = 4000, 500
+SAMPLE_DOCS, PER_LANGUAGE, MOST_LANGUAGES = 4000, 500, 1000
 MARGIN, FOLDS = 1.25, 5
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -133,10 +134,14 @@ def learn(docs: DataFrame, id_name: str, text_name: str, lang_name: str, sample_
     id_text = F.col(id_name).cast("string")
     learnable = docs.filter(F.col(lang_name).isNotNull() & F.col(text_name).isNotNull() & (F.crc32(id_text) % FOLDS != 0))
     ids = learnable.select(F.col(lang_name).cast("string").alias("lang"), F.col(id_name).alias("id"))
-    n_languages = ids.select("lang").distinct().count()
-    quota = max(20, min(per_language, sample_docs // max(1, n_languages)))
+    sizes = {r.lang: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    quota = max(20, min(per_language, sample_docs // max(1, len(sizes))))
+    # a hash lets through about twice the quota of each language, so that no task ranks a language half the rows share
+    share = {lang: min(1 << 20, 2 * quota * (1 << 20) // n + 1) for lang, n in sizes.items()} or {"": 0}
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select("id").distinct()
+    chosen = ids.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < limit)
+    chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select("id").distinct()
     picked = learnable.join(F.broadcast(chosen), F.col(id_name) == chosen["id"], "left_semi")  # bounded by the sample
 
     def make():
