@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..rules import CONTROL_WORDS, DEFINITION_HEAD
+from ..rules import ANY_HEAD, APART, CONTROL_WORDS, DEFINITION_HEAD, DIRT, TAILS
 
 TOKEN = r"\w+|[^\w\s]"
 CALL = r"\b(\w+)\s*\("
@@ -86,11 +86,11 @@ def strip_python_comments(source: pd.Series) -> pd.Series:
 
 def clean_words(c: Column, contractions: bool = True) -> Column:
     """Lower-case text of letters, digits and few signs, those set apart; signs of grouping keep their escape."""
-    c = F.regexp_replace(c, r"[^A-Za-z0-9(),!?'`]", " ")
+    c = F.regexp_replace(c, DIRT, " ")
     if contractions:
-        for tail in ("'s", "'ve", "n't", "'re", "'d", "'ll"):
+        for tail in TAILS:
             c = F.replace(c, F.lit(tail), F.lit(f" {tail}"))
-        for sign, apart in ((",", " , "), ("!", " ! "), ("(", r" \( "), (")", r" \) "), ("?", r" \? ")):
+        for sign, apart in APART:
             c = F.replace(c, F.lit(sign), F.lit(apart))
     return F.lower(F.trim(F.regexp_replace(c, r"\s{2,}", " ")))
 
@@ -98,7 +98,7 @@ def clean_words(c: Column, contractions: bool = True) -> Column:
 def function_name(code: Column, default: str = "vulnerable_function") -> Column:
     """The first definition's name; of each of two patterns only the first match is looked at."""
     skip = (*CONTROL_WORDS, "main")
-    found = [F.regexp_extract(code, p, 1) for p in (DEFINITION_HEAD, r"(\w+)\s*\([^)]*\)\s*\{")]
+    found = [F.regexp_extract(code, p, 1) for p in (DEFINITION_HEAD, ANY_HEAD)]
     return F.coalesce(*[F.when((f != "") & ~f.isin(*skip), f) for f in found], F.lit(default))
 
 

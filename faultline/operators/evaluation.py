@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import inner
+from ..plans.lineage import cut
 
 TINY = 1e-10
 
@@ -46,12 +47,13 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> Da
     """Area under the ROC curve by midranks of the distinct scores; 0 when one class is missing.
 
     Equal scores meet in one row first. The running count over distinct scores is split by score range, so no task
-    holds more than its range: a range's offset comes from the totals of the ranges below it.
+    holds more than its range: a range's offset comes from the totals of the ranges below it. The ranges are written
+    down, because two samplings need not draw the same ones.
     """
     tied = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
-    parts = tied.repartitionByRange("s").withColumn("part", F.spark_partition_id())
+    parts = cut(tied.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "score-ranges")
     totals = parts.groupBy("part").agg(F.sum("neg").alias("below"))
     earlier = totals.alias("t").join(totals.alias("u"), F.col("u.part") < F.col("t.part"), "left").groupBy("t.part").agg(F.coalesce(F.sum("u.below"), F.lit(0)).alias("offset"))
     within = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

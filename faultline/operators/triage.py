@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..rules import CODE_FENCE, JSON_FENCE, NESTED_OBJECT, TRIAGE_VERDICTS, VERDICT_OBJECT
 
-VERDICTS = ("true_positive", "false_positive", "uncertain")
 FENCE = "```"
 
 
@@ -21,7 +21,7 @@ def _without_fence(text: Column) -> Column:
 def json_candidates(response: Column) -> Column:
     """Texts that may be the JSON, most trusted first: fenced, raw, an object naming a verdict, the widest braces."""
     text = strip(response)
-    named = F.regexp_extract_all(response, F.lit(r'\{[^{}]*"verdict"[^{}]*\}'), F.lit(0))
+    named = F.regexp_extract_all(response, F.lit(VERDICT_OBJECT), F.lit(0))
     widest = F.regexp_extract(response, r"(?s)\{.*\}", 0)
     return F.concat(F.array(_without_fence(text), text), named, F.array(widest))
 
@@ -43,7 +43,7 @@ def parse_triage(responses: DataFrame, response: str = "response") -> DataFrame:
     none = F.col("__json").isNull()
     return out.select(
         *responses.columns,
-        F.when(~none & verdict.isin(*VERDICTS), verdict).otherwise("uncertain").alias("verdict"),
+        F.when(~none & verdict.isin(*TRIAGE_VERDICTS), verdict).otherwise("uncertain").alias("verdict"),
         F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(stated, F.lit(0.5))))).alias("confidence"),
         F.when(none, F.concat(F.lit("Failed to parse LLM response: "), F.substring(raw, 1, 500))).otherwise(F.coalesce(said, F.lit("No reasoning provided"))).alias("reasoning"),
     )
@@ -51,12 +51,12 @@ def parse_triage(responses: DataFrame, response: str = "response") -> DataFrame:
 
 def adapter_json(response: Column) -> Column:
     """JSON of a generator's response: a ``json`` fence, else braces nested once; null when neither parses."""
-    fenced = F.regexp_extract(response, r"(?s)```json\s*\n(.*?)```", 1)
-    braces = F.regexp_extract(response, r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0)
+    fenced = F.regexp_extract(response, JSON_FENCE, 1)
+    braces = F.regexp_extract(response, NESTED_OBJECT, 0)
     return F.coalesce(*[F.when((c != "") & F.try_parse_json(c).isNotNull(), c) for c in (fenced, braces)])
 
 
 def code_block(response: Column) -> Column:
     """The first fenced C block if it has a main function, else null."""
-    body = strip(F.regexp_extract(response, r"(?s)```(?:c|cpp)?\s*\n(.*?)```", 1))
+    body = strip(F.regexp_extract(response, CODE_FENCE, 1))
     return F.when(F.contains(body, F.lit("main(")) | F.contains(body, F.lit("int main")), body)
