@@ -1,10 +1,10 @@
 """Token counts by byte-pair merging, without emitting identifiers.
 
-Each text is cut where no piece of the vocabulary can reach across (before a run of word-start marks, and around
-line feeds when no piece holds one). In each part the symbols form a doubly linked list and a heap holds the
-mergeable adjacent pairs: the lowest rank (highest score), leftmost first, is merged until none is left. The count
-is symbols minus merges, where a symbol unknown to the vocabulary stands for its UTF-8 bytes. Parts repeat, so
-their counts are kept in a bounded cache per Python worker.
+Each text is cut where no piece of the vocabulary can reach across: before a run of word-start marks, around line feeds
+when no piece holds one, and between characters that stand together in no piece. In each part the symbols form a doubly
+linked list and a heap holds the mergeable adjacent pairs: the lowest rank (highest score), leftmost first, is merged
+until none is left. The count is symbols minus merges, where a symbol unknown to the vocabulary stands for its UTF-8
+bytes. Parts repeat, so their counts are kept in bounded caches per Python worker.
 
 Defined cases: null and empty texts have 0 tokens; strings that look like special tokens are ordinary text;
 repeated rows give repeated rows; an empty table gives none; no text is truncated.
@@ -26,55 +26,76 @@ CACHE_ENTRIES, CACHED_CHARS, LIMIT = 400_000, 64, 4096
 
 
 class Merger:
-    """Counts the pieces of one part; ``ranks`` maps a piece to its rank, lower merged first."""
+    """Counts the pieces of one part; ``scores`` maps a piece to its score, higher merged first."""
 
-    def __init__(self, ranks: dict[str, float]) -> None:
-        self.ranks = ranks
+    def __init__(self, scores: dict[str, float]) -> None:
+        order = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {p: order[x] for p, x in scores.items()}
         #: Characters that stand alone in the vocabulary cost one token when unmerged, others one per byte.
-        self.known = {p for p in ranks if len(p) == 1}
+        self.known = {p for p in scores if len(p) == 1}
 
     def count(self, part: str) -> int:
-        ranks, n = self.ranks, len(part)
+        rank_of, n = self.ranks.get, len(part)
         symbols: list[str | None] = list(part)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            pair = part[i : i + 2]
-            if (rank := ranks.get(pair)) is not None:
-                heap.append((rank, i, pair))
+        # a heap of rank * n + place orders by rank, then from the left; whether an entry still holds shows when it is popped
+        heap = [r * n + i for i in range(n - 1) if (r := rank_of(part[i : i + 2])) is not None]
         heapq.heapify(heap)
         merges = 0
         while heap:
-            _, i, pair = heapq.heappop(heap)
-            left = symbols[i]
-            if left is None or (j := after[i]) >= n or len(left) + len(symbols[j]) != len(pair) or left + symbols[j] != pair:
+            rank, i = divmod(heapq.heappop(heap), n)
+            left, j = symbols[i], after[i]
+            if left is None or j >= n:
+                continue
+            pair = left + symbols[j]
+            if rank_of(pair) != rank:
                 continue
             symbols[i], symbols[j] = pair, None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                new = pair + symbols[k]
-                if (rank := ranks.get(new)) is not None:
-                    heapq.heappush(heap, (rank, i, new))
-            if (h := before[i]) >= 0:
-                new = symbols[h] + pair
-                if (rank := ranks.get(new)) is not None:
-                    heapq.heappush(heap, (rank, h, new))
+                if (r := rank_of(pair + symbols[k])) is not None:
+                    heapq.heappush(heap, r * n + i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(symbols[h] + pair)) is not None:
+                heapq.heappush(heap, r * n + h)
             merges += 1
         known = self.known
-        extra = sum(len(s.encode()) - 1 for s in symbols if s is not None and len(s) == 1 and s not in known)
+        extra = sum(len(s.encode()) - 1 for s in symbols if s is not None and s not in known and len(s) == 1)
         return n - merges + extra
 
 
-class _Cache(dict):
-    """part -> count; parts longer than ``CACHED_CHARS`` are counted but not kept, a full cache starts anew."""
+class _Atoms(dict):
+    """run of symbols no merge can cut off -> count; long runs are counted but not kept, a full cache starts anew."""
+
+    def __init__(self, merger: Merger) -> None:
+        super().__init__()
+        self.merger = merger
+
+    def __missing__(self, part: str) -> int:
+        n = self.merger.count(part)
+        if len(part) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[part] = n
+        return n
+
+
+class _Parts(dict):
+    """part -> count, by cutting it between symbols that stand together in no piece of the vocabulary."""
 
-    def __init__(self, merger: Merger, prefix: str) -> None:
+    def __init__(self, atoms: _Atoms, joined: set[str], prefix: str) -> None:
         super().__init__()
-        self.merger, self.prefix = merger, prefix
+        self.atoms, self.joined, self.prefix = atoms, joined, prefix
 
     def __missing__(self, part: str) -> int:
-        n = self.merger.count(self.prefix + part)
+        whole, joined, atoms = self.prefix + part, self.joined, self.atoms
+        n = begin = 0
+        for i in range(1, len(whole)):
+            if whole[i - 1 : i + 1] not in joined:
+                n += atoms[whole[begin:i]]
+                begin = i
+        n += atoms[whole[begin:]]
         if len(part) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -88,16 +109,18 @@ def counter(path: str) -> Callable[[str], int]:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    ranks = {
-        model.id_to_piece(i): -model.get_score(i)
+    scores = {
+        model.id_to_piece(i): model.get_score(i)
         for i in range(model.get_piece_size())
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
     }
-    for piece in ranks:
+    for piece in scores:
         if MARK in piece.lstrip(MARK) or "\n" in piece or " " in piece:
             raise ValueError(f"a piece of this vocabulary crosses word starts: {piece!r}")
-    merger = Merger(ranks)
-    first, later = _Cache(merger, ""), _Cache(merger, MARK)
+    merger = Merger(scores)
+    joined = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
+    atoms = _Atoms(merger)
+    first, later = _Parts(atoms, joined, ""), _Parts(atoms, joined, MARK)
     feed = merger.count("\n")
 
     def count(text: str) -> int:
