@@ -133,25 +133,24 @@ def _tokens(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir):
-    return graph.edges(_tokens(spark, sf_dir), "doc_id", "tokens")
+    return graph.token_edges(_tokens(spark, sf_dir), "doc_id", "tokens").select("id", "src", "dst", "w")
 
 
 def graph_edge_weights(spark, sf_dir):
-    return graph.edge_weights(_tokens(spark, sf_dir), "doc_id", "tokens")
+    return graph.token_edges(_tokens(spark, sf_dir), "doc_id", "tokens").select("id", "src", "dst", F.col("windows").alias("w"))
 
 
 def graph_degree(spark, sf_dir):
-    return graph.degrees(graph_edges(spark, sf_dir))
+    return graph.token_nodes(_tokens(spark, sf_dir), "doc_id", "tokens").select("id", F.col("node").alias("src"), "degree")
 
 
 def graph_norm_adj(spark, sf_dir):
-    return graph.normalized(graph_edges(spark, sf_dir))
+    return graph.token_edges(_tokens(spark, sf_dir), "doc_id", "tokens").select("id", "src", "dst", F.col("norm").alias("w"))
 
 
 def _hop(spark, sf_dir):
-    edge = graph_edges(spark, sf_dir)
-    features = edge.groupBy("id", F.col("src").alias("node")).agg(F.first(F.length("src").cast("double") - 3.0).alias("x"))
-    return graph.hop(graph.normalized(edge), features)
+    docs = _tokens(spark, sf_dir).withColumn("values", F.transform("tokens", lambda t: F.length(t).cast("double") - 3.0))
+    return graph.token_hop(docs, "doc_id", "tokens", "values")
 
 
 def graph_hop(spark, sf_dir):

@@ -230,16 +230,24 @@ def sliding(tokens, w):
 @pytest.mark.parametrize("w", [2, 3, 4])
 def test_edges_against_sliding_windows(spark, w):
     r = np.random.default_rng(w)
-    docs = [(i, [str(x) for x in r.integers(0, 5, n)]) for i, n in enumerate([0, 1, 2, 3, 4, 9, 30])]
+    docs = [(i, [str(x) for x in r.integers(0, 5, n)]) for i, n in enumerate([0, 1, 2, 3, 4, 9, 30])] + [(7, None)]
     df = spark.createDataFrame(docs, "id long, t array<string>")
-    weights, plain = {}, {}
-    for e in graph.edge_weights(df, "id", "t", w).collect():
-        weights.setdefault(e.id, {})[e.src, e.dst] = e.w
-    for e in graph.edges(df, "id", "t", w).collect():
-        plain.setdefault(e.id, {})[e.src, e.dst] = e.w
+    weights, norm = {}, {}
+    edges = graph.token_edges(df, "id", "t", w)
+    for e in edges.collect():
+        weights.setdefault(e.id, {})[e.src, e.dst] = e.windows
+        norm[e.id, e.src, e.dst] = e.norm
     for i, t in docs:
-        want = sliding(t, w)
-        assert weights.get(i, {}) == want and plain.get(i, {}).keys() == want.keys()
+        assert weights.get(i, {}) == sliding(t or [], w)
+    # the steps for edge tables agree with those inside the row
+    plain = edges.select("id", "src", "dst", "w")
+    assert {(r.id, r.src, r.dst): r.w for r in graph.normalized(plain).collect()} == pytest.approx(norm)
+    nodes = {(r.id, r.node): r.degree for r in graph.token_nodes(df, "id", "t", w).collect()}
+    assert nodes == {(r.id, r.src): r.degree for r in graph.degrees(plain).collect()}
+    valued = df.withColumn("x", F.transform("t", lambda x: x.cast("double") - 2))
+    features = plain.select("id", F.col("src").alias("node")).distinct().withColumn("x", F.col("node").cast("double") - 2)
+    want = {(r.id, r.node): r.x for r in graph.hop(graph.normalized(plain), features).collect()}
+    assert {(r.id, r.node): r.x for r in graph.token_hop(valued, "id", "t", "x", w).collect()} == pytest.approx(want)
 
 
 def test_layers():
