@@ -10,12 +10,13 @@ k-th exact score so far. Ranks and scores come from original vectors alone, in d
 
 At scale. Queries and vectors are dealt into blocks by hash, and a task scores one block of queries against one block
 of vectors, so neither side is ever broadcast and a task's memory is set by the block sizes. Each task returns k
-rows a query. Every row is indexed; no sample is fitted, the rotation depends on the dimension and a seed only.
+rows a query. A vector travels once per block of queries, with its code, so that nothing is fetched for reranking. Every row is indexed; no sample is fitted, the rotation depends on the dimension and a seed only.
 
 Defined cases: vectors that are null, empty, all zero or hold a null, NaN or infinite component take no part, neither
 do rows with null vec_id; only vectors of one length are compared; rows that repeat a vec_id and vector count once (of
-queries that share a vec_id one is asked), and a row with the query's own vec_id is never its neighbour; fewer candidates than k give fewer rows; ties go to
-the smaller vec_id; an empty table gives no rows; other columns are ignored.
+queries that share a vec_id one is asked), and a row with the query's own vec_id is never its neighbour; fewer
+candidates than k give fewer rows; ties go to the smaller vec_id; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .common import table
 
 K, EVERY = 5, 50
 SURE, FIRST, SEED = 3.0, 48, 20240
-QUERY_BLOCK, VECTOR_BLOCK = 512, 8192
+#: Vectors are sent once per block of queries: large blocks of queries keep that down, small steps keep memory down.
+QUERY_BLOCK, VECTOR_BLOCK, ESTIMATED_AT_ONCE, RERANKED_AT_ONCE = 4096, 8192, 256, 65536
 
 
 @lru_cache(maxsize=4)
@@ -66,34 +68,41 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query, vec_id, score) of the k nearest of one block for each query."""
-    norms = np.sqrt(dots(vectors, vectors))
-    q_norms = np.sqrt(dots(queries, queries))
-    guess, bound = estimate(codes, scalars, queries / np.linalg.norm(queries, axis=1, keepdims=True))
-    high = guess + bound.astype(np.float32)
+    norms, q_norms = np.sqrt(dots(vectors, vectors)), np.sqrt(dots(queries, queries))
     out = []
-    for i, q in enumerate(queries):
-        own = ids == q_ids[i]
-        high[i, own] = guess[i, own] = -np.inf
-        n = len(ids) - int(own.sum())
-        if not n:
-            continue
-        first = np.argpartition(-guess[i], min(FIRST, n) - 1)[: min(FIRST, n)]
-        score = dots(vectors[first], q) / (norms[first] * q_norms[i])
-        if n > len(first):
-            high[i, first] = -np.inf
-            floor = np.partition(score, len(score) - min(k, len(score)))[len(score) - min(k, len(score))]
-            more = np.flatnonzero(high[i] >= floor - 1e-6)
-            for at in range(0, len(more), 65536):
-                part = more[at : at + 65536]
-                found = dots(vectors[part], q) / (norms[part] * q_norms[i])
-                first, score = np.concatenate((first, part)), np.concatenate((score, found))
-                best = np.lexsort((ids[first], -score))[:k]
-                first, score = first[best], score[best]
-        best = np.lexsort((ids[first], -score))[:k]
-        out += [(int(q_ids[i]), int(ids[j]), float(s)) for j, s in zip(first[best], score[best], strict=True)]
+    for begin in range(0, len(queries), ESTIMATED_AT_ONCE):
+        some = slice(begin, begin + ESTIMATED_AT_ONCE)
+        guess, bound = estimate(codes, scalars, queries[some] / np.linalg.norm(queries[some], axis=1, keepdims=True))
+        for q_id, q, q_norm, near in zip(q_ids[some], queries[some], q_norms[some], guess, strict=True):
+            near[ids == q_id] = -np.inf
+            out += rerank(ids, vectors, norms, near, bound, q_id, q, q_norm, k)
     return out
 
 
+def rerank(ids, vectors, norms, near, bound, q_id, q, q_norm, k: int) -> list[tuple[int, int, float]]:
+    """The k nearest of one query: exact scores of the best estimates, then of all whose bound reaches the k-th of them."""
+    n = int(np.isfinite(near).sum())
+    if not n:
+        return []
+
+    def exact(at: np.ndarray) -> np.ndarray:
+        return dots(vectors[at], q) / (norms[at] * q_norm)
+
+    found = np.argpartition(-near, min(FIRST, n) - 1)[: min(FIRST, n)]
+    score = exact(found)
+    if n > len(found):
+        floor = np.sort(score)[-k] if k <= len(score) else -np.inf
+        near[found] = -np.inf
+        more = np.flatnonzero(near + bound >= floor - 1e-6)
+        for at in range(0, len(more), RERANKED_AT_ONCE):
+            part = more[at : at + RERANKED_AT_ONCE]
+            found, score = np.concatenate((found, part)), np.concatenate((score, exact(part)))
+            best = np.lexsort((ids[found], -score))[:k]
+            found, score = found[best], score[best]
+    best = np.lexsort((ids[found], -score))[:k]
+    return [(int(q_id), int(ids[i]), float(s)) for i, s in zip(found[best], score[best], strict=True)]
+
+
 def usable(v: Column) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
