@@ -109,3 +109,11 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def fresh_prefix(df: DataFrame, prefix: str, names: Sequence[str]) -> str:
+    """``prefix``, or with underscores before it until no column of ``df`` is called so plus one of ``names``."""
+    taken = {c.lower() for c in df.columns}
+    while any((prefix + n).lower() in taken for n in names):
+        prefix = "_" + prefix
+    return prefix

@@ -83,6 +83,9 @@ def source_targets(per_source: DataFrame, weights=WEIGHTS, budget=BUDGET, cap: i
     )
 
 
+ADDED = ("size", "source_size", "target", "taken", "position", "repeat_position")
+
+
 def mix(
     docs: DataFrame,
     id_name: str = "doc_id",
@@ -94,71 +97,82 @@ def mix(
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     seed: str = SEED,
     ordered: bool = True,
+    prefix: str = "",
 ) -> DataFrame:
     """``docs`` with size, source_size, target, taken (words), position and repeat_position (times in [0, 1]).
 
-    ``ordered`` range-sorts the rows by position; ``training_rows`` sorts by itself."""
-    added = ("size", "source_size", "target", "taken", "position", "repeat_position")
-    kept = [c for c in docs.columns if c.lower() not in added]
-    size, group, order, prefix = (fresh_name(docs, f"__{x}") for x in ("size", "group", "order", "prefix"))
+    ``ordered`` range-sorts the rows by position; ``training_rows`` sorts by itself. ``prefix`` goes before the added
+    names; columns of ``docs`` that still clash with them are dropped."""
+    added = {x: prefix + x for x in ADDED}
+    kept = [c for c in docs.columns if c.lower() not in added.values()]
+    # names of our own beside those of docs
+    size, group, order, part, begin, size_of, rank, target, once, again, first, second = (
+        fresh_name(docs, f"__mix_{x}") for x in ("n", "group", "order", "part", "begin", "of", "rank", "to", "once", "again", "first", "second")
+    )
     base = (
         docs.select(*kept)
         .withColumn(size, word_count(F.col(text_name)))
         .withColumn(group, F.coalesce(F.concat(F.lit("s"), F.col(source_name).cast("string")), F.lit("n")))
         .withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_name).cast("string"), F.lit("null")))))
-        .withColumn(prefix, F.substring(order, 1, HEX_DIGITS))
+        .withColumn(part, F.substring(order, 1, HEX_DIGITS))
     )
-    parts = base.groupBy(group, prefix).agg(F.sum(size).alias("part"))
-    per_source = parts.groupBy(group).agg(F.sum("part").alias("source_size")).select(
+    parts = base.groupBy(group, part).agg(F.sum(size).alias(size_of))
+    per_source = parts.groupBy(group).agg(F.sum(size_of).alias("source_size")).select(
         F.when(F.col(group) != "n", F.substring(group, 2, 1 << 30)).alias("source"), "source_size"
     )
     targets = source_targets(per_source, weights, budget, cap).select(
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias(group), "source_size", "rank", "target"
-    )
-    earlier = Window.partitionBy(group).orderBy(prefix).rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(group, prefix, F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("__start")).join(targets, group)
-    within = Window.partitionBy(group, prefix).orderBy(order, size).rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.floor("target")
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias(group),
+        F.col("source_size").alias(size_of), F.col("rank").alias(rank), F.col("target").alias(target),
+    )
+    earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(group, part, F.coalesce(F.sum(size_of).over(earlier), F.lit(0)).alias(begin)).join(targets, group)
+    within = Window.partitionBy(group, part).orderBy(order, size).rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.floor(target)
     placed = (
-        base.join(starts, [group, prefix])
-        .withColumn("__start", F.col("__start") + F.coalesce(F.sum(size).over(within), F.lit(0)))
-        .withColumn("__once", F.greatest(F.lit(0), F.least(F.col(size), asked - F.col("__start"))))
-        .withColumn("__again", F.greatest(F.lit(0), F.least(F.col(size), asked - F.col("source_size") - F.col("__start"))))
+        base.join(starts, [group, part])
+        .withColumn(begin, F.col(begin) + F.coalesce(F.sum(size).over(within), F.lit(0)))
+        .withColumn(once, F.greatest(F.lit(0), F.least(F.col(size), asked - F.col(begin))))
+        .withColumn(again, F.greatest(F.lit(0), F.least(F.col(size), asked - F.col(size_of) - F.col(begin))))
     )
 
     def position(offset: Column) -> Column:
-        share = F.try_divide(offset.cast("double"), F.col("target"))
+        share = F.try_divide(offset.cast("double"), F.col(target))
         found = None
         for k, knots in enumerate(schedules):
             at = invert(share, knots)
-            found = at if found is None else F.when(F.pmod("rank", F.lit(len(schedules))) == k, at).otherwise(found)
+            found = at if found is None else F.when(F.pmod(F.col(rank), F.lit(len(schedules))) == k, at).otherwise(found)
         return found
 
-    placed = placed.withColumn("position", F.when(F.col("__once") > 0, position(F.col("__start")))).withColumn(
-        "repeat_position", F.when(F.col("__again") > 0, position(F.col("__start") + F.col("source_size")))
+    placed = placed.withColumn(first, F.when(F.col(once) > 0, position(F.col(begin)))).withColumn(
+        second, F.when(F.col(again) > 0, position(F.col(begin) + F.col(size_of)))
     )
     if ordered:
-        placed = placed.orderBy(F.col("position").asc_nulls_last(), order)
-    return placed.select(
-        *kept, F.col(size).alias("size"), F.col("source_size"), F.col("target"),
-        (F.col("__once") + F.col("__again")).alias("taken"), "position", "repeat_position",
-    )
+        placed = placed.orderBy(F.col(first).asc_nulls_last(), order)
+    made = {
+        "size": F.col(size), "source_size": F.col(size_of), "target": F.col(target), "taken": F.col(once) + F.col(again),
+        "position": F.col(first), "repeat_position": F.col(second),
+    }
+    return placed.select(*kept, *[made[x].alias(added[x]) for x in ADDED])
 
 
-def training_rows(mixed: DataFrame, columns: Sequence[str], id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
+def training_rows(
+    mixed: DataFrame, columns: Sequence[str], id_name: str = "doc_id", text_name: str = "text", prefix: str = ""
+) -> DataFrame:
     """One row of ``columns`` per time a mixed document is taken, in training order; a part taken is a part of its text."""
+    size, taken, position, repeat = (F.col(prefix + x) for x in ("size", "taken", "position", "repeat_position"))
     copies = F.filter(
         F.array(
-            F.struct(F.col("position").alias("at"), F.least("taken", "size").alias("words")),
-            F.struct(F.col("repeat_position").alias("at"), (F.col("taken") - F.col("size")).alias("words")),
+            F.struct(position.alias("at"), F.least(taken, size).alias("words")),
+            F.struct(repeat.alias("at"), (taken - size).alias("words")),
         ),
         lambda x: x["words"] > 0,
     )
+    copy = fresh_name(mixed, "__copy")
+    words = F.col(copy)["words"]
     pieces = F.split(F.col(text_name), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("__copy.words").cast("int")), "")
-    out = mixed.withColumn("__copy", F.explode(copies))
-    out = out.orderBy(F.col("__copy.at"), F.md5(F.col(id_name).cast("string")))
-    return out.select(*[F.when(F.col("__copy.words") < F.col("size"), cut).otherwise(F.col(c)).alias(c) if c == text_name else F.col(c) for c in columns])
+    cut = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+    out = mixed.withColumn(copy, F.explode(copies)).orderBy(F.col(copy)["at"], F.md5(F.col(id_name).cast("string")))
+    return out.select(*[F.when(words < size, cut).otherwise(F.col(c)).alias(c) if c == text_name else F.col(c) for c in columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

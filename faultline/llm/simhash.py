@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, discard, written
-from .common import LOWER_AZ, table, text_map
+from .common import LOWER_AZ, fresh_name, table, text_map
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: (shift, width) of the segments, lowest bits first.
@@ -233,14 +233,16 @@ def drop_near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: st
     A row that repeats a kept doc_id goes as well. Rows with a null doc_id stay: they cannot be told apart.
     """
     found = cut(near_duplicates(docs, id_name, text_name), "near-duplicates")
-    go = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(go, F.col(id_name) == F.col("__id"), "left_anti")
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id"))
+    own = fresh_name(docs, "__id")
+    same = F.col(id_name) == F.col(own)
+    go = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    left = docs.join(go, same, "left_anti")
+    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(own))
     if again.isEmpty():
         return left
     again = cut(again, "repeated-ids")
-    once = left.join(again, F.col(id_name) == F.col("__id"), "left_semi").dropDuplicates([id_name])
-    return left.join(again, F.col(id_name) == F.col("__id"), "left_anti").unionByName(once)
+    once = left.join(again, same, "left_semi").dropDuplicates([id_name])
+    return left.join(again, same, "left_anti").unionByName(once)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

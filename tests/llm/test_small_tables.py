@@ -555,6 +555,18 @@ def test_url_rules_against_brute_force(spark):
     assert url_rules.judge_urls(df.limit(0), "page_id", "url").count() == 0
 
 
+def test_clashing_names_in_mix_and_drop(docs):
+    import corpus_pipeline
+
+    wide = docs.withColumns({x: F.lit(1) for x in ("rank", "target", "position", "taken", "__id", "mix_size", "count", "id", "word")})
+    kept = simhash.drop_near_duplicates(wide)
+    assert kept.columns == wide.columns and kept.count() == simhash.drop_near_duplicates(docs).count()
+    mixed = corpus_pipeline.source_mix(None, wide, "")
+    assert mixed.columns == wide.columns and mixed.count() == corpus_pipeline.source_mix(None, docs, "").count()
+    assert mixing.mix(wide).agg(F.sum("taken")).first()[0] == mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    assert language.learn(wide, "doc_id", "text", "lang").languages == ["en", "fr"]
+
+
 def test_mix_without_words(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.taken, r.target, r.position) for r in mixing.mix(df).collect()) == [(1, 0, 0.0, None), (2, 0, 0.0, None)]
