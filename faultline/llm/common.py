@@ -20,7 +20,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 #: Texts handed to a Python function at once: at most this many, and about this many characters.
-SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
+SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ BUCKETS = 1 << 24
 SAMPLE_DOCS, MIN_DOCS, EPOCHS, BATCH, RATE, DECAY, SEED = 12_000, 6, 14, 256, 0.25, 2e-5, 11
 GRADES, SELECT_GRADE, SELECT_TAIL = 3, 2, 0.5
 SIGNIFICANT = 5.0
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 STEPS = 8
 #: Kinds of words whose share is a feature.
 ODD, SHOUT, BARE, AGAIN = range(4)
@@ -149,7 +149,7 @@ def fit(numbers: list[np.ndarray], grades: np.ndarray) -> Model:
             by_theta[1:] *= np.exp(theta[1:])
             theta_seen += by_theta * by_theta
             theta -= RATE * by_theta / np.sqrt(theta_seen)
-    return Model(features, weights, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:])))))
+    return Model(features.astype(np.int64), weights, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:])))))
 
 
 def grades_of(labels: DataFrame, id_name: str = "doc_id", quality: str = "quality", toxic: str = "toxic") -> DataFrame:
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, graded: DataFrame, id_name: str = "doc_id", text_name
     rows = sorted(text_map(picked, F.col("text"), carry, "numbers binary", make).collect(), key=lambda r: (r.id, bytes(r.numbers)))
     if not rows:
         return fit([], np.zeros(0, np.int64))
-    return fit([np.frombuffer(bytes(r.numbers), dtype="<u4").astype(np.int64) for r in rows], np.array([r.grade for r in rows]))
+    return fit([np.frombuffer(r.numbers, dtype="<u4") for r in rows], np.array([r.grade for r in rows]))
 
 
 def make_score(model: Model):

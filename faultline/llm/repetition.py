@@ -25,7 +25,7 @@ from .common import BLANKS, table, text_filter, text_map
 
 MIN_WORDS, FEW_WORDS, MOST_PERCENT, LONGEST_WORDS = 8, 20, 30, 250
 SYMBOLS = "#*$%&|<>"
-ARRAY_WORDS = 400_000
+ARRAY_WORDS = 200_000
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
