@@ -99,7 +99,7 @@ def balance(lengths: np.ndarray, length: int = LENGTH, linear: float = LINEAR, q
 
 
 def pack(docs: DataFrame, id_name: str, text_name: str, vocabulary: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens (before padding)."""
     source = docs.select(F.col(id_name).cast("long").alias("doc_id"), F.col(text_name).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
     names = [x.split()[0] for x in schema.split(", ")]
