@@ -20,16 +20,28 @@ from pyspark.sql import functions as F
 FEATURES, EPOCHS, REGULAR = 1 << 14, 25, 0.01
 
 
-def train_baseline(samples: DataFrame, text: str = "func", label: str = "target", features: int = FEATURES) -> PipelineModel:
+def train_baseline(samples: DataFrame, text: str = "func", label: str = "target", features: int = FEATURES, penalty: float = REGULAR) -> PipelineModel:
     """Logistic regression over hashed words; fitted where the rows are."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\W+", toLowercase=False),
         HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features, binary=True),
-        LogisticRegression(featuresCol="__tf", labelCol=label, maxIter=EPOCHS, regParam=REGULAR, predictionCol="__prediction", probabilityCol="__prob", rawPredictionCol="__raw"),
+        LogisticRegression(featuresCol="__tf", labelCol=label, maxIter=EPOCHS, regParam=penalty, predictionCol="__prediction", probabilityCol="__prob", rawPredictionCol="__raw"),
     ]
     return Pipeline(stages=stages).fit(samples.filter(F.col(text).isNotNull() & F.col(label).isNotNull()))
 
 
+def train_best(samples: DataFrame, valid: DataFrame, text: str = "func", label: str = "target", penalties: tuple[float, ...] = (0.1, REGULAR, 0.001)) -> tuple[PipelineModel, float]:
+    """The model of highest accuracy on ``valid`` among several penalties, the first of equals, and that accuracy."""
+    best, best_accuracy = None, -1.0
+    for penalty in penalties:
+        model = train_baseline(samples, text, label, penalty=penalty)
+        hit = F.avg(((F.col("cls_prob") > 0.5).cast("int") == F.col(label)).cast("int"))
+        accuracy = score_baseline(model, valid, text).agg(hit).first()[0] or 0.0
+        if accuracy > best_accuracy:
+            best, best_accuracy = model, accuracy
+    return best, best_accuracy
+
+
 def score_baseline(model: PipelineModel, samples: DataFrame, text: str = "func") -> DataFrame:
     """Adds cls_prob; a null text scores as an empty one."""
     scored = model.transform(samples.withColumn(text, F.coalesce(text, F.lit(""))))

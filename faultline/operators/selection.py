@@ -63,3 +63,9 @@ def replay_mix(new: DataFrame, old: DataFrame, share: float, id_name: str = "idx
     """All new rows and a sampled share of the old ones, in hash order."""
     both = new.withColumn("is_new", F.lit(1)).unionByName(sample(old, share, id_name, seed).withColumn("is_new", F.lit(0)))
     return both.orderBy(*hash_order(id_name, seed + 1))
+
+
+def mask(rows: DataFrame, ids: DataFrame, id_name: str = "idx") -> DataFrame:
+    """``rows`` with ``selected``: whether their id is among ``ids``."""
+    listed = ids.select(F.col(ids.columns[0]).alias(id_name)).distinct().withColumn("__in", F.lit(True))
+    return rows.join(listed, id_name, "left").withColumn("selected", F.coalesce("__in", F.lit(False))).drop("__in")

@@ -133,3 +133,8 @@ def context(path: DataFrame, edge: DataFrame, samples: DataFrame, id_name: str =
     out = samples.select(F.col(id_name).alias("sample_id")).join(p, "sample_id", "left").join(e, "sample_id", "left")
     parts = F.concat_ws("\n", F.concat(F.lit("Taint Analysis Results:\n"), F.col("p")), F.concat(F.lit("\nRelevant call graph:\n"), F.col("e")))
     return out.select("sample_id", parts.alias("taint_context"))
+
+
+def dangerous_functions(path: DataFrame) -> DataFrame:
+    """sample_id, functions: the different sinks its paths reach."""
+    return path.groupBy("sample_id").agg(F.sort_array(F.collect_set("sink_func")).alias("functions"))

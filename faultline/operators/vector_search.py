@@ -162,3 +162,12 @@ def top_k_cells(
 
     found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(cell, "query_id long, neighbour_id long, score double")
     return ranked(found, k)
+
+
+def types(index: DataFrame, kind: str = "vuln_type") -> DataFrame:
+    """The distinct types an index knows."""
+    return index.filter(F.col(kind).isNotNull() & (F.col(kind) != "")).select(kind).distinct()
+
+
+def of_type(index: DataFrame, wanted: str, kind: str = "vuln_type") -> DataFrame:
+    return index.filter(F.col(kind) == wanted)

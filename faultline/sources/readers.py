@@ -148,3 +148,8 @@ def graph_tool_paths(rows: DataFrame) -> DataFrame:
         return rows.filter(F.col("section") == section).select("sample_id", F.get("parts", 0).alias(name), F.get("parts", 1).cast("int").alias(line))
 
     return hits("sources", "source_func", "source_line").join(hits("sinks", "sink_func", "sink_line"), "sample_id").withColumn("sink_category", sink_category(F.col("sink_func")))
+
+
+def catalogue(spark: SparkSession, templates: str, entries: str) -> DataFrame:
+    """Template files followed by catalogue lines; nothing is deduplicated."""
+    return template_catalogue(spark, templates).unionByName(catalogue_jsonl(spark, entries))

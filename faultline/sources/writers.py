@@ -21,6 +21,14 @@ def index(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
     vectors.write.mode(mode).parquet(path)
 
 
+def rebuild_index(parts: list[DataFrame], path: str) -> None:
+    """One index from all parts; repeats stay."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    rows.write.mode("overwrite").parquet(path)
+
+
 def results_json(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """index, label and the result as one object a line."""
     results.write.mode(mode).json(path)

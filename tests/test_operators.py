@@ -270,6 +270,7 @@ def test_baseline_learns(spark, tmp_path):
     fitted = model.train_baseline(df)
     model.save(fitted, str(tmp_path / "m"))
     got = model.score_baseline(model.load(str(tmp_path / "m")), df).collect()
+    assert model.train_best(df, df, penalties=(10.0, 0.01))[1] == 1.0
     assert all((r.cls_prob > 0.5) == bool(r.target) for r in got)
 
 
@@ -315,6 +316,13 @@ def test_paths_and_categories(spark):
     assert sorted(got) == [(0, "argv", "system", "exec"), (2, "argv", "sprintf", "memory")]
 
 
+def test_dangerous_functions_and_types(spark):
+    df = samples(spark, "void f(char *argv) {\n gets(argv);\n strcpy(a, argv);\n gets(argv);\n}")
+    assert taint.dangerous_functions(taint.paths(df)).first().functions == ["gets", "strcpy"]
+    index = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "")], "vec_id long, vuln_type string")
+    assert [r.vuln_type for r in vector_search.types(index).collect()] == ["a"] and vector_search.of_type(index, "a").count() == 2
+
+
 def test_path_cap_keeps_the_first(spark):
     code = "\n".join(["argv argc stdin"] + [f"strcpy(a{i}, b);" for i in range(30)])
     got = taint.paths(samples(spark, code)).orderBy("path_no").collect()
@@ -378,6 +386,7 @@ def test_selection(spark):
     got = sorted((r.idx, r.split) for r in selection.assign_split(df, {"train": ids(1, 1, 2), "test": ids(2, 99)}).collect())
     assert got == [(1, "train"), (2, "test"), (2, "train")]
     assert selection.replay_mix(df.filter("idx < 4"), df.filter("idx >= 4"), 0.5).groupBy("is_new").count().orderBy("is_new").collect() == [(0, 3), (1, 4)]
+    assert {r.idx for r in selection.mask(df, ids(3, 4)).filter("selected").collect()} == {3, 4}
     keyed = selection.dedup_by_key(df, ["func"], [F.col("idx").desc()], head=2)
     assert sorted(r.idx for r in keyed.collect()) == [8, 9]
 

@@ -57,6 +57,8 @@ def test_template_folder(spark, tmp_path):
     (folder / "c.json").write_text("{bad")
     (folder / "d.txt").write_text("{}")
     rows = readers.template_catalogue(spark, str(folder)).collect()
+    (tmp_path / "more").write_text('{"exploit_id": "four"}')
+    assert readers.catalogue(spark, str(folder), str(tmp_path / "more")).count() == 4
     assert [r.exploit_id for r in rows] == ["two", "three", "one"] and rows[2].expected_signals == ["SEGV"] and rows[2].timeout_sec == 5
 
 
@@ -69,6 +71,8 @@ def test_writers(spark, tmp_path):
     writers.index(df, str(tmp_path / "i"))
     writers.index(df, str(tmp_path / "i"), "append")
     assert readers.vector_index(spark, str(tmp_path / "i")).count() == 4
+    writers.rebuild_index([df, df, df], str(tmp_path / "i"))
+    assert readers.vector_index(spark, str(tmp_path / "i")).count() == 6
     writers.results_json(df, str(tmp_path / "r"))
     writers.metrics_json(df.groupBy().count(), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first()["count"] == 2
