@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .common import WORD_PATTERN, fresh_name, table, word_count
 
 WEIGHTS, BUDGET, CAP, SEED = (5, 2, 1), (3, 2), 2, "mix-1"
@@ -98,9 +99,13 @@ def mix(
     seed: str = SEED,
     ordered: bool = True,
     prefix: str = "",
+    counted: str | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, taken (words), position and repeat_position (times in [0, 1]).
 
+    ``counted`` names a column that has the sizes already; without it the words of the text are counted, once for the
+    sums and once for the rows.
+
     ``ordered`` range-sorts the rows by position; ``training_rows`` sorts by itself. ``prefix`` goes before the added
     names; columns of ``docs`` that still clash with them are dropped."""
     added = {x: prefix + x for x in ADDED}
@@ -111,7 +116,7 @@ def mix(
     )
     base = (
         docs.select(*kept)
-        .withColumn(size, word_count(F.col(text_name)))
+        .withColumn(size, F.coalesce(F.col(counted).cast("long"), F.lit(0)) if counted else word_count(F.col(text_name)))
         .withColumn(group, F.coalesce(F.concat(F.lit("s"), F.col(source_name).cast("string")), F.lit("n")))
         .withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_name).cast("string"), F.lit("null")))))
         .withColumn(part, F.substring(order, 1, HEX_DIGITS))
@@ -170,13 +175,15 @@ def training_rows(
     copy = fresh_name(mixed, "__copy")
     words = F.col(copy)["words"]
     pieces = F.split(F.col(text_name), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+    begin = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
     out = mixed.withColumn(copy, F.explode(copies)).orderBy(F.col(copy)["at"], F.md5(F.col(id_name).cast("string")))
-    return out.select(*[F.when(words < size, cut).otherwise(F.col(c)).alias(c) if c == text_name else F.col(c) for c in columns])
+    return out.select(*[F.when(words < size, begin).otherwise(F.col(c)).alias(c) if c == text_name else F.col(c) for c in columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
+    words = word_count(F.col("text")).alias("words")
+    sizes = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words), "sizes")  # texts are read once
+    mixed = mix(sizes, counted="words")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position")
 
 
