@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Row, SparkSession
 
 from . import rules
 from .api import MODES, ScanConfig, Scanner
@@ -63,12 +62,13 @@ def main(argv: list[str] | None = None) -> None:
             writers.text(report.batch_summary(results), "summary", f"{a.out}/summary")
     elif a.command == "evaluate":
         rows = table(a.predictions)
-        metrics = evaluation.rates(evaluation.confusion(rows))
+        parts = [evaluation.rates(evaluation.confusion(rows))]
         if "score" in rows.columns:
-            metrics = metrics.crossJoin(F.broadcast(evaluation.roc_auc(rows)))  # one row each
+            parts.append(evaluation.roc_auc(rows))
         if "seconds" in rows.columns:
-            metrics = metrics.crossJoin(F.broadcast(evaluation.time_stats(rows, "seconds")))
-        writers.metrics_json(metrics, a.out)
+            parts.append(evaluation.time_stats(rows, "seconds"))
+        metrics = {k: v for part in parts for k, v in part.first().asDict().items()}  # one row of numbers each
+        writers.metrics_json(spark.createDataFrame([Row(**metrics)]), a.out)
     else:
         writers.index(table(a.vectors), a.path, "append" if a.append else "overwrite")
 

@@ -54,8 +54,9 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> Da
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     parts = cut(tied.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "score-ranges")
-    totals = parts.groupBy("part").agg(F.sum("neg").alias("below"))
-    earlier = totals.alias("t").join(totals.alias("u"), F.col("u.part") < F.col("t.part"), "left").groupBy("t.part").agg(F.coalesce(F.sum("u.below"), F.lit(0)).alias("offset"))
+    totals = parts.groupBy("part").agg(F.sum("neg").alias("below"))  # one row a range
+    ranges_below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("part", F.coalesce(F.sum("below").over(ranges_below), F.lit(0)).alias("offset"))
     within = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.join(F.broadcast(earlier), "part").withColumn("under", F.col("offset") + F.coalesce(F.sum("neg").over(within), F.lit(0)))
     wins = placed.agg(
