@@ -39,9 +39,8 @@ LONG_TEXT = 1_000_000
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids of a byte-level BPE vocabulary file (``.json``), no special tokens added."""
     import tiktoken
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
+    library: list = []  # the file's own library, loaded by the first text that needs it
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
@@ -56,7 +55,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     def ids(text: str) -> np.ndarray:
         if len(text) > LONG_TEXT or odd.search(text):
-            return np.asarray(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            if not library:
+                from tokenizers import Tokenizer
+
+                library.append(Tokenizer.from_file(path))
+            return np.asarray(library[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.asarray(quick.encode(text, allowed_special=allowed, disallowed_special=()), dtype=np.uint32)
 
     return ids
