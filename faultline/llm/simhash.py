@@ -27,7 +27,7 @@ however long; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -227,12 +227,16 @@ def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "
     return printed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates
+) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id, with all its columns.
 
+    ``groups`` names the groups as ``near_duplicates`` does; ``similar.near_duplicates`` has the wider radius.
+
     A row that repeats a kept doc_id goes as well. Rows with a null doc_id stay: they cannot be told apart.
     """
-    found = cut(near_duplicates(docs, id_name, text_name), "near-duplicates")
+    found = cut(groups(docs, id_name, text_name), "near-duplicates")
     own = fresh_name(docs, "__id")
     same = F.col(id_name) == F.col(own)
     go = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
