@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine, and what is decided from them.
 
 ``top_k`` scores blocks of queries against blocks of vectors with one matrix product per block pair, so nothing is
-broadcast and no pair becomes a row: a task gives back k rows a query. ``CELLS`` prune by clusters for large indexes.
+broadcast and no pair becomes a row: a task gives back k rows a query. Cells prune by clusters for large indexes, losing nothing.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..rules import NEIGHBOURS, OVERFETCH
 
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
@@ -123,9 +124,14 @@ def fit_cells(index: DataFrame, cells: int = CELL_COUNT, sample: int = CENTROID_
 
 def top_k_cells(
     queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, cells: int = CELL_COUNT, probes: int = PROBES,
-    id_name: str = "vec_id", vector_name: str = "embedding", flat_below: int = FLAT_BELOW,
+    id_name: str = "vec_id", vector_name: str = "embedding", flat_below: int = FLAT_BELOW, probes_only: bool = False,
 ) -> DataFrame:
-    """As ``top_k`` over the ``probes`` cells nearest to a query only; a small index is searched whole."""
+    """As ``top_k``: the ``probes`` cells nearest to a query, then every other cell that may hold a nearer vector.
+
+    A cell may hold one when the angle to its centre less its widest member's does not exclude the k-th score found so
+    far. ``probes_only`` stops after the probes: the reference's approximate search, with rows and neighbours missing.
+    A small index is searched whole.
+    """
     if index.count() < flat_below:
         return top_k(queries, index, k, id_name, vector_name)
     centres = fit_cells(index, cells, id_name=id_name, vector_name=vector_name)
@@ -138,19 +144,23 @@ def top_k_cells(
 
         return nearest_cells
 
-    def side(df: DataFrame, n: int) -> DataFrame:
-        base = df.select(F.col(id_name).cast("long").alias("id"), F.col(vector_name).cast("array<double>").alias("v")).filter("v is not null")
-        return base.withColumn("cell", F.explode(place(n)("v")))
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_name).cast("long").alias("id"), F.col(vector_name).cast("array<double>").alias("v")).filter("v is not null")
+
+    @F.pandas_udf("double")
+    def cosine(v: pd.Series, cell: pd.Series) -> pd.Series:
+        m, c = np.stack(v.to_numpy()), centres[cell.to_numpy()]
+        norms = np.linalg.norm(m, axis=1) * np.linalg.norm(c, axis=1)
+        return pd.Series((m * c).sum(axis=1) / np.where(norms > 0, norms, 1))
 
-    # a crowded cell is dealt over sub-blocks, so that no task holds more than a block of it; one number a cell
-    base = side(index, 1)
-    sizes = {r.cell: -(-r["count"] // VECTOR_BLOCK) for r in base.groupBy("cell").count().collect()}
+    # a crowded cell is dealt over sub-blocks, so that no task holds more than a block of it; two numbers a cell
+    base = rows(index).withColumn("cell", F.explode(place(1)("v")))
+    known = base.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(cosine("v", "cell")).alias("widest")).collect()
+    sizes = {r.cell: -(-r["n"] // VECTOR_BLOCK) for r in known}
     if not sizes:
         return ranked(queries.sparkSession.createDataFrame([], "query_id long, neighbour_id long, score double"), k)
     parts = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("cell"))
     right = base.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    left = side(queries, probes).filter(parts.isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found: list = []
         if len(a) and len(b):
@@ -160,8 +170,33 @@ def top_k_cells(
                 found += _block_top_k(some["id"].to_numpy(), np.stack(some["v"]), ids, v, k, True)
         return pd.DataFrame(found, columns=["query_id", "neighbour_id", "score"])
 
-    found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(cell, "query_id long, neighbour_id long, score double")
-    return ranked(found, k)
+    def searched(placed: DataFrame) -> DataFrame:
+        left = placed.filter(parts.isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(cell, "query_id long, neighbour_id long, score double")
+
+    found = ranked(searched(rows(queries).withColumn("cell", F.explode(place(probes)("v")))), k)
+    if probes_only:
+        return found
+    found = cut(found, "probed")
+    radius = np.zeros(len(centres))
+    for r in known:
+        radius[r.cell] = np.arccos(np.clip(r.widest, -1, 1))
+
+    @F.pandas_udf("array<int>")
+    def other_cells(v: pd.Series, floor: pd.Series) -> pd.Series:
+        m = np.stack(v.to_numpy())
+        near, norms = m @ centres.T, np.linalg.norm(m, axis=1, keepdims=True)
+        lengths = norms * np.maximum(np.linalg.norm(centres, axis=1), 1e-12)
+        angle = np.arccos(np.clip(near / np.where(norms > 0, lengths, 1), -1, 1))
+        bound = np.where(norms > 0, np.cos(np.maximum(angle - radius, 0)), np.inf)
+        order = np.argsort(-near, axis=1, kind="stable")[:, probes:]
+        least = floor.to_numpy() - 1e-6  # more than arccos and cos lose
+        return pd.Series([o[b[o] >= x].astype(np.int32) for o, b, x in zip(order, bound, least, strict=True)])
+
+    floors = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last")).filter(F.col("n") >= k)
+    asked = rows(queries).join(floors.select(F.col("query_id").alias("id"), "last"), "id", "left").withColumn("last", F.coalesce("last", F.lit(-2.0)))
+    more = searched(asked.select("id", "v", F.explode(other_cells("v", "last")).alias("cell")))
+    return ranked(found.drop("rank").union(more), k)
 
 
 def types(index: DataFrame, kind: str = "vuln_type") -> DataFrame:
