@@ -183,7 +183,7 @@ def evidence_early_stop(spark, sf_dir):
 
 
 def event_props(spark, sf_dir):
-    """Props that parse as JSON, counted by type of event and by the object's number of fields."""
+    """Events counted by type and by whether their props parse as JSON."""
     v = F.try_parse_json("props")
     return _table(spark, sf_dir, "events").groupBy("event_type", v.isNotNull().alias("parses")).agg(F.count(F.lit(1)).alias("n"))
 
