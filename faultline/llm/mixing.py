@@ -85,6 +85,7 @@ def source_targets(per_source: DataFrame, weights=WEIGHTS, budget=BUDGET, cap: i
 
 
 ADDED = ("size", "source_size", "target", "taken", "position", "repeat_position")
+LATER = "later_positions"
 
 
 def mix(
@@ -103,12 +104,14 @@ def mix(
 ) -> DataFrame:
     """``docs`` with size, source_size, target, taken (words), position and repeat_position (times in [0, 1]).
 
+    With a ``cap`` above 2 there is also later_positions, one time for each pass after the second that takes the row.
+
     ``counted`` names a column that has the sizes already; without it the words of the text are counted, once for the
     sums and once for the rows.
 
     ``ordered`` range-sorts the rows by position; ``training_rows`` sorts by itself. ``prefix`` goes before the added
     names; columns of ``docs`` that still clash with them are dropped."""
-    added = {x: prefix + x for x in ADDED}
+    added = {x: prefix + x for x in (*ADDED, *([LATER] if cap > 2 else []))}
     kept = [c for c in docs.columns if c.lower() not in added.values()]
     # names of our own beside those of docs
     size, group, order, part, begin, size_of, rank, target, once, again, first, second = (
@@ -153,11 +156,16 @@ def mix(
     )
     if ordered:
         placed = placed.orderBy(F.col(first).asc_nulls_last(), order)
+    passed = lambda p: F.greatest(F.lit(0), F.least(F.col(size), asked - F.col(size_of) * p - F.col(begin)))
+    passes = F.sequence(F.lit(2), F.lit(max(cap, 3) - 1))
     made = {
         "size": F.col(size), "source_size": F.col(size_of), "target": F.col(target), "taken": F.col(once) + F.col(again),
         "position": F.col(first), "repeat_position": F.col(second),
     }
-    return placed.select(*kept, *[made[x].alias(added[x]) for x in ADDED])
+    if cap > 2:
+        made["taken"] += F.aggregate(F.transform(passes, passed), F.lit(0).cast("long"), lambda a, b: a + b)
+        made[LATER] = F.transform(F.filter(passes, lambda p: passed(p) > 0), lambda p: position(F.col(begin) + F.col(size_of) * p))
+    return placed.select(*kept, *[made[x].alias(added[x]) for x in added])
 
 
 def training_rows(
@@ -168,10 +176,13 @@ def training_rows(
     copies = F.filter(
         F.array(
             F.struct(position.alias("at"), F.least(taken, size).alias("words")),
-            F.struct(repeat.alias("at"), (taken - size).alias("words")),
+            F.struct(repeat.alias("at"), F.least(taken - size, size).alias("words")),
         ),
         lambda x: x["words"] > 0,
     )
+    if prefix + LATER in mixed.columns:
+        later = F.transform(F.col(prefix + LATER), lambda at, i: F.struct(at.alias("at"), F.least(taken - size * (i + 2), size).alias("words")))
+        copies = F.concat(copies, later)
     copy = fresh_name(mixed, "__copy")
     words = F.col(copy)["words"]
     pieces = F.split(F.col(text_name), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
