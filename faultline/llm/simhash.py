@@ -72,11 +72,17 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(majority).tobytes(), "big")
 
 
+def signed_fingerprint(text: str | None) -> int:
+    """The fingerprint as a LONG holds it."""
+    x = fingerprint(text)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(docs: DataFrame, id_name: str, text_name: str) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed LONG): one row per document, no shuffle."""
 
     def make():
-        return lambda texts: [[x - (1 << 64) if x >> 63 else x for x in map(fingerprint, texts)]]
+        return lambda texts: [list(map(signed_fingerprint, texts))]
 
     return text_map(docs, F.col(text_name), [F.col(id_name).cast("long").alias("doc_id")], "fp long", make)
 
@@ -160,8 +166,9 @@ def with_keys(distinct: DataFrame) -> DataFrame:
 # ---- links and components -----------------------------------------------------------------------------------
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, that connect exactly the fingerprints connected by distances of two bits or less."""
+def links(distinct: DataFrame) -> tuple[DataFrame, str]:
+    """Distinct (a, b), a < b, that connect exactly the fingerprints connected by distances of two bits or less, and
+    where they are written."""
     keyed = with_keys(distinct)
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members, members_at = written(keyed.join(buckets, "key"), "golay-members")
@@ -183,13 +190,13 @@ def links(distinct: DataFrame) -> DataFrame:
         .filter(F.size("fps") > 1)
     )
     stars = met.select(F.element_at("fps", 1).alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
-    found = cut(pairs.union(stars).distinct(), "links")
+    found, at = written(pairs.union(stars).distinct(), "links")
     discard(distinct.sparkSession, members_at)
-    return found
+    return found, at
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of ``edges`` (a, b) with the smallest node of its component."""
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, root), every node of ``edges`` (a, b) with the smallest node of its component, and the table it reads."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last, last_at = None, None
     while True:
@@ -210,43 +217,63 @@ def components(edges: DataFrame) -> DataFrame:
             break
         last = state
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+    return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct(), last_at
 
 
 def near_duplicates(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: one row per document."""
+    """doc_id, fp, component_id, root: one row per document; ``root`` tells components apart even where ids repeat."""
     printed = cut(fingerprints(docs, id_name, text_name), "fingerprints")
     distinct, distinct_at = written(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    root_of = components(links(distinct))
-    grouped = distinct.join(root_of, distinct["fp"] == root_of["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(grouped.join(smallest, "root").select("fp", "component_id"), "components")
-    discard(docs.sparkSession, distinct_at)
-    return printed.join(named, "fp").select("doc_id", "fp", "component_id")
+    found, links_at = links(distinct)
+    root_of, roots_at = components(found)
+    named = named_components(distinct, root_of)
+    discard(docs.sparkSession, distinct_at, links_at, roots_at)
+    return printed.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def named_components(distinct: DataFrame, root_of: DataFrame) -> DataFrame:
+    """fp, component_id, root of distinct fingerprints (fp, first) and the roots of those that are linked, written down."""
+    rooted = distinct.join(root_of, distinct["fp"] == root_of["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return cut(rooted.join(smallest, "root").select("fp", "component_id", "root"), "components")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates
+    docs: DataFrame,
+    id_name: str = "doc_id",
+    text_name: str = "text",
+    groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates,
+    printed: Callable[[str | None], int] = signed_fingerprint,
 ) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id, with all its columns.
 
-    ``groups`` names the groups as ``near_duplicates`` does; ``similar.near_duplicates`` has the wider radius.
+    ``groups`` names the groups as ``near_duplicates`` does, by what ``printed`` makes of a text;
+    ``similar.near_duplicates`` has the wider radius.
 
-    A row that repeats a kept doc_id goes as well. Rows with a null doc_id stay: they cannot be told apart.
+    Defined cases: where a doc_id repeats, its rows are told apart by fingerprint, so a text of another group is no copy
+    because of its id; of rows that repeat id and fingerprint one stays; of groups without any id one row stays.
     """
     found = cut(groups(docs, id_name, text_name), "near-duplicates")
-    own = fresh_name(docs, "__id")
-    same = F.col(id_name) == F.col(own)
-    go = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
-    left = docs.join(go, same, "left_anti")
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(own))
-    if again.isEmpty():
+    kept_id, kept_fp, mine, clear = (fresh_name(docs, x) for x in ("__kept_id", "__kept_fp", "__fp", "__clear"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp"))
+    keepers = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.fp").alias(kept_fp))
+    keepers = cut(keepers, "keepers")
+    # a doc_id stays if its one row is a keeper, goes if none is, and is looked into if it has others as well
+    kept = keepers.select(F.col(kept_id).alias("doc_id"), F.col(kept_fp).alias("fp"), F.lit(1).alias("keeps"))
+    rows = found.select("doc_id", F.lit(0).alias("keeps")).unionByName(kept.select("doc_id", "keeps"))
+    by_id = rows.groupBy("doc_id").agg((F.count(F.lit(1)) - F.sum("keeps")).alias("n"), F.sum("keeps").alias("k"))
+    sorted_out = cut(by_id.filter("n > 1 or k = 0").select(F.col("doc_id").alias(kept_id), (F.col("k") > 0).alias(clear)), "ids-to-go")
+    same = F.col(id_name).cast("long").eqNullSafe(F.col(kept_id))
+    left = docs.join(sorted_out, same, "left_anti")
+    several = sorted_out.filter(clear)
+    if several.isEmpty():
         return left
-    again = cut(again, "repeated-ids")
-    once = left.join(again, same, "left_semi").dropDuplicates([id_name])
-    return left.join(again, same, "left_anti").unionByName(once)
+    again = docs.join(several, same, "left_semi")
+    carry = [F.col(c) for c in again.columns]
+    again = text_map(again, F.col(text_name), carry, f"{mine} long", lambda: lambda texts: [[printed(t) for t in texts]])
+    chosen = again.join(keepers, same & (F.col(mine) == F.col(kept_fp)), "left_semi")
+    once = chosen.withColumn(kept_id, F.col(id_name).cast("long")).dropDuplicates([kept_id, mine])
+    return left.unionByName(once.select(*docs.columns))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

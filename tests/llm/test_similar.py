@@ -74,3 +74,16 @@ def test_stage_drops_planted_near_copies(spark, rows):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(some, "doc_id long, text string"), "")
     assert {r.doc_id for r in kept.collect()} == set(groups_of(some)) and kept.columns == ["doc_id", "text"]
     assert similar.near_duplicates(kept.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["golay", "similar"])
+def test_repeated_ids_with_different_texts(spark, kind):
+    from faultline.llm import simhash
+
+    ways = {"golay": {}, "similar": {"groups": similar.near_duplicates, "printed": similar.text_node}}[kind]
+    t, u, v = (" ".join(f"{x}{i}" for i in range(40)) for x in "tuv")
+    rows = [(1, t), (2, t), (2, u), (3, v), (3, v), (4, v), (None, t), (None, "only here once more and again"), (None, "only here once more and again")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **ways)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", t), ("2", u), ("3", v), ("None", rows[-1][1])])
+    unlike = spark.createDataFrame([(7, t), (7, u), (7, u)], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.drop_near_duplicates(unlike, **ways).collect()) == [t, u]
