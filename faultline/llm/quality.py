@@ -10,8 +10,9 @@ how often, in steps, its words carry odd signs, are shouted, hold no letter, or
 fewer than ``MIN_DOCS`` documents of the fit hold, or whose documents' grades do not differ from the others' by
 ``SIGNIFICANT`` standard errors, have no weight: unseen and indifferent words are neutral in texts of any length.
 
-The fit reads at most ``SAMPLE_DOCS`` rated documents, picked by a hash of doc_id; only their features reach the
-driver. Scoring is row-wise without a shuffle, with a model bounded by that sample.
+The fit reads at most ``SAMPLE_DOCS`` rated documents, picked by a hash of doc_id and counted once each, as far as they
+have ``SAMPLE_FEATURES`` features together; only those reach the driver. Scoring is row-wise without a shuffle, with a
+model bounded by that sample.
 
 Defined cases: a null text has no words, like an empty one, and gets what the thresholds alone say; several ratings of
 a document count as the lowest; ratings with a null are left out; without ratings, or with one grade only, every
@@ -23,13 +24,16 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import discard, written
 from .common import table, text_filter, text_map
 
 BUCKETS = 1 << 24
 SAMPLE_DOCS, MIN_DOCS, EPOCHS, BATCH, RATE, DECAY, SEED = 12_000, 6, 14, 256, 0.25, 2e-5, 11
+#: Features of all documents of a fit together, four bytes each: what may reach the driver.
+SAMPLE_FEATURES = 1 << 24
 GRADES, SELECT_GRADE, SELECT_TAIL = 3, 2, 0.5
 SIGNIFICANT = 5.0
 CACHE_ENTRIES = 150_000
@@ -41,19 +45,18 @@ ODD_BYTES = frozenset(b"#$%&*+<=>@\\^_`{|}~")
 
 
 class _Numbers(dict):
-    """word -> place in ``bucket`` and ``kind``, which grow with it."""
+    """word -> its place; ``new`` holds bucket and kind of the places since the last ``grown``."""
 
-    def __init__(self, bucket: list[int], kind: list[int]) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.bucket, self.kind = bucket, kind
+        self.new: list[tuple[int, int]] = []
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.bucket)
+        n = self[word] = len(self)
         core = word.lower().strip(OUTER)
         odd = not ODD_BYTES.isdisjoint(word) or b"!!" in word
         shout = len(core) > 1 and word.isupper()
-        self.bucket.append(zlib.crc32(core) % BUCKETS if core else -1)
-        self.kind.append(odd << ODD | shout << SHOUT | (not core) << BARE)
+        self.new.append((zlib.crc32(core) % BUCKETS if core else -1, odd << ODD | shout << SHOUT | (not core) << BARE))
         return n
 
 
@@ -61,9 +64,21 @@ class Features:
     """texts -> (feature numbers end to end, where each text's begin); numbers from BUCKETS on are shares."""
 
     def __init__(self) -> None:
-        self.bucket: list[int] = []
-        self.kind: list[int] = []
-        self.number = _Numbers(self.bucket, self.kind)
+        self.number = _Numbers()
+        self.known = np.zeros((1 << 12, 2), dtype=np.int32)  # bucket and kind by place
+        self.filled = 0
+
+    def grown(self) -> np.ndarray:
+        """``known`` with the words met since."""
+        new = self.number.new
+        if new:
+            end = self.filled + len(new)
+            while end > len(self.known):
+                self.known = np.concatenate((self.known, np.zeros_like(self.known)))
+            self.known[self.filled : end] = new
+            self.filled = end
+            new.clear()
+        return self.known
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > CACHE_ENTRIES:
@@ -73,8 +88,7 @@ class Features:
         look = self.number.__getitem__
         ids = np.fromiter((look(w) for words in split for w in words), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(split)), sizes)
-        bucket, kind = np.array(self.bucket, dtype=np.int64), np.array(self.kind, dtype=np.int64)
-        own_bucket, own_kind = (bucket[ids], kind[ids]) if len(ids) else (ids, ids)
+        own_bucket, own_kind = self.grown()[ids].astype(np.int64).T
         again = np.zeros(len(ids), dtype=np.int64)
         again[1:] = (ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])
         own_kind = own_kind | again << AGAIN
@@ -133,23 +147,33 @@ def fit(numbers: list[np.ndarray], grades: np.ndarray) -> Model:
             cols = np.concatenate([columns[i] for i in some])
             owner = np.repeat(np.arange(len(some)), [len(columns[i]) for i in some])
             score = np.bincount(owner, weights=weights[cols], minlength=len(some))
-            y = grades[some]
-            cuts = np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:]))))
-            upper = np.where(y > 0, sigmoid(score - cuts[np.maximum(y - 1, 0)]), 1.0)
-            lower = np.where(y < GRADES - 1, sigmoid(score - cuts[np.minimum(y, GRADES - 2)]), 0.0)
-            p = np.maximum(upper - lower, 1e-9)
-            slope = upper + lower - 1  # of the negative logarithm, by the score
-            grad = np.bincount(cols, weights=slope[owner], minlength=len(features)) / len(some) + DECAY * weights
+            by_score, by_theta = slopes(score, grades[some], theta)
+            grad = np.bincount(cols, weights=by_score[owner], minlength=len(features)) / len(some) + DECAY * weights
             seen += grad * grad
             weights -= RATE * grad / np.sqrt(seen)
-            by_cut = np.zeros(GRADES - 1)
-            np.add.at(by_cut, np.maximum(y - 1, 0), np.where(y > 0, upper * (1 - upper) / p, 0))
-            np.add.at(by_cut, np.minimum(y, GRADES - 2), np.where(y < GRADES - 1, -lower * (1 - lower) / p, 0))
-            by_theta = np.cumsum(by_cut[::-1])[::-1] / len(some)
-            by_theta[1:] *= np.exp(theta[1:])
+            by_theta /= len(some)
             theta_seen += by_theta * by_theta
             theta -= RATE * by_theta / np.sqrt(theta_seen)
-    return Model(features.astype(np.int64), weights, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:])))))
+    return Model(features.astype(np.int64), weights, cuts_of(theta))
+
+
+def cuts_of(theta: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, then positive gaps by their logarithms."""
+    return np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:]))))
+
+
+def slopes(score: np.ndarray, grades: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the negative logarithm of P(grade), by each score and, summed over rows, by ``theta``."""
+    cuts, most = cuts_of(theta), len(theta)
+    upper = np.where(grades > 0, sigmoid(score - cuts[np.maximum(grades - 1, 0)]), 1.0)
+    lower = np.where(grades < most, sigmoid(score - cuts[np.minimum(grades, most - 1)]), 0.0)
+    p = np.maximum(upper - lower, 1e-9)
+    by_cut = np.zeros(most)
+    np.add.at(by_cut, np.maximum(grades - 1, 0), np.where(grades > 0, upper * (1 - upper) / p, 0))
+    np.add.at(by_cut, np.minimum(grades, most - 1), np.where(grades < most, -lower * (1 - lower) / p, 0))
+    by_theta = np.cumsum(by_cut[::-1])[::-1].copy()
+    by_theta[1:] *= np.exp(theta[1:])
+    return upper + lower - 1, by_theta
 
 
 def grades_of(labels: DataFrame, id_name: str = "doc_id", quality: str = "quality", toxic: str = "toxic") -> DataFrame:
@@ -159,11 +183,16 @@ def grades_of(labels: DataFrame, id_name: str = "doc_id", quality: str = "qualit
     return rated.groupBy(F.col(id_name).alias("id")).agg(F.min(grade).alias("grade"))
 
 
-def learn(docs: DataFrame, graded: DataFrame, id_name: str = "doc_id", text_name: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on the ``sample_docs`` rated documents that a hash of doc_id puts first."""
+def learn(
+    docs: DataFrame, graded: DataFrame, id_name: str = "doc_id", text_name: str = "text",
+    sample_docs: int = SAMPLE_DOCS, sample_features: int = SAMPLE_FEATURES,
+) -> Model:
+    """Fits on the ``sample_docs`` rated documents that a hash of doc_id puts first, as far as they have
+    ``sample_features`` features in all; one text an id, the least where it has several."""
     chosen = graded.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    texts = docs.select(F.col(id_name).alias("id"), F.col(text_name).alias("text"))
+    texts = docs.select(F.col(id_name).alias("id"), F.col(text_name).cast("string").alias("text"))
     picked = texts.join(F.broadcast(chosen), "id")  # bounded by the sample
+    picked = picked.groupBy("id").agg(F.min("grade").cast("long").alias("grade"), F.min("text").alias("text"))
 
     def make():
         features = Features()
@@ -174,8 +203,11 @@ def learn(docs: DataFrame, graded: DataFrame, id_name: str = "doc_id", text_name
 
         return numbers
 
-    carry = [F.col("id"), F.col("grade").cast("long").alias("grade")]
-    rows = sorted(text_map(picked, F.col("text"), carry, "numbers binary", make).collect(), key=lambda r: (r.id, bytes(r.numbers)))
+    numbered, at = written(text_map(picked, F.col("text"), [F.col("id"), F.col("grade")], "numbers binary", make), "rated-features")
+    so_far = F.sum(F.length("numbers") / 4).over(Window.orderBy(F.xxhash64("id"), "id"))  # at most ``sample_docs`` rows
+    rows = numbered.withColumn("n", so_far).filter(F.col("n") <= sample_features).select("id", "grade", "numbers").collect()
+    discard(docs.sparkSession, at)
+    rows.sort(key=lambda r: r.id)
     if not rows:
         return fit([], np.zeros(0, np.int64))
     return fit([np.frombuffer(r.numbers, dtype="<u4") for r in rows], np.array([r.grade for r in rows]))
