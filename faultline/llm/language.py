@@ -8,19 +8,18 @@ it than any text of the sample, with a margin, is marked ``rejected``.
 
 The fit reads at most ``SAMPLE_DOCS`` documents, dealt evenly to the languages (20 each at least, of the
 ``MOST_LANGUAGES`` with most documents) and picked by a hash of doc_id, none of them held out (crc32 of the id divisible
-by 5). Scoring is row-wise without a shuffle: the model has a fixed
-size per language.
+by 5). A doc_id that repeats counts once, with its least language and text. Scoring is row-wise without a shuffle: the
+model has a fixed size per language.
 
-Defined cases: a null text, or one without a letter of any script, is ``und`` with score 0 and not rejected; with
+Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0 and not rejected; with
 nothing to learn from every text is ``und``; a null doc_id is neither held out nor learned from; ties between
 centroids go to the language first in code-point order; repeated rows are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +29,8 @@ DIM, CENTROIDS, ROUNDS, SEED = 4096, 3, 12, 7
 SAMPLE_DOCS, PER_LANGUAGE, MOST_LANGUAGES = 4000, 500, 1000
 MARGIN, FOLDS = 1.25, 5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters by Unicode category; numerals that are no letters (fractions, circled digits) are none.
+LETTER = regex.compile(r"\p{L}")
 #: ASCII characters that are not small letters become spaces; bytes above stay.
 TO_SPACE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 CHUNK_BYTES = 2_000_000
@@ -105,13 +105,13 @@ class Model:
         return names, [float(s) if w else 0.0 for s, w in zip(score, written, strict=True)], [bool(f) and w for f, w in zip(far, written, strict=True)]
 
 
-def fit(samples: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS) -> Model:
-    """A model from (language, trigram counts) rows."""
+def fit(samples: list[tuple[str, bytes]], centroids: int = CENTROIDS) -> Model:
+    """A model from (language, trigram counts as float bytes) rows, in their order within a language."""
     samples = sorted(samples, key=lambda s: s[0])
     languages = sorted({s[0] for s in samples})
     if not samples:
         return Model([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.zeros(0), np.ones(DIM, np.float32))
-    counts = np.stack([s[1] for s in samples])
+    counts = np.stack([np.frombuffer(s[1], dtype=np.float32) for s in samples])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     rows = weigh(counts, idf).astype(np.float32)
     of = np.array([languages.index(s[0]) for s in samples])
@@ -142,13 +142,16 @@ def learn(docs: DataFrame, id_name: str, text_name: str, lang_name: str, sample_
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = ids.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < limit)
     chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select("id").distinct()
-    picked = learnable.join(F.broadcast(chosen), F.col(id_name) == chosen["id"], "left_semi")  # bounded by the sample
+    # bounded by the sample, and one row an id however often it repeats
+    pair = F.min(F.struct(F.col(lang_name).cast("string").alias("lang"), F.col(text_name).cast("string").alias("text")))
+    picked = learnable.join(F.broadcast(chosen), F.col(id_name) == chosen["id"], "left_semi")
+    picked = picked.groupBy(F.col(id_name).alias("id")).agg(pair.alias("p")).select("p.lang", "p.text")
 
     def make():
         return lambda texts: [[x.astype(np.float32).tobytes() for x in trigram_counts(texts)]]
 
-    rows = text_map(picked, F.col(text_name), [F.col(lang_name).cast("string").alias("lang")], "counts binary", make).collect()
-    return fit([(r.lang, np.frombuffer(bytes(r.counts), dtype=np.float32)) for r in rows])
+    rows = text_map(picked, F.col("text"), [F.col("lang")], "counts binary", make).collect()
+    return fit(sorted((r.lang, bytes(r.counts)) for r in rows))
 
 
 def identify(docs: DataFrame, model: Model, id_name: str, text_name: str) -> DataFrame:
