@@ -5,8 +5,9 @@ words of any kind. It is compiled into an automaton over words; a text carries t
 accepts a run of its words, that is, where all mandatory wording stands exactly, in order. The base phrases are
 templates without regions. A match scores its mandatory words over the words it spans, so 1 without any region used.
 
-Automata start only at words that some template can begin with, so most texts cost one set test. Row-wise, no
-shuffle; the automata are constants.
+The templates are those of ``license_templates.txt`` beside this module, whole notices with nested regions among them;
+others can be given. Automata start only at words that some template can begin with, so most texts cost one set test.
+Row-wise, no shuffle.
 
 Defined cases: a null text is empty; no match gives empty label strings, null first and last word and score 0; of the
 runs a template accepts from one start the longest counts; repeated rows are scanned each; an empty table gives no
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from importlib.resources import files
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +31,21 @@ BASE = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: (template, label) of the wider scan.
-TEMPLATES = (
-    ("under the [[terms of the]] mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in [[the software]] without restriction", "mit"),
-    ("licensed under the [[terms of the]] apache license [[version]] 2", "apache-2"),
-    ("under the [[terms of the]] gnu [[lesser]] general public license [[as published by the free software foundation]] [[either]] version 3", "gpl-3"),
-    ("under the [[terms of the]] gnu [[lesser]] general public license [[as published by the free software foundation]] [[either]] version 2", "gpl-2"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("creative commons attribution [[4 0]] [[international]] [[public]] license", "cc-by"),
-    ("creative commons attribution noncommercial [[4 0]] [[international]] [[public]] license", "cc-by-nc"),
-    ("creative commons attribution non commercial [[4 0]] [[international]] [[public]] license", "cc-by-nc"),
-    ("licensed under [[a]] [[the]] cc by nc", "cc-by-nc"),
-    ("copyright [[c]] {{1}} [[by]] {{4}} all rights reserved", "all-rights-reserved"),
-)
+#: What a template consists of: region marks and words.
+MARKUP = re.compile(r"\[\[|\]\]|\{\{\d+\}\}")
+
+
+def read_templates(text: str) -> tuple[tuple[str, str], ...]:
+    """(template, label) of each line ``label: wording``; blank lines and those that begin with ``#`` are left out."""
+    out = []
+    for line in text.splitlines():
+        if line.strip() and not line.startswith("#"):
+            label, _, template = line.partition(":")
+            words, marks = MARKUP.split(template), MARKUP.findall(template)
+            plain = [w.encode().translate(WORD_BYTES).decode().split() for w in words]
+            out.append((" ".join([*plain[0], *(x for m, w in zip(marks, plain[1:], strict=True) for x in (m, *w))]), label.strip()))
+    return tuple(out)
+
 
 #: Bytes of words: digits, small letters (capitals become small), and everything beyond ASCII; the rest separates.
 WORD_BYTES = bytes(
@@ -50,6 +53,10 @@ WORD_BYTES = bytes(
 )
 
 
+#: (template, label) of the wider scan; ``scan_licenses`` takes others.
+TEMPLATES = read_templates(files(__package__).joinpath("license_templates.txt").read_text(encoding="utf-8"))
+
+
 class Automaton:
     """States 0..n-1; ``steps[s]`` maps a word to states, ``any_word[s]`` lists states reached by any word."""
 
