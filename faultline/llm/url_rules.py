@@ -2,8 +2,9 @@
 
 Rules come first: a rule names a host, which it fits together with all its subdomains, and a path prefix; the
 longest fitting rule gives the verdict. Elsewhere the vocabulary decides: one Aho-Corasick pass over the lower-cased
-host and path finds every term, a hit counts only between characters that are not letters or digits, and a URL is
-blocked on one strict term or on ``SOFT_NEEDED`` different soft ones.
+URL behind its scheme finds every term, a hit counts only between characters that are not letters or digits of any
+script, and a URL is blocked on one strict term or on ``SOFT_NEEDED`` different soft ones. The terms are those of
+``url_terms.txt`` beside this module; others can be given.
 
 Row-wise, no shuffle; only the URL column is read. The automaton is a constant of the vocabulary's size.
 
@@ -14,6 +15,7 @@ are judged each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +29,34 @@ RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-STRICT = ("casino", "porn", "xxx", "viagra", "warez", "escort", "camgirl")
-SOFT = ("win", "bet", "poker", "cheap", "pills", "adult", "dating", "loan", "free", "bonus", "jackpot", "slots", "hot", "torrent", "crack")
 SOFT_NEEDED = 2
 
 
+def inflected(term: str) -> list[str]:
+    """A term and its English plural."""
+    if term.endswith(("s", "x", "ch", "sh")):
+        return [term, term + "es"]
+    if term.endswith("y") and term[-2] not in "aeiou":
+        return [term, term[:-1] + "ies"]
+    return [term, term + "s"]
+
+
+def read_vocabulary(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict terms, soft terms) from lines ``weight language: terms``; those of language ``en`` also in the plural."""
+    found: dict[str, set[str]] = {"strict": set(), "soft": set()}
+    for line in text.splitlines():
+        if line.strip() and not line.startswith("#"):
+            head, _, terms = line.partition(":")
+            weight, language = head.split()
+            for term in terms.split():
+                found[weight].update(inflected(term) if language == "en" else [term])
+    return tuple(sorted(found["strict"])), tuple(sorted(found["soft"] - found["strict"]))
+
+
+#: Terms that block alone, and terms of which ``SOFT_NEEDED`` different ones do; ``judge_urls`` takes others.
+STRICT, SOFT = read_vocabulary(files(__package__).joinpath("url_terms.txt").read_text(encoding="utf-8"))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,6 +69,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def rest_of(url: Column) -> Column:
+    """What stands behind the scheme, A-Z lower-cased."""
+    return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:
     """The longest rule that fits, else null."""
     found = F.lit(None).cast("string")
@@ -67,7 +97,7 @@ def vocabulary_hits(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT):
         automaton.make_automaton()
 
         def inside(text: str, i: int) -> bool:
-            return 0 <= i < len(text) and text[i].isascii() and text[i].isalnum()
+            return 0 <= i < len(text) and text[i].isalnum()
 
         def hits(texts):
             hard, light = [], []
@@ -90,9 +120,9 @@ def judge_urls(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, strict_terms, soft_terms: one row per page."""
     url = F.col(url_name).cast("string")
-    parts = pages.select(F.col(id_name).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = pages.select(F.col(id_name).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), rest_of(url).alias("rest"))
     counted = text_map(
-        parts, ascii_lower(F.concat("host", "path")), [F.col("page_id"), F.col("host"), F.col("path")],
+        parts, F.col("rest"), [F.col("page_id"), F.col("host"), F.col("path")],
         "strict_terms long, soft_terms long", vocabulary_hits(strict, soft),
     )
     ruled = counted.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -115,7 +145,7 @@ def _rule_sql() -> str:
 
 
 def _count_sql(terms: Sequence[str]) -> str:
-    return "(" + " + ".join(f"regexp_matches(t, '(^|[^a-z0-9]){x}([^a-z0-9]|$)')::BIGINT" for x in terms) + ")"
+    return "(" + " + ".join(f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}]){x}([^\\p{{L}}\\p{{N}}]|$)')::BIGINT" for x in terms) + ")"
 
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -123,8 +153,9 @@ _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OP10_SQL = f"""
 WITH p AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_LOWER}), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
-h AS (SELECT page_id, host, path, {_rule_sql()} AS rule, translate(host || path, {_LOWER}) AS t FROM p),
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         coalesce(translate(regexp_extract(url, '^.*?://(.*)$', 1, 's'), {_LOWER}), '') AS t FROM pages),
+h AS (SELECT page_id, host, path, {_rule_sql()} AS rule, t FROM p),
 c AS (SELECT page_id, host, path, rule, {_count_sql(STRICT)} AS strict_terms, {_count_sql(SOFT)} AS soft_terms FROM h)
 SELECT page_id, host, path, rule,
        CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)}
