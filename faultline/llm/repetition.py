@@ -6,7 +6,8 @@ two neighbouring prefixes is the longest substring starting there that occurs el
 of those spans is what the document repeats: their covered fraction and the longest of them are limited.
 
 Many documents share one array: their words carry the document's number, so no prefix crosses documents, and the
-sort stays in numpy. A call holds about ``ARRAY_WORDS`` words, or one longer document. Row-wise, no shuffle.
+sort stays in numpy. A call holds about ``ARRAY_WORDS`` words, or one longer document, for which it needs 4 bytes a word
+and doubling: a text of five million words that repeats half of itself holds some 0.5 GB. Row-wise, no shuffle.
 
 Defined cases: a null text has no words and counts 0 everywhere, an empty one likewise, and both fail the base rule
 (under ``FEW_WORDS``); repeated rows are judged each; an empty table gives no rows; whole texts are read whatever
@@ -44,7 +45,7 @@ def suffix_repeats(words: np.ndarray, owner: np.ndarray, least: int = MIN_WORDS)
     key = owner.astype(np.int64) * (int(words.max()) + 1) + words
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)  # one copy a level is kept
     new = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
     rank[order] = np.repeat(new, np.diff(np.append(new, n)))
     del key, sorted_key
@@ -62,7 +63,7 @@ def suffix_repeats(words: np.ndarray, owner: np.ndarray, least: int = MIN_WORDS)
         q = p + h
         beyond = q >= ends[p]
         second = np.where(beyond, 0, rank[np.minimum(q, n - 1)] + 1)
-        both = rank[p] * (n + 1) + second
+        both = rank[p].astype(np.int64) * (n + 1) + second
         by = np.argsort(both, kind="stable")
         both, p = both[by], p[by]
         order[active] = p
