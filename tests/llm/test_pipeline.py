@@ -14,7 +14,8 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from faultline.llm import quality  # noqa: E402
 
-from .test_small_tables import brute_components, brute_fingerprint, brute_mix, brute_repeats, smallest, split  # noqa: E402
+from .test_similar import groups_of  # noqa: E402
+from .test_small_tables import brute_mix, brute_repeats, split  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -94,10 +95,9 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert {r.doc_id for r in seen[1]} == {i for i, r in kept.items() if selected(r.text)}
     assert not any("Dreadful" in r.text or "***" in r.text for r in seen[1]) and len(seen[1]) > 150
 
-    # near duplicates
+    # near duplicates: five-word shingle sets of similarity 0.8 by all pairs
     ids = [r.doc_id for r in seen[1]]
-    roots = brute_components([brute_fingerprint(r.text) for r in seen[1]])
-    want = set(smallest(ids, roots))
+    want = set(groups_of([(r.doc_id, r.text) for r in seen[1]]))
     assert {r.doc_id for r in seen[2]} == want and len(seen[2]) == len(want) < len(ids)
 
     # mix
@@ -144,3 +144,34 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_repeated_ids_and_clashing_columns_through_all_stages(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fresh = " ".join(f"w{i * 7 % 400} w{i}" for i in range(150))
+    long = " ".join(f"w{(i * i) % 397} w{i % 400} x{i}" for i in range(40_000))
+    more = [(0, fresh, "en", "a", 1), (0, fresh, "en", "a", 1), (None, fresh + " x y", "en", "a", 1), (950, long, "en", "b", 1)]
+    names = ("size", "target", "position", "root", "fp", "keeps", "__kept_id", "mix_size", "n", "k")
+    wide = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({x: F.lit("own") for x in names})
+    after = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        wide = spark.createDataFrame(rows, out.schema)
+        after.append([(r.doc_id, r.text) for r in rows])
+    own = docs.filter("doc_id = 0").first().text
+    assert {t for i, t in after[2] if i == 0} == {own, fresh} and (950, long) in after[2]  # both texts of id 0 stay, once
+    assert len([1 for i, _ in after[2] if i in (0, None)]) == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf_dir).count() > 0
+
+
+def test_run_leaves_nothing_behind(spark, sf_dir, tmp_path, monkeypatch):
+    from faultline.plans import lineage
+
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    left = [p.name for p in tmp_path.iterdir()]
+    assert len(left) == 1 and left[0].startswith("source-mix")  # what the lazy result still reads
