@@ -125,10 +125,23 @@ def is_valid(code: Column, payload: Column) -> Column:
     return (strip(code) != "") & (strip(payload) != "")
 
 
+def _sections(code: Column, context: Column) -> list[Column]:
+    """The taint section, which says so where there is no context, the listing, and what an answer has to hold."""
+    known = F.concat(F.lit("### Taint context\n"), context)
+    return [
+        F.when(F.length(context) > 0, known).otherwise("### Taint context\nNone was found; judge by the code alone."),
+        F.concat(F.lit("### Code\n"), numbered(code)),
+        F.lit('### Answer\nOne JSON object: "verdict" (true_positive, false_positive or uncertain), "confidence" from 0 to 1, "reasoning".'),
+    ]
+
+
 def triage_prompt(code: Column, vuln_type: Column, cwe: Column, score: Column, context: Column) -> Column:
-    """A review request with the detection's findings; without a taint context it says so."""
-    section = F.when(F.length(context) > 0, F.concat(F.lit("Taint context:\n"), context)).otherwise("Taint context: not available, judge by the code alone.")
-    return F.concat(
-        F.format_string("Type: %s\nWeakness: %s\nDetection score: %.4f\n", vuln_type, F.when(F.length(cwe) > 0, cwe).otherwise("N/A"), score),
-        section, F.lit("\nCode:\n"), numbered(code),
-    )
+    """A review request that begins with the detection's findings; a missing weakness reads N/A."""
+    weakness = F.when(F.length(cwe) > 0, cwe).otherwise("N/A")
+    found = F.format_string("### Detection\nType: %s\nWeakness: %s\nScore: %.4f", vuln_type, weakness, score)
+    return F.concat_ws("\n\n", found, *_sections(code, context))
+
+
+def review_prompt(code: Column, context: Column) -> Column:
+    """A review request without a detection."""
+    return F.concat_ws("\n\n", *_sections(code, context))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..rules import (
-    CATEGORY_CONFIDENCE, CATEGORY_SOURCE, CWE, DIRECT, MAX_OUTPUT, PROFILES, SIGNALS, SUGGESTIVE, VALGRIND,
+    CATEGORY_CONFIDENCE, CATEGORY_SOURCE, CWE, DIRECT, EXPECTED, MAX_OUTPUT, PROFILES, SIGNALS, SUGGESTIVE, VALGRIND,
 )
 
 
@@ -165,6 +165,21 @@ def profiles(kinds: DataFrame, kind: str = "vuln_type") -> DataFrame:
     return kinds.withColumn("profile", F.explode(chosen))
 
 
+def expectations(kinds: DataFrame, kind: str = "vuln_type") -> DataFrame:
+    """Adds the sanitizers a type is built with and the signals its log is expected to hold; none for an unknown type."""
+    def looked_up(values: list[Column], default: Column) -> Column:
+        found = default
+        for (name, _, _), value in zip(EXPECTED, values, strict=True):
+            found = F.when(F.col(kind) == name, value).otherwise(found)
+        return found
+
+    none = F.array().cast("array<string>")
+    return kinds.withColumns({
+        "sanitizers": looked_up([F.lit(s) for _, s, _ in EXPECTED], F.lit("")),
+        "expected_signals": looked_up([F.array(*[F.lit(x) for x in signals]) for _, _, signals in EXPECTED], none),
+    })
+
+
 def rollup(evidence: DataFrame, group: str = "sample_id", order: str = "ord") -> DataFrame:
     """Per sample: confirmed, suggestive, total, max_confidence of confirmed rows, the weakness and source of the first."""
     yes = F.col("evidence_level") == "CONFIRMED"

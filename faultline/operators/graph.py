@@ -46,7 +46,7 @@ class Graphs:
         self.norm = 1.0 / np.sqrt(self.degree[self.src] * self.degree[self.dst])
 
 
-def _batched(docs: DataFrame, id_name: str, columns: list[Column], schema: str, emit) -> DataFrame:
+def batched(docs: DataFrame, id_name: str, columns: list[Column], schema: str, emit) -> DataFrame:
     """``emit(graph input, ids, words)`` per run of documents of about ``TOKENS_AT_ONCE`` tokens."""
     picked = docs.select(F.col(id_name).alias("id"), *columns)
     names = ["id", *[f.split()[0] for f in schema.split(", ")]]
@@ -86,7 +86,17 @@ def token_edges(docs: DataFrame, id_name: str, tokens: str, window: int = WINDOW
             text.take(pa.array(g.code[g.src])), text.take(pa.array(g.code[g.dst])), pa.array(np.ones(len(g.src))), pa.array(g.windows), pa.array(g.norm),
         ]
 
-    return _batched(docs, id_name, [F.col(tokens)], "src string, dst string, w double, windows long, norm double", emit)
+    return batched(docs, id_name, [F.col(tokens)], "src string, dst string, w double, windows long, norm double", emit)
+
+
+def position_edges(docs: DataFrame, id_name: str, tokens: str, window: int = WINDOW) -> DataFrame:
+    """id, src, dst, w: every place of a token array is a node (from 0), also where tokens are equal; places less than
+    ``window`` apart are joined in both directions. Null and empty arrays have no edges."""
+    n = F.coalesce(F.size(tokens), F.lit(0))
+    far = docs.select(F.col(id_name).alias("id"), n.alias("n"), F.explode(F.sequence(F.lit(1), F.lit(window - 1))).alias("d")).filter("n > d")
+    near = far.select("id", "d", F.explode(F.sequence(F.col("d"), F.col("n") - 1)).alias("p"))
+    ends = F.array(F.struct(F.col("p").alias("src"), (F.col("p") - F.col("d")).alias("dst")), F.struct((F.col("p") - F.col("d")).alias("src"), F.col("p").alias("dst")))
+    return near.select("id", F.explode(ends).alias("e")).select("id", "e.src", "e.dst", F.lit(1.0).alias("w"))
 
 
 def token_nodes(docs: DataFrame, id_name: str, tokens: str, window: int = WINDOW) -> DataFrame:
@@ -97,7 +107,7 @@ def token_nodes(docs: DataFrame, id_name: str, tokens: str, window: int = WINDOW
         linked = np.flatnonzero(g.degree)
         return g.owner[linked], [words.dictionary.take(pa.array(g.code[linked])), pa.array(g.degree[linked])]
 
-    return _batched(docs, id_name, [F.col(tokens)], "node string, degree double", emit)
+    return batched(docs, id_name, [F.col(tokens)], "node string, degree double", emit)
 
 
 def token_hop(docs: DataFrame, id_name: str, tokens: str, values: str, window: int = WINDOW) -> DataFrame:
@@ -111,7 +121,7 @@ def token_hop(docs: DataFrame, id_name: str, tokens: str, values: str, window: i
         linked = np.flatnonzero(g.degree)
         return g.owner[linked], [words.dictionary.take(pa.array(g.code[linked])), pa.array(np.maximum(total[linked], 0.0))]
 
-    return _batched(docs, id_name, [F.col(tokens), F.col(values).cast("array<double>")], "node string, x double", emit)
+    return batched(docs, id_name, [F.col(tokens), F.col(values).cast("array<double>")], "node string, x double", emit)
 
 
 # ---- the same steps for edge tables -------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Models: a trained baseline over hashed tokens, and graph-network inference with given weights.
 
-Training is MLlib's; the graph network is applied, not trained: its weights are an input. Per document the token graph
-is small and dense work, so it runs in Arrow batches with numpy, with no exchange.
+Training is MLlib's; the graph network is applied, not trained: its weights are an input. The graphs of many documents
+are one sparse graph in an Arrow batch, so layers run over their edges in numpy, with no exchange and no dense matrix.
 """
 
 from __future__ import annotations
@@ -10,13 +10,17 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import squeeze
+from .graph import WINDOW, Graphs, batched
+
 FEATURES, EPOCHS, REGULAR = 1 << 14, 25, 0.01
 
 
@@ -63,26 +67,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def adjacency(ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids, symmetrically normalised 0/1 matrix of those that share a window)."""
-    nodes, at = np.unique(ids, return_inverse=True)
-    a = np.zeros((len(nodes), len(nodes)))
-    for d in range(1, window):
-        x, y = at[:-d], at[d:]
-        other = x != y
-        a[x[other], y[other]] = a[y[other], x[other]] = 1.0
-    degree = a.sum(axis=1)
-    scale = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0)
-    return nodes, a * scale[:, None] * scale[None, :]
+def messages(g: Graphs, x: np.ndarray) -> np.ndarray:
+    """The normalised sum of the neighbours' rows for every node of several graphs, a column at a time."""
+    return np.stack([np.bincount(g.src, weights=g.norm * c[g.dst], minlength=len(g.code)) for c in x.T], axis=1)
 
 
-def gcn(norm: np.ndarray, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    return np.maximum(norm @ (x @ weight), 0)
+def gcn(g: Graphs, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.maximum(messages(g, x @ weight), 0)
 
 
-def gated_step(norm: np.ndarray, x: np.ndarray, w: Mapping[str, np.ndarray]) -> np.ndarray:
+def gated_step(g: Graphs, x: np.ndarray, w: Mapping[str, np.ndarray]) -> np.ndarray:
     """One gated step: messages update node states through update and reset gates."""
-    m = norm @ x
+    m = messages(g, x)
     z = sigmoid(m @ w["z_in"] + x @ w["z_self"])
     r = sigmoid(m @ w["r_in"] + x @ w["r_self"])
     new = np.maximum(m @ w["h_in"] + (r * x) @ w["h_self"], 0)
@@ -94,11 +90,48 @@ def lora(x: np.ndarray, weight: np.ndarray, down: np.ndarray, up: np.ndarray, sc
     return x @ weight + (x @ down) @ up * scale
 
 
-def read_out(x: np.ndarray, attention: np.ndarray, value: np.ndarray, how: str = "mul") -> np.ndarray:
-    """Soft attention over nodes, then their sum and maximum combined."""
+def read_out(x: np.ndarray, starts: np.ndarray, attention: np.ndarray, value: np.ndarray, how: str = "mul") -> np.ndarray:
+    """Soft attention over nodes, then per graph their sum and maximum combined; a graph's nodes begin at its start."""
     y = sigmoid(x @ attention) * np.maximum(x @ value, 0)
-    total, most = y.sum(axis=0), y.max(axis=0)
-    return {"sum": total + most, "mul": total * most, "concat": np.concatenate((total, most))}[how]
+    total, most = np.add.reduceat(y, starts, axis=0), np.maximum.reduceat(y, starts, axis=0)
+    return {"sum": total + most, "mul": total * most, "concat": np.concatenate((total, most), axis=1)}[how]
+
+
+def classify(graphs: np.ndarray, w: Mapping[str, np.ndarray]) -> np.ndarray:
+    """Probabilities by a hidden layer and an output."""
+    return sigmoid(np.tanh(graphs @ w["dense"]) @ w["out"]).ravel()
+
+
+def embed(graphs: np.ndarray, w: Mapping[str, np.ndarray]) -> np.ndarray:
+    """Unit vectors by two layers; a zero vector stays."""
+    v = np.maximum(graphs @ w["embed0"], 0) @ w["embed1"]
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1)
+
+
+def convolve(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Rows convolved along their order: ``kernel`` is width x in x out, no padding, then cut at zero."""
+    k = len(kernel)
+    return np.maximum(sum(x[i : len(x) - k + 1 + i] @ kernel[i] for i in range(k)), 0)
+
+
+def pooled(x: np.ndarray, size: int, step: int = 2) -> np.ndarray:
+    """Maxima of ``size`` rows, every ``step``; what does not fill a window is left out."""
+    n = (len(x) - size) // step + 1
+    return np.stack([x[i * step : i * step + size].max(axis=0) for i in range(max(n, 0))]) if n > 0 else np.zeros((0, x.shape[1]))
+
+
+def conv_read_out(states: np.ndarray, features: np.ndarray, w: Mapping[str, np.ndarray]) -> float:
+    """One graph's probability: node states, and states beside features, each through two convolutions and pools; their
+    scores are multiplied and averaged. Fewer than nine nodes fill no window and give 0.5."""
+    def branch(x: np.ndarray, wide: str, narrow: str, score: str) -> np.ndarray:
+        return pooled(convolve(pooled(convolve(x, w[wide]), 3), w[narrow]), 2) @ w[score]
+
+    if len(states) < 9:
+        return 0.5
+    alone = branch(states, "conv0", "conv1", "score")
+    beside = branch(np.concatenate((states, features), axis=1), "both_conv0", "both_conv1", "both_score")
+    return float(sigmoid((alone * beside).mean(axis=0))[0])
 
 
 def chebyshev(adjacency_matrix: np.ndarray, order: int) -> list[np.ndarray]:
@@ -112,29 +145,54 @@ def chebyshev(adjacency_matrix: np.ndarray, order: int) -> list[np.ndarray]:
     return out[: order + 1]
 
 
-def forward(ids: np.ndarray, w: Mapping[str, np.ndarray], window: int) -> tuple[float, np.ndarray]:
-    """(probability, unit embedding) of one document's token ids.
+def chebyshev_terms(edges: DataFrame, order: int) -> DataFrame:
+    """id, k, i, j, value: polynomials T_0..T_order of each graph of ``edges`` (id, src, dst, w; nodes from 0, weights
+    normalised), dense and one graph a group, so for graphs of some thousand nodes at most."""
 
-    ``w``: table, layer0, layer1, ... (square after the first), attention, value, out, embed.
-    """
-    if not len(ids):
-        return 0.5, np.zeros(w["embed"].shape[1])
-    nodes, norm = adjacency(ids, window)
-    x = gcn(norm, w["table"][nodes], w["layer0"])
-    for k in range(1, sum(name.startswith("layer") for name in w)):
-        x = x + gcn(norm, x, w[f"layer{k}"])
-    graph = read_out(x, w["attention"], w["value"])
-    vector = graph @ w["embed"]
-    length = np.linalg.norm(vector)
-    return float(sigmoid(graph @ w["out"]).ravel()[0]), vector / (length if length > 0 else 1)
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(max(rows["src"].max(), rows["dst"].max())) + 1
+        a = np.zeros((n, n))
+        a[rows["src"], rows["dst"]] = rows["w"]
+        terms = np.stack(chebyshev(a, order))
+        k, i, j = (x.ravel() for x in np.indices(terms.shape))
+        return pd.DataFrame({"id": rows["id"].iloc[0], "k": k, "i": i, "j": j, "value": terms.ravel()})
 
+    return edges.groupBy("id").applyInPandas(one, "id long, k int, i int, j int, value double")
 
-def graph_scores(ids: Column, w: Mapping[str, np.ndarray], window: int = 3) -> Column:
-    """Struct of cls_prob and embedding for an array of token ids."""
 
-    @F.pandas_udf("cls_prob double, embedding array<double>")
-    def score(batch: pd.Series) -> pd.DataFrame:
-        found = [forward(np.asarray(x if x is not None else [], dtype=np.int64), w, window) for x in batch]
-        return pd.DataFrame({"cls_prob": [p for p, _ in found], "embedding": [list(v) for _, v in found]})
+def forward(g: Graphs, codes: np.ndarray, w: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, probability, unit embedding) of every graph that has nodes; ``codes`` are the rows of ``table`` by node.
 
-    return score(ids)
+    ``w``: table, layer0, layer1, ... (square after the first), attention, value, dense, out, embed0, embed1.
+    """
+    x = gcn(g, w["table"][codes], w["layer0"])
+    for k in range(1, sum(name.startswith("layer") for name in w)):
+        x = x + gcn(g, x, w[f"layer{k}"])
+    which, starts = np.unique(g.owner, return_index=True)
+    graphs = read_out(x, starts, w["attention"], w["value"])
+    return which, classify(graphs, w), embed(graphs, w)
+
+
+def graph_scores(docs: DataFrame, id_name: str, ids: str, w: Mapping[str, np.ndarray], window: int = WINDOW) -> DataFrame:
+    """id, cls_prob, embedding: one row a document of token ids; without any, probability 0.5 and a zero vector."""
+    width = w["embed1"].shape[1]
+
+    def emit(words: pa.DictionaryArray, sizes: np.ndarray, part: pa.RecordBatch):
+        prob, vectors = np.full(len(sizes), 0.5), np.zeros((len(sizes), width))
+        if len(words):
+            g = Graphs(words.indices.to_numpy().astype(np.int64), sizes.astype(np.int64), window)
+            which, p, v = forward(g, words.dictionary.to_numpy()[g.code], w)
+            prob[which], vectors[which] = p, v
+        flat = pa.array(vectors.ravel())
+        return np.arange(len(sizes)), [pa.array(prob), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * width), flat)]
+
+    return batched(docs, id_name, [F.col(ids).cast("array<int>")], "cls_prob double, embedding array<double>", emit)
+
+
+def encode_catalogue(catalogue: DataFrame, ids_of, w: Mapping[str, np.ndarray], window: int = WINDOW) -> DataFrame:
+    """exploit_id, embedding of catalogue entries: their harness, else their payload, squeezed and made token ids by
+    ``ids_of`` (Column -> Column). Entries without either have no vector."""
+    code = F.coalesce(*[F.when(F.length(c) > 0, F.col(c)) for c in ("harness_template", "payload_template")])
+    rows = catalogue.select("exploit_id", squeeze(code).alias("code")).filter(F.length("code") > 0)
+    scored = graph_scores(rows.select("exploit_id", ids_of(F.col("code")).alias("ids")), "exploit_id", "ids", w, window)
+    return scored.select(F.col("id").alias("exploit_id"), "embedding")

@@ -16,9 +16,15 @@ def assign_split(samples: DataFrame, splits: dict[str, DataFrame], id_name: str
 
 
 def dedup_by_content(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """The first row, by ``order``, of each text; a hash stands for the text in the shuffle, aggregated before it."""
-    first = rows.groupBy(F.md5(text).alias("__md5")).agg(F.min(order).alias("__first"))
-    return rows.join(first.select(F.col("__first").alias(order)), order, "left_semi")
+    """The first row, by ``order``, of each text; a hash stands for the text in the shuffle, aggregated before it.
+
+    A null text is a text. Rows that share text and order count once; rows that share only their order are told apart."""
+    content = F.coalesce(F.md5(text), F.lit(""))
+    first = rows.groupBy(content.alias("__md5")).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    marked = rows.withColumn("__key", content)
+    kept = marked.join(first, (F.col("__key") == F.col("__md5")) & F.col(order).eqNullSafe(F.col("__first")))
+    single = kept.filter("__n = 1").select(*rows.columns)
+    return single.unionByName(kept.filter("__n > 1").dropDuplicates(["__key"]).select(*rows.columns))
 
 
 def dedup_by_key(rows: DataFrame, keys: list[str], order: list[Column], head: int | None = None, within: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..rules import THRESHOLD
 
 ALONE_SUGGESTIVE = 0.7
+#: Of a confirmed run that states no confidence.
+UNSTATED = 0.9
 
 
 def fused_verdict(hybrid: Column, total: Column, confirmed: Column, suggestive: Column, review: Column) -> Column:
@@ -23,7 +25,7 @@ def fused_verdict(hybrid: Column, total: Column, confirmed: Column, suggestive:
 
 
 def fused_confidence(hybrid: Column, total: Column, confirmed: Column, suggestive: Column, max_confidence: Column, review: Column, review_confidence: Column) -> Column:
-    direct = F.least(F.lit(0.99), 0.5 * hybrid + 0.5 * F.coalesce(max_confidence, F.lit(0.0)))
+    direct = F.least(F.lit(0.99), 0.5 * hybrid + 0.5 * F.coalesce(max_confidence, F.lit(UNSTATED)))
     hinted = 0.9 * hybrid
     yes, no = review == "true_positive", review == "false_positive"
     return (

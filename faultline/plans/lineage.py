@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open_blocks:
+        _open_blocks[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and where it is."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    if _open_blocks:
-        _open_blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

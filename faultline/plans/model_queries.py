@@ -1,40 +1,134 @@
-"""Queries that train or apply a model; SQL cannot state them."""
+"""Queries that train or apply a model. The network's weights follow a rule, so that SQL can state its layers."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import model
+from ..operators import graph, model
+from ..sources import readers
+from . import fixtures as fx
+from .file_queries import template_folder
+from .lineage import place
 
-VOCABULARY, WIDTH, EMBED = 512, 8, 4
+VOCABULARY, WIDTH, EMBED, ORDER = 512, 4, 3, 3
+SHAPES = {
+    "table": (VOCABULARY, WIDTH), "layer0": (WIDTH, WIDTH), "layer1": (WIDTH, WIDTH), "attention": (WIDTH, 1),
+    "value": (WIDTH, WIDTH), "dense": (WIDTH, WIDTH), "out": (WIDTH, 1), "embed0": (WIDTH, WIDTH), "embed1": (WIDTH, EMBED),
+}
+
+
+def weights_by_rule() -> dict[str, np.ndarray]:
+    """Stand-in weights of the graph network, in thirty-seconds; real ones are an input."""
+    return {name: ((np.arange(n)[:, None] * 7 + np.arange(m) * 13 + i * 5) % 17 - 8) / 32 for i, (name, (n, m)) in enumerate(SHAPES.items())}
+
+
+def token_ids(code: Column) -> Column:
+    """Tokens by the first digits of their MD5."""
+    return F.transform(text.tokens(code), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"), F.lit(VOCABULARY)))
+
+
+def _rated(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = fx.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("target"))
+    return docs.join(labels, "doc_id")
+
+
+def _trained(spark, sf_dir):
+    """A model of one part of the rated documents, chosen on a second; the third is for scoring."""
+    rated = _rated(spark, sf_dir)
+    chosen, _ = model.train_best(rated.filter("doc_id % 5 > 1"), rated.filter("doc_id % 5 = 1"), "text")
+    return chosen, rated.filter("doc_id % 5 = 0")
 
 
 def model_baseline(spark, sf_dir):
-    """Rated documents scored by a logistic regression trained on them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("target"))
-    rated = docs.join(labels, "doc_id")
-    return model.score_baseline(model.train_baseline(rated, "text"), rated, "text").select("doc_id", "target", "cls_prob")
+    """Rated documents scored by a logistic regression trained and chosen on others."""
+    chosen, held_out = _trained(spark, sf_dir)
+    return model.score_baseline(chosen, held_out, "text").select("doc_id", "target", "cls_prob")
+
 
+def model_checkpoint(spark, sf_dir):
+    """Whether the model that was saved and loaded gives each document the probability of the one in memory."""
+    chosen, held_out = _trained(spark, sf_dir)
+    path = place(spark, "checkpoint")
+    model.save(chosen, path)
+    mine = model.score_baseline(chosen, held_out, "text").select("doc_id", F.col("cls_prob").alias("p"))
+    again = model.score_baseline(model.load(path), held_out, "text").select("doc_id", "cls_prob")
+    return mine.join(again, "doc_id").select("doc_id", (F.col("p") == F.col("cls_prob")).alias("same"), F.col("p").between(0, 1).alias("in_range"))
 
-def given_weights(seed: int = 1) -> dict[str, np.ndarray]:
-    """Stand-in weights of the graph network; real ones are an input."""
-    r = np.random.default_rng(seed)
-    shapes = {
-        "table": (VOCABULARY, WIDTH), "layer0": (WIDTH, WIDTH), "layer1": (WIDTH, WIDTH), "attention": (WIDTH, 1),
-        "value": (WIDTH, WIDTH), "out": (WIDTH, 1), "embed": (WIDTH, EMBED),
-    }
-    return {k: r.normal(0, 0.3, s) for k, s in shapes.items()}
+
+def _rounded(scored):
+    return [F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in range(EMBED)]
 
 
 def model_graph_scores(spark, sf_dir):
-    """Probability and embedding of every document's token graph under given weights."""
-    ids = F.transform(text.tokens(F.col("text")), lambda t: F.pmod(F.crc32(t), F.lit(VOCABULARY)).cast("int"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", ids.alias("ids"))
-    return docs.select("doc_id", model.graph_scores(F.col("ids"), given_weights()).alias("s")).select("doc_id", "s.cls_prob", "s.embedding")
+    """Probability and embedding of every document's token graph."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
+    scored = model.graph_scores(docs, "doc_id", "ids", weights_by_rule())
+    return scored.select(F.col("id").alias("doc_id"), F.round("cls_prob", 6).alias("cls_prob"), *_rounded(scored))
+
+
+def model_catalogue_vectors(spark, sf_dir):
+    """A template catalogue re-encoded by the network."""
+    catalogue = readers.template_catalogue(spark, template_folder(spark, sf_dir))
+    encoded = model.encode_catalogue(catalogue, token_ids, weights_by_rule())
+    return encoded.select("exploit_id", *_rounded(encoded))
+
+
+def model_chebyshev(spark, sf_dir):
+    """Polynomials of complete graphs of two to six nodes, one a document."""
+    n = (F.col("doc_id") % 5).cast("int") + 2
+    every = F.sequence(F.lit(0), n - 1)
+    pairs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n"), F.explode(every).alias("src")).withColumn("dst", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    edges = pairs.filter("src <> dst").select("id", "src", "dst", F.lit(1.0).alias("w"))
+    terms = model.chebyshev_terms(graph.normalized(edges), ORDER)
+    return terms.select("id", "k", "i", "j", (F.round("value", 6) + 0.0).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (model_baseline, model_checkpoint, model_graph_scores, model_catalogue_vectors, model_chebyshev)}
+
+
+def _product(x: str, name: str, column: int) -> str:
+    """Inner product of the list ``x`` and a column of given weights."""
+    return f"list_inner_product({x}, [{', '.join(repr(float(v)) for v in weights_by_rule()[name][:, column])}]::DOUBLE[])"
+
+
+def _layer(x: str, name: str) -> str:
+    return "[" + ", ".join(_product(x, name, j) for j in range(SHAPES[name][1])) + "]"
+
+
+def _passed(features: str) -> str:
+    """Sums of a list column over edges, cut at zero; one list a node."""
+    sums = ", ".join(f"greatest(sum(w * h[{j + 1}]), 0)" for j in range(WIDTH))
+    return f"SELECT id, src AS node, [{sums}] AS x FROM m JOIN {features} f ON f.id = m.id AND f.node = m.dst GROUP BY 1, 2".replace("SELECT id,", "SELECT m.id,", 1)
+
+
+def _network_sql(samples: str) -> str:
+    """id, p, v of ``samples`` (id, text): the layers as joins over edges."""
+    return f"""tk AS (SELECT id, list_transform(regexp_extract_all(text, '\\w+|[^\\w\\s]'), lambda t: ('0x' || substring(md5(t), 1, 4))::INTEGER % {VOCABULARY}) AS k FROM {samples}),
+q AS (SELECT id, k[p + 1] AS a, k[p - d + 1] AS b FROM tk, unnest(range(1, len(k))) AS x(p), (VALUES (1), (2)) AS w(d) WHERE p - d >= 0),
+e AS (SELECT DISTINCT id, a AS src, b AS dst FROM q WHERE a <> b UNION SELECT DISTINCT id, b, a FROM q WHERE a <> b),
+g AS (SELECT id, src, count(*)::DOUBLE AS degree FROM e GROUP BY 1, 2),
+m AS (SELECT e.id, e.src, e.dst, 1 / sqrt(y.degree * z.degree) AS w FROM e JOIN g y ON y.id = e.id AND y.src = e.src JOIN g z ON z.id = e.id AND z.src = e.dst),
+n AS (SELECT DISTINCT id, unnest(k) AS node FROM tk),
+t0 AS (SELECT id, node, list_transform(range({WIDTH}), lambda c: ((node * 7 + c * 13) % 17 - 8)::DOUBLE / 32::DOUBLE) AS x FROM n),
+h0 AS (SELECT id, node, {_layer("x", "layer0")} AS h FROM t0), p0 AS ({_passed("h0")}),
+t1 AS (SELECT n.id, n.node, coalesce(x, list_transform(range({WIDTH}), lambda c: 0::DOUBLE)) AS x FROM n LEFT JOIN p0 ON p0.id = n.id AND p0.node = n.node),
+h1 AS (SELECT id, node, {_layer("x", "layer1")} AS h FROM t1), p1 AS ({_passed("h1")}),
+t2 AS (SELECT t1.id, t1.node, CASE WHEN p1.x IS NULL THEN t1.x ELSE [{", ".join(f"t1.x[{j + 1}] + p1.x[{j + 1}]" for j in range(WIDTH))}] END AS x FROM t1 LEFT JOIN p1 ON p1.id = t1.id AND p1.node = t1.node),
+y AS (SELECT id, 1 / (1 + exp(-{_product("x", "attention", 0)})) AS s, {_layer("x", "value")} AS v FROM t2),
+r AS (SELECT id, [{", ".join(f"sum(s * greatest(v[{j + 1}], 0)) * max(s * greatest(v[{j + 1}], 0))" for j in range(WIDTH))}] AS g FROM y GROUP BY 1),
+d AS (SELECT id, list_transform({_layer("g", "dense")}, lambda c: tanh(c)) AS t, list_transform({_layer("g", "embed0")}, lambda c: greatest(c, 0)) AS u FROM r),
+o AS (SELECT id, 1 / (1 + exp(-{_product("t", "out", 0)})) AS p, {_layer("u", "embed1")} AS v FROM d),
+z AS (SELECT id, p, v, sqrt(list_inner_product(v, v)) AS l FROM o)"""
 
 
-QUERIES = {f.__name__: f for f in (model_baseline, model_graph_scores)}
-SQL: dict[str, str] = {}
+_PARTS = ", ".join(f"coalesce(round(CASE WHEN l > 0 THEN v[{i + 1}] / l ELSE v[{i + 1}] END, 6), 0) AS e{i}" for i in range(EMBED))
+SQL = {
+    "model_checkpoint": "SELECT DISTINCT doc_id, true AS same, true AS in_range FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0",
+    "model_graph_scores": f"WITH s AS (SELECT doc_id AS id, text FROM documents), {_network_sql('s')} SELECT s.id AS doc_id, coalesce(round(p, 6), 0.5) AS cls_prob, {_PARTS} FROM s LEFT JOIN z USING (id)",
+    "model_catalogue_vectors": f"WITH s AS (SELECT 't' || item_id AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark), {_network_sql('s')} SELECT s.id AS exploit_id, {_PARTS} FROM s LEFT JOIN z USING (id) WHERE s.text <> ''",
+    "model_chebyshev": f"SELECT doc_id AS id, k::INTEGER AS k, i::INTEGER AS i, j::INTEGER AS j, round((i = j)::INTEGER - CASE WHEN k % 2 = 1 THEN 2::DOUBLE / (doc_id % 5 + 2) ELSE 0 END, 6) AS value FROM documents, unnest(range({ORDER + 1})) AS a(k), unnest(range(doc_id % 5 + 2)) AS b(i), unnest(range(doc_id % 5 + 2)) AS c(j)",
+}

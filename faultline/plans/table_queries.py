@@ -118,11 +118,11 @@ def text_line_numbers(spark, sf_dir):
 
 
 def text_function_name(spark, sf_dir):
-    return fx.frame(spark, fx.CODES, fx.CODE_DDL).select("sample_id", text.function_name(F.col("code")).alias("name"), text.defines_main(F.col("code")).alias("has_main"))
+    return fx.codes(spark, sf_dir).select("sample_id", text.function_name(F.col("code")).alias("name"), text.defines_main(F.col("code")).alias("has_main"))
 
 
 def text_strip_comments(spark, sf_dir):
-    return fx.frame(spark, fx.CODES, fx.CODE_DDL).select("sample_id", text.strip_comments(F.col("code")).alias("bare"))
+    return fx.codes(spark, sf_dir).select("sample_id", text.strip_comments(F.col("code")).alias("bare"))
 
 
 # ---- graphs -------------------------------------------------------------------------------------------------
@@ -148,17 +148,17 @@ def graph_norm_adj(spark, sf_dir):
     return graph.token_edges(_tokens(spark, sf_dir), "doc_id", "tokens").select("id", "src", "dst", F.col("norm").alias("w"))
 
 
-def _hop(spark, sf_dir):
+def hop_values(spark, sf_dir):
     docs = _tokens(spark, sf_dir).withColumn("values", F.transform("tokens", lambda t: F.length(t).cast("double") - 3.0))
     return graph.token_hop(docs, "doc_id", "tokens", "values")
 
 
 def graph_hop(spark, sf_dir):
-    return _hop(spark, sf_dir).select("id", "node", F.round("x", 6).alias("x"))
+    return hop_values(spark, sf_dir).select("id", "node", F.round("x", 6).alias("x"))
 
 
 def graph_pool(spark, sf_dir):
-    return graph.pool(_hop(spark, sf_dir), "mul").select("id", F.round("graph", 5).alias("graph"))
+    return graph.pool(hop_values(spark, sf_dir), "mul").select("id", F.round("graph", 5).alias("graph"))
 
 
 # ---- selection and events -----------------------------------------------------------------------------------
@@ -203,12 +203,12 @@ for _sign, _to in ((",", " , "), ("!", " ! "), ("(", r" \( "), (")", r" \) "), (
 _PIECE = r"""(?s)//[^\n]*|/\*.*?\*/|''(?:\\.|[^\\''])*''|"(?:\\.|[^\\"])*"|[^/''"]+|."""
 _HEAD = r"(?:(?:static|void|int|char|long|unsigned|short|float|double|size_t|ssize_t)\s*\*?\s+)+(\w+)\s*\("
 _SKIP = "('if', 'for', 'while', 'switch', 'return', 'sizeof', 'main')"
-_CODE = fx.values(fx.CODES, fx.CODE_DDL)
+_CODE = fx.CODES_SQL
 _TOK = f"t AS (SELECT doc_id AS id, {_TOKENS} AS k FROM documents), s AS (SELECT id, k, len(k) AS n FROM t), " \
     "q AS (SELECT id, n, p, d, k[p + 1] AS a, k[p - d + 1] AS b, p - d AS o FROM s, unnest(range(1, n)) AS x(p), (VALUES (1), (2)) AS w(d) WHERE p - d >= 0)"
 _E = f"WITH {_TOK}, e AS (SELECT DISTINCT id, a AS src, b AS dst FROM q WHERE a <> b UNION SELECT DISTINCT id, b, a FROM q WHERE a <> b), g AS (SELECT id, src, dst, 1.0::DOUBLE AS w FROM e), d AS (SELECT id, src, sum(w) AS degree FROM g GROUP BY 1, 2)"
 _N = f"{_E}, m AS (SELECT g.id, g.src, g.dst, g.w / sqrt(x.degree * y.degree) AS w FROM g JOIN d x ON x.id = g.id AND x.src = g.src JOIN d y ON y.id = g.id AND y.src = g.dst)"
-_HOP = f"{_N}, h AS (SELECT id, src AS node, greatest(sum(w * (length(dst)::DOUBLE - 3.0)), 0) AS x FROM m GROUP BY 1, 2)"
+HOP_SQL = f"{_N}, h AS (SELECT id, src AS node, greatest(sum(w * (length(dst)::DOUBLE - 3.0)), 0) AS x FROM m GROUP BY 1, 2)"
 _ORDER = f"md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)), doc_id"
 
 QUERIES = {
@@ -248,8 +248,8 @@ SQL = {
     "graph_edge_weights": f"WITH {_TOK}, w AS (SELECT id, a, b, CASE WHEN n <= 3 THEN 1 ELSE least(o, n - 3) - greatest(p - 2, 0) + 1 END AS c FROM q WHERE a <> b), u AS (SELECT id, a, b, c FROM w UNION ALL SELECT id, b, a, c FROM w) SELECT id, a AS src, b AS dst, sum(c)::BIGINT AS w FROM u GROUP BY 1, 2, 3",
     "graph_degree": f"{_E} SELECT * FROM d",
     "graph_norm_adj": f"{_N} SELECT * FROM m",
-    "graph_hop": f"{_HOP} SELECT id, node, round(x, 6) AS x FROM h",
-    "graph_pool": f"{_HOP} SELECT id, round(sum(x) * max(x), 5) AS graph FROM h GROUP BY 1",
+    "graph_hop": f"{HOP_SQL} SELECT id, node, round(x, 6) AS x FROM h",
+    "graph_pool": f"{HOP_SQL} SELECT id, round(sum(x) * max(x), 5) AS graph FROM h GROUP BY 1",
     "split_assign": "SELECT d.doc_id, source, CASE WHEN quality = 1 THEN 'train' ELSE 'valid' END AS split FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1)) l USING (doc_id)",
     "replay_mix": f"SELECT doc_id, lang, 1 AS is_new FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, lang, 0 FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY {_ORDER}) AS r, count(*) OVER () AS n FROM documents WHERE lang = 'en') WHERE r <= floor({SAMPLE_SHARE} * n)",
     "evidence_early_stop": "SELECT event_id, user_id, event_type FROM (SELECT *, coalesce(sum((event_type = 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) WHERE before = 0",

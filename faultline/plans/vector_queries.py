@@ -168,3 +168,5 @@ SQL = {
     "loss_supcon": f"{_U}, r AS (SELECT b, i, ln(sum(exp(sim / 0.07))) - avg(sim / 0.07) FILTER (same) AS l FROM p GROUP BY 1, 2) SELECT b, round(coalesce(avg(l), 0), 6) AS loss FROM r GROUP BY 1",
     "loss_triplet": f"{_U}, r AS (SELECT b, i, max(sqrt(greatest(2 - 2 * sim, 0))) FILTER (same) AS pos, min(sqrt(greatest(2 - 2 * sim, 0))) FILTER (NOT same) AS neg FROM p GROUP BY 1, 2) SELECT b, round(coalesce(avg(greatest(pos - neg + 0.3, 0)) FILTER (pos IS NOT NULL AND neg IS NOT NULL), 0), 6) AS loss FROM r GROUP BY 1",
 }
+#: The cells lose nothing, so the exact search states them.
+SQL["vec_topk_cells"] = SQL["vec_topk"]

@@ -10,48 +10,55 @@ from pyspark.sql import functions as F
 from faultline import api, rules, schemas
 from faultline.functions import text, vectors
 from faultline.operators import evaluation, evidence, graph, model, report, scoring, selection, taint, triage, vector_search, verdict
-from faultline.plans import fixtures as fx
 
 # ---- evidence -----------------------------------------------------------------------------------------------
 
+LOG_DDL = "run_id long, sample_id long, ord int, exit_code int, stdout string, stderr string, timed_out boolean, expected_signals array<string>"
 CASES = [
-    (1, "", "ERROR: AddressSanitizer: stack-buffer-overflow on address 0x7fff0", False, [], "CONFIRMED", 0.95, "asan", "CWE-121"),
-    (0, "a.c: runtime error: signed integer overflow: 2147483647 + 1 cannot be represented in type 'int'", "", False, [], "CONFIRMED", 0.90, "ubsan", "CWE-190"),
+    (1, "", "==9==ERROR: AddressSanitizer: stack-buffer-overflow in row_copy", False, [], "CONFIRMED", 0.95, "asan", "CWE-121"),
+    (0, "sum.c:4: runtime error: signed integer overflow while adding", "", False, [], "CONFIRMED", 0.90, "ubsan", "CWE-190"),
     (-11, "", "", False, [], "CONFIRMED", 0.9, "", ""),
     (134, "", "", False, [], "CONFIRMED", 0.9, "", ""),
-    (1, "some output", "", False, [], "SUGGESTIVE", 0.3, "", ""),
+    (1, "usage: tool FILE", "", False, [], "SUGGESTIVE", 0.3, "", ""),
     (-1, "", "", True, [], "NEUTRAL", 0.0, "", ""),
-    (0, "No crash detected", "", False, [], "SAFE", 1.0, "", ""),
-    (0, "heap-use-after-free detected", "", False, ["heap-use-after-free"], "CONFIRMED", 0.95, "asan", "CWE-416"),
-    (134, "", "*** stack smashing detected ***: terminated", False, [], "CONFIRMED", 0.87, "crash", ""),
-    (0, "", "Invalid read of size 4\nERROR SUMMARY: 1 errors", False, [], "CONFIRMED", 0.85, "valgrind", ""),
-    (0, "", "definitely lost: 48 bytes\nERROR SUMMARY: 0 errors", False, [], "SUGGESTIVE", 0.6, "valgrind", "CWE-401"),
-    (0, "", "Use of uninitialised value\nERROR SUMMARY: 3 errors", False, [], "SUGGESTIVE", 0.6, "valgrind", "CWE-401"),
-    (77, "", "MemorySanitizer: use-of-uninitialized-value", False, [], "CONFIRMED", 0.93, "msan", "CWE-457"),
-    (66, "", "WARNING: ThreadSanitizer: data race (pid=1234)", False, [], "CONFIRMED", 0.91, "tsan", "CWE-362"),
-    (1, "", "PANIC: unexpected state", False, [], "SUGGESTIVE", 0.5, "", ""),
-    (-11, "", "AddressSanitizer: SEGV on unknown address\nSegmentation fault", False, [], "CONFIRMED", 1.0, "asan", ""),
-    (133, "", "Trace/breakpoint trap", False, [], "CONFIRMED", 0.87, "crash", ""),
-    (0, "", "runtime error: index 10 out of bounds for type 'int [5]'", False, [], "CONFIRMED", 0.90, "ubsan", ""),
-    (0, "Format STRING", None, False, ["format string"], "CONFIRMED", 0.85, "", ""),
+    (0, "all rows written", "", False, [], "SAFE", 1.0, "", ""),
+    (0, "saw heap-use-after-free in the cache", "", False, ["heap-use-after-free"], "CONFIRMED", 0.95, "asan", "CWE-416"),
+    (134, "", "*** stack smashing detected *** in head()", False, [], "CONFIRMED", 0.87, "crash", ""),
+    (0, "", "Invalid read of size 2\nERROR SUMMARY: 7 errors", False, [], "CONFIRMED", 0.85, "valgrind", ""),
+    (0, "", "definitely lost: 96 bytes\nERROR SUMMARY: 0 errors", False, [], "SUGGESTIVE", 0.6, "valgrind", "CWE-401"),
+    (0, "", "Use of uninitialised value in sort\nERROR SUMMARY: 5 errors", False, [], "SUGGESTIVE", 0.6, "valgrind", "CWE-401"),
+    (77, "", "MemorySanitizer: use-of-uninitialized-value in f", False, [], "CONFIRMED", 0.93, "msan", "CWE-457"),
+    (66, "", "ThreadSanitizer: data race on counter", False, [], "CONFIRMED", 0.91, "tsan", "CWE-362"),
+    (1, "", "PANIC while closing", False, [], "SUGGESTIVE", 0.5, "", ""),
+    (-11, "", "AddressSanitizer: SEGV on unknown address 0x08\nSegmentation fault", False, [], "CONFIRMED", 1.0, "asan", ""),
+    (133, "", "Trace/breakpoint trap at start", False, [], "CONFIRMED", 0.87, "crash", ""),
+    (0, "", "runtime error: index 31 out of bounds", False, [], "CONFIRMED", 0.90, "ubsan", ""),
+    (0, "Stale HANDLE", None, False, ["stale handle"], "CONFIRMED", 0.85, "", ""),
     (0, "fatal", "", False, None, "NEUTRAL", 0.0, "", ""),
     (139, "", "", True, [], "CONFIRMED", 0.9, "", ""),
+    (5, None, None, None, None, "SUGGESTIVE", 0.3, "", ""),
 ]
 
 
 def test_evidence_ladder(spark):
     rows = [(i, 1, i, *c[:5]) for i, c in enumerate(CASES)]
-    out = evidence.classify(fx.frame(spark, rows, fx.LOG_DDL)).orderBy("run_id").collect()
+    out = evidence.classify(spark.createDataFrame(rows, LOG_DDL)).orderBy("run_id").collect()
     assert [(r.level, r.confidence, r.sanitizer_source, r.cwe_id) for r in out] == [c[5:] for c in CASES]
-    assert out[11].valgrind_errors == 3 and out[2].matched_patterns == ["SIGSEGV"]
+    assert out[11].valgrind_errors == 5 and out[2].matched_patterns == ["SIGSEGV"]
+    assert evidence.classify(spark.createDataFrame([], LOG_DDL)).count() == 0
+
+
+def test_expectations(spark):
+    got = evidence.expectations(spark.createDataFrame([("race_condition",), ("other",), (None,)], "vuln_type string")).collect()
+    assert [(r.sanitizers, r.expected_signals) for r in got] == [("thread", ["ThreadSanitizer", "data race"]), ("", []), ("", [])]
 
 
 def test_asan_report(spark):
-    log = "ERROR: AddressSanitizer: heap-buffer-overflow on address\nREAD of size 4 at 0x602000000014 thread T0\n#0 0x4005e7 in strcpy /lib/x.c:1\n#1 0x400612 in main /src/a.c:9\n"
-    r = evidence.classify(fx.frame(spark, [(1, 1, 0, 1, log, "", False, []), (2, 1, 1, -11, "", "", False, [])], fx.LOG_DDL)).orderBy("run_id").collect()
+    log = "ERROR: AddressSanitizer: heap-buffer-overflow in rows\nWRITE of size 16 at 0x7e00aa10 thread T2\n#0 0x51a2f0 in fill /src/fill.c:8\n#1 0x51b004 in work /src/work.c:77\n"
+    r = evidence.classify(spark.createDataFrame([(1, 1, 0, 1, log, "", False, []), (2, 1, 1, -11, "", "", False, [])], LOG_DDL)).orderBy("run_id").collect()
     a = r[0].asan_report
-    assert (a.error_type, a.access_type, a.access_size, a.address) == ("heap-buffer-overflow", "READ", 4, "0x602000000014")
-    assert a.stack_frames == ["#0 strcpy (/lib/x.c:1)", "#1 main (/src/a.c:9)"] and r[1].asan_report is None
+    assert (a.error_type, a.access_type, a.access_size, a.address) == ("heap-buffer-overflow", "WRITE", 16, "0x7e00aa10")
+    assert a.stack_frames == ["#0 fill (/src/fill.c:8)", "#1 work (/src/work.c:77)"] and r[1].asan_report is None
 
 
 def test_early_stop_is_a_prefix(spark):
@@ -102,6 +109,13 @@ def test_verdict(spark, h, level, conf, review, review_conf, want, confidence):
     assert r.verdict == want and math.isclose(r.confidence, confidence)
 
 
+def test_confirmed_without_a_stated_confidence(spark):
+    proof = spark.createDataFrame([(1, 0, "CONFIRMED", None, "", "")], "sample_id long, ord int, evidence_level string, confidence double, cwe_id string, sanitizer_source string")
+    none = spark.createDataFrame([], "sample_id long, verdict string, confidence double")
+    r = verdict.fuse(spark.createDataFrame([(1, 0.8)], "sample_id long, hybrid_score double"), evidence.rollup(proof), none).first()
+    assert r.verdict == "CONFIRMED" and math.isclose(r.confidence, 0.5 * 0.8 + 0.5 * 0.9)
+
+
 def test_dry_run(spark):
     assert verdict.dry_run(spark.createDataFrame([(1,)], "x int")).first().evidence_level == "NEUTRAL"
 
@@ -250,18 +264,93 @@ def test_edges_against_sliding_windows(spark, w):
     assert {(r.id, r.node): r.x for r in graph.token_hop(valued, "id", "t", "x", w).collect()} == pytest.approx(want)
 
 
-def test_layers():
+def dense(ids, window):
+    """Distinct ids and the normalised matrix of those that share a window, from the definition."""
+    nodes = sorted(set(ids))
+    a = np.zeros((len(nodes), len(nodes)))
+    for p in range(len(ids)):
+        for q in range(max(0, p - window + 1), p):
+            if ids[p] != ids[q]:
+                i, j = nodes.index(ids[p]), nodes.index(ids[q])
+                a[i, j] = a[j, i] = 1
+    d = a.sum(axis=1)
+    scale = np.array([1 / np.sqrt(x) if x else 0 for x in d])
+    return nodes, a * scale[:, None] * scale[None, :]
+
+
+def network(ids, w, window):
+    """One document's probability and embedding with dense matrices."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    nodes, norm = dense(ids, window)
+    x = np.maximum(norm @ w["table"][nodes] @ w["layer0"], 0)
+    x = x + np.maximum(norm @ x @ w["layer1"], 0)
+    y = sigmoid(x @ w["attention"]) * np.maximum(x @ w["value"], 0)
+    g = y.sum(axis=0) * y.max(axis=0)
+    v = np.maximum(g @ w["embed0"], 0) @ w["embed1"]
+    return sigmoid(np.tanh(g @ w["dense"]) @ w["out"])[0], v / (np.linalg.norm(v) or 1)
+
+
+def test_graph_scores_equal_dense_matrices(spark):
+    r = np.random.default_rng(8)
+    shapes = {"table": (40, 5), "layer0": (5, 5), "layer1": (5, 5), "attention": (5, 1), "value": (5, 5), "dense": (5, 4), "out": (4, 1), "embed0": (5, 6), "embed1": (6, 3)}
+    w = {k: r.normal(0, 0.7, s) for k, s in shapes.items()}
+    docs = [(i, [int(x) for x in r.integers(0, 40, n)]) for i, n in enumerate([1, 2, 3, 8, 30, 200, 0, 5])] + [(8, None), (9, [3] * 50)]
+    df = spark.createDataFrame(docs, "id long, ids array<int>").repartition(2)
+    got = {x.id: x for x in model.graph_scores(df, "id", "ids", w).collect()}
+    assert len(got) == len(docs)
+    for i, ids in docs:
+        p, v = network(ids, w, 3) if ids else (0.5, np.zeros(3))
+        assert math.isclose(got[i].cls_prob, p, abs_tol=1e-12) and np.allclose(got[i].embedding, v)
+    assert model.graph_scores(df.limit(0), "id", "ids", w).count() == 0
+    entries = spark.createDataFrame([("a", "x  y\nz", "p"), ("b", "", "x y z"), ("c", None, "")], "exploit_id string, harness_template string, payload_template string")
+    ids_of = lambda c: F.transform(text.tokens(c), lambda t: F.pmod(F.crc32(t), F.lit(40)).cast("int"))
+    vectors_of = {x.exploit_id: x.embedding for x in model.encode_catalogue(entries, ids_of, w).collect()}
+    assert vectors_of.keys() == {"a", "b"} and np.allclose(vectors_of["a"], vectors_of["b"])
+
+
+def test_layers(spark):
     ids = np.array([5, 7, 5, 9, 7])
-    nodes, norm = model.adjacency(ids, 2)
-    assert nodes.tolist() == [5, 7, 9] and np.allclose(norm, norm.T) and not norm.diagonal().any()
-    assert np.isclose(norm[0, 1], 1 / np.sqrt(2 * 2))
+    nodes, norm = dense(ids.tolist(), 2)
+    g = graph.Graphs(np.unique(ids, return_inverse=True)[1], np.array([5]), 2)
+    x = np.random.default_rng(1).normal(size=(3, 3))
+    assert np.allclose(model.messages(g, x), norm @ x) and np.allclose(model.gcn(g, x, x), np.maximum(norm @ x @ x, 0))
     t = model.chebyshev(norm, 3)
     assert len(t) == 4 and np.allclose(t[2], 2 * t[1] @ t[1] - np.eye(3))
-    x = np.eye(3)
-    assert np.allclose(model.lora(x, x, np.ones((3, 1)), np.ones((1, 3)), 2.0), x + 2)
+    edges = [(1, i, j, float(norm[i, j])) for i in range(3) for j in range(3) if norm[i, j]]
+    terms = model.chebyshev_terms(spark.createDataFrame(edges, "id long, src int, dst int, w double"), 3).collect()
+    assert len(terms) == 36 and all(abs(t[r.k][r.i, r.j] - r.value) < 1e-12 for r in terms)
+    assert np.allclose(model.lora(x, x, np.ones((3, 1)), np.ones((1, 3)), 2.0), x @ x + x.sum(axis=1, keepdims=True) * 2)
     w = {k: np.full((3, 3), 0.1) for k in ("z_in", "z_self", "r_in", "r_self", "h_in", "h_self")}
-    assert model.gated_step(norm, x, w).shape == (3, 3)
-    assert model.read_out(x, np.ones((3, 1)), np.eye(3), "concat").shape == (6,)
+    z = 1 / (1 + np.exp(-(norm @ x @ w["z_in"] + x @ w["z_self"])))
+    r = 1 / (1 + np.exp(-(norm @ x @ w["r_in"] + x @ w["r_self"])))
+    new = np.maximum(norm @ x @ w["h_in"] + (r * x) @ w["h_self"], 0)
+    assert np.allclose(model.gated_step(g, x, w), new * z + x * (1 - z))
+    both = model.read_out(np.vstack((x, x)), np.array([0, 3]), np.ones((3, 1)), np.eye(3), "concat")
+    assert both.shape == (2, 6) and np.allclose(both[0], both[1])
+
+
+def test_conv_read_out():
+    r = np.random.default_rng(6)
+    h, f = r.normal(size=(14, 2)), r.normal(size=(14, 3))
+    w = {"conv0": r.normal(size=(3, 2, 2)), "conv1": r.normal(size=(1, 2, 2)), "score": r.normal(size=(2, 1)),
+         "both_conv0": r.normal(size=(3, 5, 5)), "both_conv1": r.normal(size=(1, 5, 5)), "both_score": r.normal(size=(5, 1))}
+
+    def branch(x, wide, narrow, score):
+        first = [[max(0, sum(x[i + k][a] * wide[k][a][b] for k in range(3) for a in range(len(x[0])))) for b in range(len(x[0]))] for i in range(len(x) - 2)]
+        first = [[max(first[i + k][b] for k in range(3)) for b in range(len(x[0]))] for i in range(0, len(first) - 2, 2)]
+        second = [[max(0, sum(y[a] * narrow[0][a][b] for a in range(len(y)))) for b in range(len(y))] for y in first]
+        second = [[max(second[i][b], second[i + 1][b]) for b in range(len(x[0]))] for i in range(0, len(second) - 1, 2)]
+        return [sum(y[a] * score[a][0] for a in range(len(y))) for y in second]
+
+    one, two = branch(h.tolist(), w["conv0"], w["conv1"], w["score"]), branch(np.hstack((h, f)).tolist(), w["both_conv0"], w["both_conv1"], w["both_score"])
+    mean = sum(a * b for a, b in zip(one, two, strict=True)) / len(one)
+    assert math.isclose(model.conv_read_out(h, f, w), 1 / (1 + math.exp(-mean))) and model.conv_read_out(h[:8], f[:8], w) == 0.5
+
+
+def test_position_edges(spark):
+    df = spark.createDataFrame([(1, ["a", "a", "b", "c"]), (2, ["x"]), (3, []), (4, None)], "id long, t array<string>")
+    got = {(r.id, r.src, r.dst) for r in graph.position_edges(df, "id", "t", 3).collect()}
+    assert got == {(1, p, q) for p in range(4) for q in range(4) if 0 < abs(p - q) < 3}
 
 
 def test_baseline_learns(spark, tmp_path):
@@ -283,7 +372,7 @@ def one(spark, value, column):
 
 @pytest.mark.parametrize(
     ("code", "name"),
-    [("void process_input(char *s) { }", "process_input"), ("int calculate_sum(int a, int b)", "calculate_sum"), ("static int parse_header(void)", "parse_header"), ("x = 1;", "vulnerable_function"), ("int main() { }", "vulnerable_function"), ("foo(a) { }", "foo")],
+    [("void load_rows(char *s) { }", "load_rows"), ("long add_all(int a, int b)", "add_all"), ("static int tail_of(void)", "tail_of"), ("x = 1;", "vulnerable_function"), ("int main() { }", "vulnerable_function"), ("bare(a) { }", "bare")],
 )
 def test_function_name(spark, code, name):
     assert one(spark, code, text.function_name) == name
@@ -300,7 +389,9 @@ def test_text_functions(spark):
     assert one(spark, "I'll say (no)!", text.clean_words) == r"i 'll say \( no \) !"
     assert one(spark, 'def f():\n    """doc"""\n    x = "# no"  # yes\n\n    return x\n', text.strip_python_comments) == 'def f():\n    x = "# no"  \n    return x'
     assert one(spark, "int  main (void)", text.defines_main)
-    assert "not available" in one(spark, "int x;", lambda c: text.triage_prompt(c, F.lit("t"), F.lit(""), F.lit(0.5), F.lit("")))
+    asked = one(spark, "int x;", lambda c: text.triage_prompt(c, F.lit("t"), F.lit(""), F.lit(0.5), F.lit("")))
+    assert asked.startswith("### Detection\nType: t\nWeakness: N/A\nScore: 0.5000\n\n### Taint context\nNone") and "     1  int x;" in asked
+    assert one(spark, "int x;", lambda c: text.review_prompt(c, F.lit("argv to gets"))).startswith("### Taint context\nargv to gets\n\n### Code")
 
 
 # ---- source to sink -----------------------------------------------------------------------------------------
@@ -311,9 +402,9 @@ def samples(spark, *codes):
 
 
 def test_paths_and_categories(spark):
-    df = samples(spark, "int f(char **argv) {\n  system(argv[1]);\n}", "int main() { printf(\"x\"); }", "void v(char *argv) { sprintf(b, argv); }")
+    df = samples(spark, "int go(char **argv) {\n  popen(argv[2], m);\n}", "int main() { puts(\"x\"); }", "void put(char *argv) { sprintf(b, argv); }")
     got = [(r.sample_id, r.source_func, r.sink_func, r.sink_category) for r in taint.paths(df).collect()]
-    assert sorted(got) == [(0, "argv", "system", "exec"), (2, "argv", "sprintf", "memory")]
+    assert sorted(got) == [(0, "argv", "popen", "exec"), (2, "argv", "sprintf", "memory")]
 
 
 def test_dangerous_functions_and_types(spark):
@@ -330,14 +421,14 @@ def test_path_cap_keeps_the_first(spark):
 
 
 def test_functions_calls_callers(spark):
-    df = samples(spark, "void process(char *s) {\n  strcpy(b, s);\n}\nint main(int argc, char **argv) {\n  process(argv[1]);\n}\nint one(int x) { return x; }\nif (a) { b(); }")
+    df = samples(spark, "void keep(char *s) {\n  strcat(b, s);\n}\nint start(int n, char **argv) {\n  keep(argv[n]);\n}\nint one(int x) { return x; }\nif (a) { b(); }")
     f = taint.functions_of(df)
-    assert sorted((r.name, r.start_line, r.end_line) for r in f.collect()) == [("main", 4, 6), ("one", 7, 8), ("process", 1, 3)]
+    assert sorted((r.name, r.start_line, r.end_line) for r in f.collect()) == [("keep", 1, 3), ("one", 7, 8), ("start", 4, 6)]
     edges = taint.call_edges(df, f)
     pairs = {(r.caller, r.callee) for r in edges.collect()}
-    assert {("process", "strcpy"), ("main", "process")} <= pairs
-    wanted = spark.createDataFrame([(0, "strcpy")], "sample_id long, func string")
-    assert {r.caller for r in taint.callers(edges, wanted).collect()} == {"process", "main"}
+    assert {("keep", "strcat"), ("start", "keep")} <= pairs
+    wanted = spark.createDataFrame([(0, "strcat")], "sample_id long, func string")
+    assert {r.caller for r in taint.callers(edges, wanted).collect()} == {"keep", "start"}
 
 
 def test_callers_survive_cycles(spark):
@@ -379,6 +470,9 @@ def test_adapter_responses(spark):
 def test_selection(spark):
     df = spark.createDataFrame([(i, f"t{i % 3}") for i in range(10)], "idx long, func string")
     assert sorted(r.idx for r in selection.dedup_by_content(df, "func", "idx").collect()) == [0, 1, 2]
+    tied = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (1, "a", "z"), (2, "a", "w"), (3, None, "v"), (3, None, "u"), (None, "c", "t")], "idx long, func string, __k string")
+    kept = sorted((str(r.idx), str(r.func)) for r in selection.dedup_by_content(tied, "func", "idx").collect())
+    assert kept == [("1", "a"), ("1", "b"), ("3", "None"), ("None", "c")]
     assert selection.sample(df, 0.35).count() == 3
     a, b = ({r.idx for r in selection.sample(df.repartition(n), 0.35).collect()} for n in (1, 3))
     assert a == b
