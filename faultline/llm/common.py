@@ -83,6 +83,7 @@ def text_map(
                 columns = [batch.column(i).slice(at, len(some)) for i in range(last)]
                 columns += [pa.array(v, t) for v, t in zip(score(some), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return picked.mapInArrow(run, schema)
 
@@ -99,6 +100,7 @@ def text_filter(
             for at, some in slices(batch.column(at_text)):
                 part = batch.slice(at, len(some))
                 yield part.filter(pa.array([bool(x) for x in passes(some)], pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -13,7 +13,8 @@ gives the document's training position. Documents are range-sorted by position.
 
 At scale. Sizes are summed per (source, hash prefix) before any shuffle; prefix sums over the prefixes and then
 within one (source, prefix) replace a running sum over a whole source, so a source that holds a third of all rows
-is spread over ``PREFIXES`` groups. Only the table of sources, one row each, meets in one task.
+is spread over ``PREFIXES`` groups. Only the table of sources, one row of four numbers each, meets in one task: some
+millions of sources sort there, which is what a list of web hosts comes to.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; a
 null doc_id is ordered as the string "null"; ties in the hash (repeated rows) go by size; a source without words

@@ -203,6 +203,7 @@ def pack(
         if held:
             close()
         yield flush()
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -27,7 +27,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import discard, written
 from .common import table, text_filter, text_map
 
 BUCKETS = 1 << 24
@@ -203,10 +202,9 @@ def learn(
 
         return numbers
 
-    numbered, at = written(text_map(picked, F.col("text"), [F.col("id"), F.col("grade")], "numbers binary", make), "rated-features")
+    numbered = text_map(picked, F.col("text"), [F.col("id"), F.col("grade")], "numbers binary", make)
     so_far = F.sum(F.length("numbers") / 4).over(Window.orderBy(F.xxhash64("id"), "id"))  # at most ``sample_docs`` rows
     rows = numbered.withColumn("n", so_far).filter(F.col("n") <= sample_features).select("id", "grade", "numbers").collect()
-    discard(docs.sparkSession, at)
     rows.sort(key=lambda r: r.id)
     if not rows:
         return fit([], np.zeros(0, np.int64))
