@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .operators import evidence, scoring, taint, triage, vector_search, verdict
+from .plans.lineage import cut
 
 MODES = ("full", "sandbox-only", "triage-only", "dry-run")
 
@@ -64,7 +65,8 @@ class Scanner:
         if logs is None or c.mode in ("triage-only", "dry-run"):
             proof = spark.createDataFrame([], "sample_id long, ord int, evidence_level string, reason string, exit_code int, execution_time double, compiled boolean, confidence double, cwe_id string, sanitizer_source string, sanitizer_profile string, fuzz_mode boolean")
         else:
-            proof = evidence.classify(logs).withColumnRenamed("level", "evidence_level")
+            classified = evidence.classify(logs).withColumnRenamed("level", "evidence_level").drop("stdout", "stderr", "asan_report")
+            proof = cut(classified, "evidence")  # read four times below; logs are matched once
             if c.early_stop:
                 proof = evidence.until_first(proof, "sample_id", "ord", F.col("evidence_level") == "CONFIRMED")
         if reviews is None or c.mode in ("sandbox-only", "dry-run"):

@@ -8,6 +8,7 @@ from .. import rules
 from ..operators import evidence, taint, triage, verdict
 from ..sources import readers
 from . import fixtures as fx
+from .lineage import cut
 
 
 # ---- evidence -----------------------------------------------------------------------------------------------
@@ -46,7 +47,8 @@ def evidence_rollup(spark, sf_dir):
 
 
 def evidence_stop_runs(spark, sf_dir):
-    return evidence.until_first(_evidence(spark, sf_dir), "sample_id", "ord", F.col("evidence_level") == "CONFIRMED").select("run_id", "sample_id", "ord", "evidence_level")
+    classified = cut(_evidence(spark, sf_dir).select("run_id", "sample_id", "ord", "evidence_level"), "levels")  # read twice
+    return evidence.until_first(classified, "sample_id", "ord", F.col("evidence_level") == "CONFIRMED").select("run_id", "sample_id", "ord", "evidence_level")
 
 
 def evidence_profiles(spark, sf_dir):
