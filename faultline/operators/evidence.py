@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions.text import strip
 from ..rules import (
     CATEGORY_CONFIDENCE, CATEGORY_SOURCE, CWE, DIRECT, EXPECTED, MAX_OUTPUT, PROFILES, SIGNALS, SUGGESTIVE, VALGRIND,
@@ -37,7 +38,7 @@ def signal_name(exit_code: Column) -> Column:
 
 
 def valgrind_errors(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract(text, r"ERROR SUMMARY: (\d+) errors", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(F.regexp_extract(text, rules.ERROR_SUMMARY, 1).try_cast("int"), F.lit(0))
 
 
 def cwe_id(text: Column, matched: Column) -> Column:
@@ -62,16 +63,14 @@ def direct_confidence(categories: Column, any_valgrind: Column, signal: Column)
 
 def asan_report(text: Column) -> Column:
     """Error type, access, address, description and stack frames of an AddressSanitizer report."""
-    access = r"(READ|WRITE) of size (\d+) at (0x[0-9a-fA-F]+)"
-    frames = F.regexp_extract_all(text, F.lit(r"#\d+ 0x[0-9a-fA-F]+ in \S+ .+"), F.lit(0))
-    frame = r"^#(\d+) 0x[0-9a-fA-F]+ in (\S+) (.+)$"
+    frames = F.regexp_extract_all(text, F.lit(rules.REPORT_FRAME), F.lit(0))
     return F.struct(
-        F.regexp_extract(text, r"ERROR: AddressSanitizer: (\S+)", 1).alias("error_type"),
-        F.regexp_extract(text, access, 1).alias("access_type"),
-        F.coalesce(F.regexp_extract(text, access, 2).try_cast("int"), F.lit(0)).alias("access_size"),
-        F.regexp_extract(text, access, 3).alias("address"),
-        F.regexp_extract(text, r"(Address 0x[0-9a-fA-F]+ is .+)", 1).alias("description"),
-        F.transform(frames, lambda f: F.concat(F.lit("#"), F.regexp_extract(f, frame, 1), F.lit(" "), F.regexp_extract(f, frame, 2), F.lit(" ("), strip(F.regexp_extract(f, frame, 3)), F.lit(")"))).alias("stack_frames"),
+        F.regexp_extract(text, rules.REPORT_ERROR, 1).alias("error_type"),
+        F.regexp_extract(text, rules.REPORT_ACCESS, 1).alias("access_type"),
+        F.coalesce(F.regexp_extract(text, rules.REPORT_ACCESS, 2).try_cast("int"), F.lit(0)).alias("access_size"),
+        F.regexp_extract(text, rules.REPORT_ACCESS, 3).alias("address"),
+        F.regexp_extract(text, rules.REPORT_ADDRESS, 1).alias("description"),
+        F.transform(frames, lambda f: F.concat(F.lit("#"), F.regexp_extract(f, rules.REPORT_FRAME_PARTS, 1), F.lit(" "), F.regexp_extract(f, rules.REPORT_FRAME_PARTS, 2), F.lit(" ("), strip(F.regexp_extract(f, rules.REPORT_FRAME_PARTS, 3)), F.lit(")"))).alias("stack_frames"),
     )
 
 
@@ -107,16 +106,16 @@ def classify(logs: DataFrame) -> DataFrame:
         )
 
     ladder = (
-        F.when(F.size("__direct") > 0, step("CONFIRMED", direct_confidence(F.col("__categories"), F.size(valgrind) > 0, F.col("__signal")), F.concat(F.lit("Direct exploitation evidence: "), said), patterns, sanitizer_source(F.col("__categories")), cwe_id(F.col("__text"), F.col("__direct"))))
-        .when(F.col("__signal").isNotNull(), step("CONFIRMED", 0.9, F.format_string("Process killed by %s (exit code %d)", "__signal", exit_code.cast("int")), F.array("__signal")))
-        .when(F.col("__expected").isNotNull(), step("CONFIRMED", 0.85, F.concat(F.lit("Expected signal found: "), F.col("__expected")), F.array("__expected")))
-        .when(invalid, step("CONFIRMED", 0.85, "Valgrind detected invalid memory access", valgrind, F.lit("valgrind")))
-        .when((F.size(valgrind) > 0) & leaked, step("SUGGESTIVE", 0.6, F.format_string("Valgrind: %d errors, memory issues detected", "__errors"), valgrind, F.lit("valgrind"), F.lit("CWE-401")))
-        .when((exit_code != 0) & ~late & (F.size(hints) > 0), step("SUGGESTIVE", 0.5, F.concat(F.format_string("Non-zero exit (%d) with suspicious output: ", exit_code.cast("int")), F.array_join(F.slice(hints, 1, 3), "; ")), hints))
-        .when((exit_code != 0) & ~late, step("SUGGESTIVE", 0.3, F.format_string("Non-zero exit code: %d", exit_code.cast("int")), nothing))
-        .when(late, step("NEUTRAL", 0.0, "Process timed out — no conclusive evidence", nothing))
-        .when(F.size(hints) == 0, step("SAFE", 1.0, "Clean exit with no sanitizer reports", nothing))
-        .otherwise(step("NEUTRAL", 0.0, "Inconclusive — no clear signal", nothing))
+        F.when(F.size("__direct") > 0, step("CONFIRMED", direct_confidence(F.col("__categories"), F.size(valgrind) > 0, F.col("__signal")), F.concat(F.lit(rules.REASON_DIRECT), said), patterns, sanitizer_source(F.col("__categories")), cwe_id(F.col("__text"), F.col("__direct"))))
+        .when(F.col("__signal").isNotNull(), step("CONFIRMED", 0.9, F.format_string(rules.REASON_SIGNAL, "__signal", exit_code.cast("int")), F.array("__signal")))
+        .when(F.col("__expected").isNotNull(), step("CONFIRMED", 0.85, F.concat(F.lit(rules.REASON_EXPECTED), F.col("__expected")), F.array("__expected")))
+        .when(invalid, step("CONFIRMED", 0.85, rules.REASON_INVALID_ACCESS, valgrind, F.lit("valgrind")))
+        .when((F.size(valgrind) > 0) & leaked, step("SUGGESTIVE", 0.6, F.format_string(rules.REASON_LEAK, "__errors"), valgrind, F.lit("valgrind"), F.lit("CWE-401")))
+        .when((exit_code != 0) & ~late & (F.size(hints) > 0), step("SUGGESTIVE", 0.5, F.concat(F.format_string(rules.REASON_SUSPICIOUS, exit_code.cast("int")), F.array_join(F.slice(hints, 1, 3), "; ")), hints))
+        .when((exit_code != 0) & ~late, step("SUGGESTIVE", 0.3, F.format_string(rules.REASON_EXIT, exit_code.cast("int")), nothing))
+        .when(late, step("NEUTRAL", 0.0, rules.REASON_TIMEOUT, nothing))
+        .when(F.size(hints) == 0, step("SAFE", 1.0, rules.REASON_CLEAN, nothing))
+        .otherwise(step("NEUTRAL", 0.0, rules.REASON_UNCLEAR, nothing))
     )
     report = F.when(F.array_contains("__categories", "ASAN"), asan_report(F.col("__text")))
     return (
@@ -130,11 +129,11 @@ def classify(logs: DataFrame) -> DataFrame:
 def execution_log(raw: DataFrame, returncode: str = "returncode") -> DataFrame:
     """From raw tool output: exit_code stated in it (else the return code), compiled, the valgrind section, cut outputs."""
     output = combined(F.col("stdout"), F.col("stderr"))
-    section = strip(F.regexp_extract(output, r"(?s)===VALGRIND_START===(.*?)===VALGRIND_END===", 1))
-    compiled = F.contains(output, F.lit("===COMPILATION_OK==="))
+    section = strip(F.regexp_extract(output, rules.VALGRIND_SECTION, 1))
+    compiled = F.contains(output, F.lit(rules.COMPILED))
     return raw.select(
         *[c for c in raw.columns if c not in ("stdout", "stderr", returncode)],
-        F.coalesce(F.regexp_extract(output, r"EXIT_CODE=(\d+)", 1).try_cast("int"), F.col(returncode)).alias("exit_code"),
+        F.coalesce(F.regexp_extract(output, rules.EXIT_STATED, 1).try_cast("int"), F.col(returncode)).alias("exit_code"),
         F.coalesce("stdout", F.lit("")).alias("stdout"),
         F.when(section != "", F.concat(F.coalesce("stderr", F.lit("")), F.lit("\n"), section)).otherwise(F.coalesce("stderr", F.lit(""))).alias("stderr"),
         compiled.alias("compiled"), F.substring(section, 1, MAX_OUTPUT).alias("valgrind_output"),
