@@ -57,7 +57,7 @@ def source_repairing_jsonl(spark, sf_dir):
 
 
 def source_batch_jsonl(spark, sf_dir):
-    """The first raw lines of one file, blank ones counted; both names of code and label."""
+    """The first raw lines of a folder of files, blank ones counted; both names of code and label."""
     docs = fx.table(spark, sf_dir, "documents")
     code = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit("")))
     label = (F.col("doc_id") % 2).cast("string")
@@ -65,7 +65,7 @@ def source_batch_jsonl(spark, sf_dir):
         F.to_json(F.struct(code.alias("func"), (F.col("doc_id") % 2).alias("target"))), F.to_json(F.struct(code.alias("code"), label.alias("label"))),
         F.lit(""), F.to_json(F.struct(F.lit("  ").alias("func"))), F.to_json(F.struct(code.alias("func"))),
     ]
-    ordered = docs.orderBy("doc_id").coalesce(1)  # the format is one file
+    ordered = docs.orderBy("doc_id")  # a file a range
     return readers.batch_jsonl(spark, _lines(ordered, _case("doc_id", cases), "batch"), RAW_LINES)
 
 

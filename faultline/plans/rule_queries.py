@@ -60,8 +60,8 @@ def evidence_cap(spark, sf_dir):
 
 def vec_types(spark, sf_dir):
     index = fx.table(spark, sf_dir, "embeddings").withColumn("vuln_type", F.when(F.col("label") > 0, F.concat(F.lit("type_"), F.col("label").cast("string"))))
-    one = vector_search.of_type(index, "type_3").agg(F.count(F.lit(1)).alias("n3"))
-    return vector_search.types(index).crossJoin(one)  # one row beside few types
+    one = vector_search.of_type(index, "type_3").groupBy("vuln_type").agg(F.count(F.lit(1)).alias("n"))
+    return vector_search.types(index).join(one, "vuln_type", "left")
 
 
 def taint_dangerous(spark, sf_dir):
@@ -132,7 +132,7 @@ def sql(hop: str, paths: str) -> dict[str, str]:
         "selection_mask": "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS selected FROM documents",
         "selection_first_of_key": f"SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1) WHERE r <= {MOST}",
         "evidence_cap": f"SELECT run_id, sample_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord) AS r FROM {fx.LOGS_SQL}) WHERE r <= {HEAD}",
-        "vec_types": "SELECT DISTINCT 'type_' || label AS vuln_type, (SELECT count(*) FROM embeddings WHERE label = 3) AS n3 FROM embeddings WHERE label > 0",
+        "vec_types": "SELECT 'type_' || label AS vuln_type, CASE WHEN label = 3 THEN count(*) END AS n FROM embeddings WHERE label > 0 GROUP BY label",
         "taint_dangerous": f"{paths} SELECT sample_id, string_agg(DISTINCT sink_func, ',' ORDER BY sink_func) AS functions FROM f WHERE path_no <= 20 GROUP BY 1",
         "triage_adapter_json": f"""WITH x AS (SELECT sample_id, response, regexp_extract(response, '{_FENCED}', 1) AS a, regexp_extract(response, '{_NESTED}') AS b, trim(regexp_extract(response, '{_BLOCK}', 1), ' ' || chr(10)) AS c FROM {fx.REVIEWS_SQL})
           SELECT sample_id, CASE WHEN a <> '' AND json_valid(a) THEN a WHEN b <> '' AND json_valid(b) THEN b END AS json, CASE WHEN contains(c, 'main(') OR contains(c, 'int main') THEN c END AS code FROM x""",

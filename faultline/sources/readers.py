@@ -51,13 +51,14 @@ def batch_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 0), value. Partitions are numbered by their row counts, so no task sees all lines."""
-    marked = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    sizes = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    begin = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begin"))
-    out = marked.withColumn("__part", part).join(F.broadcast(begin), "__part")
-    return out.select((F.col("__begin") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"), "value")
+    """line_no (from 0), value, in the order of files' paths. Blocks of files are numbered by their line counts, so no
+    task sees all lines; what one task sorts is a row a block."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    marked = lines.withColumn("__id", F.monotonically_increasing_id())
+    sizes = marked.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
+    before = F.sum("n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))
+    begin = sizes.select("__file", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__begin"))
+    return marked.join(begin, ["__file", "__block"]).select((F.col("__begin") + F.col("__id") - F.col("__first")).alias("line_no"), "value")
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

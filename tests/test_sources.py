@@ -32,6 +32,22 @@ def test_batch_reader(spark, write):
     assert readers.batch_jsonl(spark, path, limit=2).count() == 1
 
 
+def test_lines_are_numbered_across_files_and_blocks(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    want = []
+    for name, n in (("a", 3), ("b", 4000), ("c", 0), ("d", 700)):
+        own = [f"{name}{i} " + "x" * (i % 50) for i in range(n)]
+        (tmp_path / "many" / name).write_text("".join(line + "\n" for line in own))
+        want += own
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = {r.line_no: r.value for r in readers.numbered_lines(spark, str(tmp_path / "many")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(enumerate(want))
+
+
 def test_training_reader_fails_on_bad_lines(spark, write):
     assert readers.training_jsonl(spark, write("a", '{"func": "a", "target": 1, "idx": 7}')).first().idx == 7
     with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
