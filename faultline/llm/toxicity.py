@@ -30,12 +30,13 @@ is 0; an empty table gives no rows; whole texts are read; other columns are igno
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +49,9 @@ SAMPLE_DOCS, MIN_DOCS, MOST_TERMS, SIGNIFICANT = 12_000, 4, 8192, 5.0
 #: ``CLEAN_COST`` for each clean one that holds it.
 TELLING, COVERED, CLEAN_COST, MOST_INDUCED = 0.7, 2, 2, 512
 INDUCED, ROUNDS = 12, 8
-#: Terms per hundred words that make insults dense; words between an address and an insult.
+#: Insults per hundred words that are dense; words between an address and an insult.
 DENSE, CLOSE = 2, 2
 STEPS, RIDGE = 25, 0.02
-CACHE_ENTRIES = 300_000
 PREFIXES, LEVELS = (3, 4, 5, 6, 7), 3
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…"
 
@@ -63,6 +63,7 @@ LEXICONS = {
     "disgust": "disgusting revolting vile repulsive sickening gross asqueroso repugnante dégoûtant répugnant ekelhaft widerlich",
     "ridicule": "clown clowns joke freak creep jerk payaso bufón bouffon guignol witzfigur spinner",
 }
+SHOUTED = re.compile("[A-Z]{4}")
 ADDRESS = "you your you're youre u tú usted eres vosotros tu vous es votre du ihr euch dein"
 
 VOTERS = (*LEXICONS, *(f"induced {i}" for i in range(INDUCED)), "several", "dense", "shouted insult", "addressed", "exclaimed", "shouting")
@@ -72,75 +73,66 @@ BIT = {name: 1 << i for i, name in enumerate(VOTERS)}
 # ---- terms and votes ----------------------------------------------------------------------------------------
 
 
-def stems_of(word: str) -> list[int]:
-    """Hashes of a word's stems, the whole word first; their two lowest bits are free for a term's level."""
-    core = word.strip(OUTER).lower()
-    if not core:
-        return []
-    return [(xxhash.xxh64_intdigest(t) - (1 << 63)) & ~3 for t in ("=" + core, *("^" + core[:n] for n in PREFIXES if len(core) > n))]
+def stems_of(word: str) -> list[str]:
+    """A word's stems, the whole word first."""
+    core = word.lower().strip(OUTER)
+    return ["=" + core, *("^" + core[:n] for n in PREFIXES if len(core) > n)] if core else []
 
 
-def sample_terms(texts: list[str | None]) -> list[list[int]]:
+def term(stem: str, level: int = 1) -> str:
+    return f"{stem}/{level}"
+
+
+def sample_terms(texts: list[str | None]) -> list[list[str]]:
     """The terms of each text."""
-    known: dict[str, list[int]] = {}
     out = []
     for text in texts:
-        words = set((text or "").split())
-        for w in words:
-            if w not in known:
-                known[w] = stems_of(w)
-        shared = Counter(s for w in words for s in known[w])
-        out.append(sorted(s | level for s, n in shared.items() for level in range(1, min(n, LEVELS) + 1)))
+        shared = Counter(s for w in set((text or "").lower().split()) for s in stems_of(w))
+        out.append([term(s, level) for s, n in shared.items() for level in range(1, min(n, LEVELS) + 1)])
     return out
 
 
-def lexicon_bits() -> dict[int, int]:
+def lexicon_bits() -> dict[str, int]:
     """The voters of each lexicon word, by its term."""
-    bits: dict[int, int] = {}
+    bits: dict[str, int] = {}
     for name, words in LEXICONS.items():
         for w in words.split():
-            term = stems_of(w)[0] | 1
-            bits[term] = bits.get(term, 0) | BIT[name]
+            own = term(stems_of(w)[0])
+            bits[own] = bits.get(own, 0) | BIT[name]
     return bits
 
 
-class _Words(dict):
-    """word -> (places of the stems that matter, whether it is shouted)."""
-
-    def __init__(self, places: dict[int, int]) -> None:
-        super().__init__()
-        self.places = places
-
-    def __missing__(self, word: str) -> tuple[tuple[int, ...], bool]:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        found = self[word] = (tuple(self.places[s] for s in stems_of(word) if s in self.places), len(word) > 3 and word.isupper())
-        return found
-
-
 class Reader:
     """texts -> (numbers of the informative terms they hold, their votes as bits)."""
 
-    def __init__(self, terms: np.ndarray) -> None:
-        bits = lexicon_bits()
-        number = {t: i for i, t in enumerate(terms.tolist())}
-        stems = sorted({t & ~3 for t in (*bits, *number)})
+    def __init__(self, terms: list[str]) -> None:
+        bits, number = lexicon_bits(), {t: i for i, t in enumerate(terms)}
+        stems = sorted({t.rpartition("/")[0] for t in (*bits, *number)})
         # for each stem, by level: the number of the term, the bits of its voters
-        self.at = [[(number.get(s | n), bits.get(s | n, BIT[f"induced {(s >> 2) % INDUCED}"] if s | n in number else 0)) for n in range(1, LEVELS + 1)] for s in stems]
-        self.words = _Words({s: i for i, s in enumerate(stems)})
+        self.at = [[self._level(number, bits, s, n) for n in range(1, LEVELS + 1)] for s in stems]
+        self.whole = {s[1:]: i for i, s in enumerate(stems) if s[0] == "="}
+        self.starts = {s[1:]: i for i, s in enumerate(stems) if s[0] == "^"}
+        self.gate = frozenset(s[: PREFIXES[0]] for s in self.starts)
         self.address = frozenset(ADDRESS.split())
 
+    @staticmethod
+    def _level(number: dict[str, int], bits: dict[str, int], stem: str, level: int) -> tuple[int | None, int]:
+        own = term(stem, level)
+        return number.get(own), bits.get(own, BIT[f"induced {zlib.crc32(stem.encode()) % INDUCED}"] if own in number else 0)
+
     def __call__(self, text: str | None) -> tuple[list[int], int]:
         text = text or ""
-        split = text.split()
+        split = text.lower().split()
+        whole, gate, first = self.whole, self.gate, PREFIXES[0]
         holders: dict[int, list[str]] = {}
-        shouts = False
-        look = self.words
         for w in set(split):
-            places, shouted = look[w]
-            for p in places:
-                holders.setdefault(p, []).append(w)
-            shouts |= shouted
+            core = w.strip(OUTER)
+            if core in whole:
+                holders.setdefault(whole[core], []).append(w)
+            if core[:first] in gate:
+                for n in PREFIXES:
+                    if len(core) > n and core[:n] in self.starts:
+                        holders.setdefault(self.starts[core[:n]], []).append(w)
         numbers: list[int] = []
         votes, insults = 0, set()
         for p, words in holders.items():
@@ -152,17 +144,17 @@ class Reader:
                     insults.update(words)
         if insults:
             places = [i for i, w in enumerate(split) if w in insults]
-            if len({w.strip(OUTER).lower() for w in insults}) > 1:
+            if len({w.strip(OUTER) for w in insults}) > 1:
                 votes |= BIT["several"]
             if 100 * len(places) >= DENSE * len(split):
                 votes |= BIT["dense"]
-            if any(look[w][1] for w in insults):
+            if any(w.isupper() and w.lower() in insults for w in text.split()):
                 votes |= BIT["shouted insult"]
-            if any(w.strip(OUTER).lower() in self.address for i in places for w in split[max(0, i - 1 - CLOSE) : i + 2 + CLOSE]):
+            if any(w.strip(OUTER) in self.address for i in places for w in split[max(0, i - 1 - CLOSE) : i + 2 + CLOSE]):
                 votes |= BIT["addressed"]
         if "!!" in text or "!?" in text:
             votes |= BIT["exclaimed"]
-        return sorted(numbers), votes | (BIT["shouting"] if shouts else 0)
+        return sorted(numbers), votes | (BIT["shouting"] if SHOUTED.search(text) else 0)
 
 
 # ---- label model --------------------------------------------------------------------------------------------
@@ -280,7 +272,7 @@ def fit_label_model(patterns: DataFrame, rated: bool, rounds: int = ROUNDS) -> L
 
 @dataclass
 class Model:
-    terms: np.ndarray
+    terms: list[str]
     weights: np.ndarray
     base: float | None
     labels: LabelModel | None = None
@@ -292,10 +284,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def covering(numbers: list[np.ndarray], toxic: np.ndarray, terms: np.ndarray) -> list[int]:
+def covering(numbers: list[np.ndarray], toxic: np.ndarray, terms: list[str]) -> list[int]:
     """Places of the candidates that lexicons list, and of those that cover the toxic documents which hold none of these."""
     listed = lexicon_bits()
-    chosen = [i for i, t in enumerate(terms.tolist()) if t in listed]
+    chosen = [i for i, t in enumerate(terms) if t in listed]
     owner = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
     flat = np.concatenate(numbers) if len(owner) else np.zeros(0, np.int64)
     open_docs, wrong = toxic.astype(bool), CLEAN_COST * np.bincount(flat[toxic[owner] == 0], minlength=len(terms))
@@ -352,29 +344,38 @@ def _sample(docs: DataFrame, ratings: DataFrame, sample_docs: int) -> tuple[Data
     picked = texts.join(F.broadcast(first), "id")  # bounded by the sample
     one = picked.groupBy("id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
     one = one.groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
-    rows, at = written(one, "toxic-sample")
+    parts = min(64, docs.sparkSession.sparkContext.defaultParallelism)  # few rows, much to do for each
+    rows, at = written(one.repartition(parts), "toxic-sample")
     kinds = rows.agg(F.count_distinct("toxic")).first()[0]
     if kinds > 1:
         return rows, at, True
     discard(docs.sparkSession, at)
     first = texts.groupBy("id").agg(F.min("text").alias("text")).orderBy(*order).limit(sample_docs)
-    return *written(first.withColumn("toxic", F.lit(None).cast("int")), "toxic-sample"), False
+    return *written(first.withColumn("toxic", F.lit(None).cast("int")).repartition(parts), "toxic-sample"), False
 
 
 def _informative(sample: DataFrame) -> list:
     """Candidates for induced terms, as rows of one ``term``."""
     known = sample.agg(F.count("toxic"), F.sum("toxic")).first()
     share = known[1] / known[0]
-    made = text_map(sample, F.col("text"), [F.col("toxic")], "terms array<long>", lambda: lambda texts: [sample_terms(texts)])
+    made = text_map(sample, F.col("text"), [F.col("toxic")], "terms array<string>", lambda: lambda texts: [sample_terms(texts)])
     counts = made.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
     off = (F.col("hits") - share * F.col("n")) / F.sqrt(F.col("n") * (share * (1 - share)))
     told = counts.filter((F.col("n") >= MIN_DOCS) & (F.col("hits") >= TELLING * F.col("n"))).withColumn("z", off).filter(F.col("z") >= SIGNIFICANT)
     return told.orderBy(F.desc("z"), "term").limit(MOST_TERMS).select("term").collect()
 
 
-def _numbers(terms: np.ndarray) -> Callable:
-    place = {t: i for i, t in enumerate(terms.tolist())}
-    return lambda texts: [[[place[t] for t in own if t in place] for own in sample_terms(texts)]]
+def _read(terms: list[str]) -> Callable:
+    def make():
+        reader = Reader(terms)
+
+        def read(texts):
+            found = [reader(t) for t in texts]
+            return [[n for n, _ in found], [v for _, v in found]]
+
+        return read
+
+    return make
 
 
 def learn(docs: DataFrame, ratings: DataFrame, id_name: str = "doc_id", text_name: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -382,27 +383,19 @@ def learn(docs: DataFrame, ratings: DataFrame, id_name: str = "doc_id", text_nam
     docs = docs.select(F.col(id_name).alias("id"), F.col(text_name).cast("string").alias("text"))
     sample, at, rated = _sample(docs, ratings, sample_docs)
     if rated:
-        terms = np.array(sorted(r.term for r in _informative(sample)), dtype=np.int64)
-        held = text_map(sample, F.col("text"), [F.col("id"), F.col("toxic")], "numbers array<long>", lambda: _numbers(terms)).collect()
+        terms = sorted(r.term for r in _informative(sample))
+        held = text_map(sample, F.col("text"), [F.col("id"), F.col("toxic")], "numbers array<long>, votes long", _read(terms)).collect()
         held.sort(key=lambda r: r.id)
-        terms = terms[covering([np.array(r.numbers, dtype=np.int64) for r in held], np.array([r.toxic for r in held]), terms)]
+        chosen = covering([np.array(r.numbers, dtype=np.int64) for r in held], np.array([r.toxic for r in held]), terms)
+        terms = [terms[i] for i in chosen]
     else:  # the lexicons' own words are all there is
-        terms = np.array(sorted(lexicon_bits()), dtype=np.int64)
+        terms = sorted(lexicon_bits())
 
     def votes():
         reader = Reader(terms)
         return lambda texts: [[reader(t)[1] for t in texts]]
 
-    def both():
-        reader = Reader(terms)
-
-        def read(texts):
-            found = [reader(t) for t in texts]
-            return [[n for n, _ in found], [v for _, v in found]]
-
-        return read
-
-    rows = text_map(sample, F.col("text"), [F.col("id"), F.col("toxic")], "numbers array<long>, votes long", both).collect()
+    rows = text_map(sample, F.col("text"), [F.col("id"), F.col("toxic")], "numbers array<long>, votes long", _read(terms)).collect()
     if not rows:
         discard(spark, at)
         return Model(terms, np.zeros(len(terms)), None)

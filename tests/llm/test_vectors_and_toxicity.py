@@ -9,9 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-pytest.importorskip("xxhash")
-
-from faultline.llm import hard_negatives, toxicity, whitening  # noqa: E402
+from faultline.llm import hard_negatives, toxicity, whitening
 
 DDL = "vec_id long, embedding array<float>, label int, d int, x string, stored double"
 
@@ -215,7 +213,7 @@ def test_toxicity_of_documents_never_learned_from(spark, rated):
     # no label of a held-out document reaches the model
     changed = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.learn(docs, toxicity.ratings_of(changed))
-    assert np.allclose(again.weights, model.weights) and (again.terms == model.terms).all()
+    assert np.allclose(again.weights, model.weights) and again.terms == model.terms
 
 
 def test_toxicity_without_ratings(spark, rated):
@@ -244,8 +242,7 @@ def test_label_model_finds_echoing_voters():
 
 
 def test_reader_against_plain_words():
-    terms = np.array(sorted({toxicity.stems_of("zorguli")[3] | 2, toxicity.stems_of("idiot")[0] | 1}), dtype=np.int64)
-    reader = toxicity.Reader(terms)
+    reader = toxicity.Reader(["=idiot/1", "^zorgu/2"])
     assert reader("zorguli only")[0] == [] and len(reader("zorguli zorgunen")[0]) == 1
     numbers, votes = reader('you "IDIOT", you')
     assert len(numbers) == 1
