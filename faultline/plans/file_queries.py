@@ -160,9 +160,10 @@ def index_stream_append(spark, sf_dir):
 
 
 def index_rebuild(spark, sf_dir):
+    """Rebuilt from itself and more, in place."""
     v, path = _vectors(spark, sf_dir), place(spark, "rebuilt")
-    writers.index(v.filter("label < 3"), path)
-    writers.rebuild_index([v, v.filter("label >= 5")], path)
+    writers.index(v, path)
+    writers.rebuild_index([readers.vector_index(spark, path), v.filter("label >= 5")], path)
     return readers.vector_index(spark, path).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"))
 
 

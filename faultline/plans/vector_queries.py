@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize
 from ..operators import evaluation, scoring, vector_search
+from ..operators.cell_index import CellIndex
 from ..rules import BETA, BETAS, CATALOGUE_K, NEIGHBOURS, OVERFETCH, THRESHOLD
+from ..streaming.index import grow_cells
+from .lineage import place
 
 WANTED = "type_7"
 
@@ -108,6 +111,31 @@ def vec_topk_cells(spark, sf_dir):
     return vector_search.top_k_cells(v, v, flat_below=0).select("query_id", "rank", "neighbour_id", "score")
 
 
+def vec_topk_stored(spark, sf_dir):
+    """From cells that were built, written and opened again."""
+    v, root = vectors(spark, sf_dir), place(spark, "cells")
+    CellIndex.build(v, root)
+    return CellIndex.open(spark, root).search(v).select("query_id", "rank", "neighbour_id", "score")
+
+
+def vec_topk_grown(spark, sf_dir):
+    """From cells that were built on a third of the vectors and grew by a stream of the others, one micro-batch of which
+    arrives twice; cells that became too full were split."""
+    v, root, new = vectors(spark, sf_dir), place(spark, "grown-cells"), place(spark, "arrivals")
+    CellIndex.build(v.filter("vec_id % 3 = 0"), root, cells=20)
+    most = 2 * CellIndex.open(spark, root).cells.sizes.max()
+    for part in (1, 2):
+        v.filter(F.col("vec_id") % 3 == part).write.mode("append").parquet(new)
+        marks = place(spark, "marks")  # a new checkpoint each time: the second stream starts again at batch 0
+        stream = "both" if part == 1 else "rest"
+        if part == 2:
+            again = spark.readStream.schema(v.schema).parquet(new).filter("vec_id % 3 = 1")
+            grow_cells(again, root, place(spark, "marks"), "both", int(most)).awaitTermination()
+        arriving = spark.readStream.schema(v.schema).parquet(new).filter(F.col("vec_id") % 3 == part)
+        grow_cells(arriving, root, marks, stream, int(most)).awaitTermination()
+    return CellIndex.open(spark, root).search(v).select("query_id", "rank", "neighbour_id", "score")
+
+
 def _pairs(spark, sf_dir):
     v = vectors(spark, sf_dir).select("vec_id", "label", normalize(F.col("embedding").cast("array<double>")).alias("u"), (F.col("vec_id") / 32).cast("long").alias("batch"))
     return evaluation.batch_pairs(v, "batch", "vec_id", "u", "label")
@@ -149,7 +177,7 @@ QUERIES = {
     for f in (
         vec_normalize, vec_topk, vec_topk_label_fraction, vec_majority_type, vec_knn_vote, vec_retrieve_postfilter,
         vec_retrieve_prefilter, score_hybrid, score_threshold_split, score_beta_grid, score_best_beta,
-        score_accuracy_summary, vec_topk_cells, loss_supcon, loss_triplet,
+        score_accuracy_summary, vec_topk_cells, vec_topk_stored, vec_topk_grown, loss_supcon, loss_triplet,
     )
 }
 SQL = {
@@ -169,4 +197,4 @@ SQL = {
     "loss_triplet": f"{_U}, r AS (SELECT b, i, max(sqrt(greatest(2 - 2 * sim, 0))) FILTER (same) AS pos, min(sqrt(greatest(2 - 2 * sim, 0))) FILTER (NOT same) AS neg FROM p GROUP BY 1, 2) SELECT b, round(coalesce(avg(greatest(pos - neg + 0.3, 0)) FILTER (pos IS NOT NULL AND neg IS NOT NULL), 0), 6) AS loss FROM r GROUP BY 1",
 }
 #: The cells lose nothing, so the exact search states them.
-SQL["vec_topk_cells"] = SQL["vec_topk"]
+SQL |= dict.fromkeys(("vec_topk_cells", "vec_topk_stored", "vec_topk_grown"), SQL["vec_topk"])

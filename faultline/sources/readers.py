@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import strip
 from ..operators.taint import sink_category
 from ..schemas import SCHEMAS
+from . import versions
 
 _LOOSE = "func string, code string, target string, label string, idx long, project string, commit_id string"
 
@@ -112,8 +113,9 @@ def source_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vector_index(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors with their metadata in one table; what used to be an index file and a list beside it."""
-    return spark.read.parquet(path)
+    """Vectors with their metadata in one table: the newest version, or plain Parquet where nothing was published."""
+    found = versions.current(spark, path)
+    return versions.rows_of(spark, path, found) if found else spark.read.parquet(path)
 
 
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def splits(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines, one folder a split."""
@@ -17,16 +19,17 @@ def predictions_tsv(predictions: DataFrame, path: str, mode: str = "overwrite")
 
 
 def index(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Vectors and metadata in one table; ``append`` adds without looking for repeats."""
-    vectors.write.mode(mode).parquet(path)
+    """Vectors and metadata in one versioned table; ``append`` adds without looking for repeats. What the path held before
+    stays readable until the new version is whole."""
+    versions.publish(vectors, path, append=mode == "append")
 
 
 def rebuild_index(parts: list[DataFrame], path: str) -> None:
-    """One index from all parts; repeats stay."""
+    """One index from all parts, which may be read from the index itself; repeats stay."""
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    rows.write.mode("overwrite").parquet(path)
+    versions.publish(rows, path)
 
 
 def results_json(results: DataFrame, path: str, mode: str = "overwrite") -> None:

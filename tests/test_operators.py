@@ -143,7 +143,7 @@ def test_top_k_over_blocks_and_ties(spark):
     df = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in enumerate(v)], "vec_id long, embedding array<double>")
     unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     sims = unit @ unit.T
-    got = vector_search.top_k(df, df, 4, query_block=32, vector_block=50).collect()
+    got = vector_search.top_k(df, df, 4, query_bytes=1000, vector_bytes=1500).collect()
     for i in range(120):
         want = sorted((j for j in range(120) if j != i), key=lambda j: (-round(sims[i, j], 12), j))[:4]
         assert [x.neighbour_id for x in sorted((x for x in got if x.query_id == i), key=lambda x: x.rank)] == want
