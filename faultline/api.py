@@ -1,10 +1,12 @@
 """The scanner: from tables of scores, logs and reviews to one result per sample.
 
-Scoring, language models and execution of native code happen elsewhere; their outputs come in as tables.
+Language models and execution of native code happen elsewhere; their outputs come in as tables. Scores come in as columns, or
+from a function of the samples that the scanner is given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ class ScanConfig:
     neighbours: int = rules.NEIGHBOURS
     threshold: float = rules.THRESHOLD
     mode: str = "full"
+    max_exploits: int = rules.MAX_HARNESSES
     early_stop: bool = True
     taint: bool = True
     snippet_chars: int = 200
@@ -35,15 +38,26 @@ class ScanConfig:
 
 
 class Scanner:
-    """Samples are ``sample_id, code, cls_prob, embedding``; the index ``vec_id, embedding, label, vuln_type``."""
+    """Samples are ``sample_id, code, cls_prob, embedding``; the index ``vec_id, embedding, label, vuln_type``.
 
-    def __init__(self, index: DataFrame | None = None, config: ScanConfig | None = None) -> None:
-        self.index, self.config = index, config or ScanConfig()
+    ``score_fn`` takes samples without scores and returns them with ``cls_prob`` and, for an index, ``embedding``; it runs
+    once a scan. Without it, samples that bring no ``cls_prob`` count as 1: each of them is checked.
+    """
+
+    def __init__(self, index: DataFrame | None = None, config: ScanConfig | None = None, score_fn: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.index, self.config, self.score_fn = index, config or ScanConfig(), score_fn
+
+    def scored(self, samples: DataFrame) -> DataFrame:
+        if "cls_prob" in samples.columns:
+            return samples
+        if self.score_fn is None:
+            return samples.withColumn("cls_prob", F.lit(1.0))
+        return cut(self.score_fn(samples), "scored")
 
     def detect(self, samples: DataFrame) -> DataFrame:
         """Adds faiss_score, hybrid_score, prediction, vuln_type and its confidence. One search feeds score and type."""
-        c = self.config
-        if self.index is None:
+        c, samples = self.config, self.scored(samples)
+        if self.index is None or "embedding" not in samples.columns:
             out = samples.withColumns({"faiss_score": F.lit(None).cast("double"), "vuln_type": F.lit("unknown"), "vuln_type_confidence": F.lit(0.0)})
         else:
             queries = samples.select(F.col("sample_id").alias("vec_id"), "embedding")
@@ -60,12 +74,13 @@ class Scanner:
 
         ``logs``: the exec_log table; ``reviews``: ``sample_id, response``. Either may be absent, as may a sample in it.
         """
-        c, spark = self.config, samples.sparkSession
+        c, spark, samples = self.config, samples.sparkSession, self.scored(samples)
         found = self.detect(samples)
         if logs is None or c.mode in ("triage-only", "dry-run"):
             proof = spark.createDataFrame([], "sample_id long, ord int, evidence_level string, reason string, exit_code int, execution_time double, compiled boolean, confidence double, cwe_id string, sanitizer_source string, sanitizer_profile string, fuzz_mode boolean")
         else:
-            classified = evidence.classify(logs).withColumnRenamed("level", "evidence_level").drop("stdout", "stderr", "asan_report")
+            tried = evidence.cap(logs, "sample_id", [F.col("ord")], c.max_exploits)  # the first runs of a sample; the others do not count
+            classified = evidence.classify(tried).withColumnRenamed("level", "evidence_level").drop("stdout", "stderr", "asan_report")
             proof = cut(classified, "evidence")  # read four times below; logs are matched once
             if c.early_stop:
                 proof = evidence.until_first(proof, "sample_id", "ord", F.col("evidence_level") == "CONFIRMED")

@@ -74,9 +74,58 @@ def log_loss(predictions: DataFrame, prob: str = "prob", label: str = "label", b
     return predictions.groupBy(batch.alias("b")).agg(F.avg(loss).alias("m")).agg(F.avg("m").alias("log_loss"))
 
 
+def median(rows: DataFrame, value: str, name: str = "median") -> DataFrame:
+    """One row: the exact median, the mean of the middle two where their number is even; null without values.
+
+    Equal values meet in one row, ranges of values are counted, and only the one or two ranges that hold the middle ranks
+    are looked into: no task sees more than a range.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = cut(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "value-ranges")
+    held = ranges.groupBy("part").agg(F.sum("n").alias("held"))  # one row a range
+    by_part = Window.orderBy("part")
+    offset = F.coalesce(F.sum("held").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("held").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    middle = held.select("part", "held", offset.alias("offset"), F.floor((total - 1) / 2).alias("low"), F.floor(total / 2).alias("high"))
+    middle = middle.filter((F.col("offset") <= F.col("high")) & (F.col("offset") + F.col("held") > F.col("low")))
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = ranges.join(F.broadcast(middle), "part")  # two rows at most
+    near = near.withColumn("under", F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return near.filter((F.col("under") <= F.col("high")) & (F.col("under") + F.col("n") > F.col("low"))).agg(F.avg("v").alias(name))
+
+
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Tables of one row each as one row."""
+    out = one_row[0].withColumn("__one", F.lit(1))
+    for more in one_row[1:]:
+        out = out.join(more.withColumn("__one", F.lit(1)), "__one")
+    return out.drop("__one")
+
+
 def time_stats(times: DataFrame, seconds: str) -> DataFrame:
     c = F.col(seconds)
-    return times.agg(F.avg(c).alias("avg_time"), F.median(c).alias("median_time"), F.min(c).alias("min_time"), F.max(c).alias("max_time"), F.sum(c).alias("total_time"))
+    rest = times.agg(F.avg(c).alias("avg_time"), F.min(c).alias("min_time"), F.max(c).alias("max_time"), F.sum(c).alias("total_time"))
+    return side_by_side(rest, median(times, seconds, "median_time")).select("avg_time", "median_time", "min_time", "max_time", "total_time")
+
+
+def summary(
+    rows: DataFrame, mode: str = "full", predicted: str = "prediction", actual: str = "label", before: str | None = None,
+    tried: str | None = None, confirmed: str | None = None, seconds: str | None = None,
+) -> DataFrame:
+    """The evaluation as one row: mode, total, accuracy, precision, recall, f1, the four confusion counts, fp_reduction
+    (of verdicts ``before`` and after checking), exploitation_rate, avg_time, median_time. What has no column is 0."""
+    rated = rates(confusion(rows, predicted, actual)).select(
+        F.lit(mode).alias("mode"), (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("total"), "accuracy", "precision", "recall", "f1",
+        F.col("tp").alias("true_positives"), F.col("tn").alias("true_negatives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"),
+    )
+    none = lambda name: rows.sparkSession.createDataFrame([(0.0,)], f"{name} double")
+    reduced = fp_reduction(rows, before, predicted, actual).select("fp_reduction") if before else none("fp_reduction")
+    exploited = exploitation_rate(rows, tried, confirmed) if tried and confirmed else none("exploitation_rate")
+    if seconds:
+        times = time_stats(rows, seconds).select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_time", "median_time")])
+    else:
+        times = side_by_side(none("avg_time"), none("median_time"))
+    return side_by_side(rated, reduced, exploited, times)
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

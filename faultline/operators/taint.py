@@ -1,19 +1,27 @@
 """Source-to-sink paths, call edges and callers of C functions, found line by line.
 
-All keyed by sample id: paths are an equi-join of one sample's source and sink hits, calls a join of its functions
-and lines; only the closure over callers iterates.
+Functions are found inside the row, in one pass over a running brace depth; paths are an equi-join of one sample's source
+and sink hits; calls meet the functions around them by bins of lines, so rows grow with lines and not with lines times
+functions; the closure over callers doubles its reach each round.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import call_names
 from ..plans.lineage import cut
 from ..rules import CONTROL_WORDS, DEFINITION, SINKS, SOURCES
 
 PATH_CAP, CONTEXT_PATHS, CONTEXT_EDGES = 20, 5, 10
+#: Lines of a bin in which calls meet functions.
+BIN = 64
 
 
 def lines_of(samples: DataFrame, id_name: str = "sample_id", code: str = "code") -> DataFrame:
@@ -65,63 +73,100 @@ def paths(samples: DataFrame, id_name: str = "sample_id", code: str = "code", mo
     )
 
 
+def closing_lines(depth: np.ndarray, starts: list[int]) -> list[int]:
+    """For each start, the first later line whose depth is no more than that before the start, else the start. ``depth`` is
+    the running depth after each line, with 0 before the first.
+
+    Lines are taken in from the last to the first; of those taken in, only the ones shallower than all nearer lines can
+    answer, so they stay in order of depth and a search by halves finds the nearest.
+    """
+    lines: list[int] = []
+    depths: list[int] = []
+    ends, at = dict.fromkeys(starts, 0), len(depth)
+    for s in sorted(ends, reverse=True):
+        while at > s + 1:
+            at -= 1
+            while depths and depths[-1] >= depth[at]:
+                depths.pop()
+                lines.pop()
+            depths.append(int(depth[at]))
+            lines.append(at)
+        n = bisect_right(depths, int(depth[s - 1]))
+        ends[s] = lines[n - 1] if n else s
+    return [ends[s] for s in starts]
+
+
+@F.pandas_udf(T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
+def _spans(gaps: pd.Series, heads: pd.Series, braces: pd.Series) -> pd.DataFrame:
+    """Start and closing line of each head, from the line feeds between and in heads and the braces of each line."""
+    starts, ends = [], []
+    for g, h, b in zip(gaps, heads, braces, strict=True):
+        own = (1 + np.cumsum(g)[: len(h)] + np.cumsum(h) - h).tolist()
+        starts.append(own)
+        ends.append(closing_lines(np.concatenate(([0], np.cumsum(b))), own))
+    return pd.DataFrame({"starts": starts, "ends": ends})
+
+
 def functions_of(samples: DataFrame, id_name: str = "sample_id", code: str = "code") -> DataFrame:
     """sample_id, name, start_line, end_line of C definitions.
 
     A definition ends on the first line after its start where as many braces have closed as opened since it, else on
     its start line. Split at the matched heads, the text before the i-th head tells its line.
     """
-    heads = F.regexp_extract_all(F.col(code), F.lit(DEFINITION), F.lit(0))
-    names = F.regexp_extract_all(F.col(code), F.lit(DEFINITION), F.lit(1))
-    gaps = F.split(F.col(code), DEFINITION, -1)
-    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    found = samples.select(F.col(id_name).alias("sample_id"), heads.alias("heads"), names.alias("names"), gaps.alias("gaps"))
-    starts = found.select(
-        "sample_id",
-        F.posexplode("names").alias("i", "name"),
-        F.transform("gaps", feeds).alias("g"), F.transform("heads", feeds).alias("h"),
-    ).select(
-        "sample_id", "i", "name",
-        (F.aggregate(F.slice("g", 1, F.col("i") + 1), F.lit(1), lambda a, x: a + x) + F.aggregate(F.slice("h", 1, F.col("i")), F.lit(0), lambda a, x: a + x)).alias("start_line"),
-    )
-    starts = starts.filter(~F.col("name").isin(*CONTROL_WORDS))
-    opened = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
-    depth = lines_of(samples, id_name, code).withColumn("d", opened)
-    within = Window.partitionBy("sample_id", "i", "name").orderBy("line")
-    run = starts.join(depth, "sample_id").filter(F.col("line") >= F.col("start_line")).withColumn("level", F.sum("d").over(within))
-    ends = run.groupBy("sample_id", "i", "name", "start_line").agg(F.min(F.when((F.col("line") > F.col("start_line")) & (F.col("level") <= 0), F.col("line"))).alias("end"))
-    return ends.select("sample_id", "name", "start_line", F.coalesce("end", "start_line").alias("end_line"))
+    count = lambda c, what: F.length(c) - F.length(F.replace(c, F.lit(what), F.lit("")))
+    found = samples.select(
+        F.col(id_name).alias("sample_id"), F.regexp_extract_all(F.col(code), F.lit(DEFINITION), F.lit(1)).alias("names"),
+        F.transform(F.split(F.col(code), DEFINITION, -1), lambda c: count(c, "\n")).alias("gaps"),
+        F.transform(F.regexp_extract_all(F.col(code), F.lit(DEFINITION), F.lit(0)), lambda c: count(c, "\n")).alias("heads"),
+        F.transform(F.split(F.col(code), "\n"), lambda l: count(l, "{") - count(l, "}")).alias("braces"),
+    ).filter(F.size("names") > 0)
+    spans = found.select("sample_id", "names", _spans("gaps", "heads", "braces").alias("spans"))
+    spans = spans.select("sample_id", F.explode(F.arrays_zip("names", F.col("spans.starts").alias("s"), F.col("spans.ends").alias("e"))).alias("f"))
+    each = spans.select("sample_id", F.col("f.names").alias("name"), F.col("f.s").alias("start_line"), F.col("f.e").alias("end_line"))
+    return each.filter(~F.col("name").isin(*CONTROL_WORDS))
 
 
 def call_edges(samples: DataFrame, functions: DataFrame, id_name: str = "sample_id", code: str = "code") -> DataFrame:
-    """Distinct sample_id, caller, callee, line: calls on the lines of a function, itself and control words aside."""
+    """Distinct sample_id, caller, callee, line: calls on the lines of a function, itself and control words aside.
+
+    A function stands in each bin of ``BIN`` lines that it reaches into, a call in its own; they meet within a bin.
+    """
     calls = lines_of(samples, id_name, code).select("sample_id", "line", F.explode(call_names(F.col("text"))).alias("callee"))
-    calls = calls.filter(~F.col("callee").isin(*CONTROL_WORDS))
-    f = functions.select("sample_id", F.col("name").alias("caller"), "start_line", "end_line")
-    met = calls.join(f, "sample_id").filter(F.col("line").between(F.col("start_line"), F.col("end_line")) & (F.col("caller") != F.col("callee")))
+    calls = calls.filter(~F.col("callee").isin(*CONTROL_WORDS)).withColumn("bin", F.floor(F.col("line") / BIN))
+    bins = F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))
+    f = functions.select("sample_id", F.col("name").alias("caller"), "start_line", "end_line", F.explode(bins).alias("bin"))
+    met = calls.join(f, ["sample_id", "bin"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")) & (F.col("caller") != F.col("callee")))
     return met.select("sample_id", "caller", "callee", "line").distinct()
 
 
 def callers(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """sample_id, func, caller: everything that reaches ``func`` (``wanted``: sample_id, func), itself excluded.
 
-    Rounds of an equi-join from the last round's new callers, each written to the shared folder; it ends when a round
-    adds nothing, cycles included.
+    Round i joins what reaches ``func`` in fewer than 2^i calls with the paths of exactly 2^i calls, then doubles those: as
+    many rounds as the depth has binary digits, each written to the shared folder. A round that adds nothing ends it,
+    since a farther caller would have one at exactly 2^i calls before it; cycles end likewise.
     """
-    step = edges.select("sample_id", "caller", "callee").distinct()
-    step = cut(step, "calls")
-    seen = wanted.select("sample_id", "func", F.col("func").alias("caller")).distinct()
-    fresh = seen
+    step = cut(edges.select("sample_id", "caller", "callee").distinct(), "calls")
+    seen = cut(wanted.select("sample_id", "func", F.col("func").alias("caller")).distinct(), "callers")
+    n = seen.count()
     while True:
-        reach = fresh.select("sample_id", "func", F.col("caller").alias("callee")).join(step, ["sample_id", "callee"]).select("sample_id", "func", "caller").distinct()
-        fresh = reach.join(seen, ["sample_id", "func", "caller"], "left_anti")
-        fresh = cut(fresh, "callers")
-        if fresh.isEmpty():
+        ahead = step.select("sample_id", F.col("callee").alias("via"), F.col("caller").alias("next"))
+        reach = seen.withColumnRenamed("caller", "via").join(ahead, ["sample_id", "via"]).select("sample_id", "func", F.col("next").alias("caller"))
+        seen = cut(seen.union(reach).distinct(), "callers")
+        if (more := seen.count()) == n:
             break
-        seen = seen.union(fresh)
+        n = more
+        step = _doubled(step)
     return seen.filter("caller <> func")
 
 
+def _doubled(step: DataFrame) -> DataFrame:
+    """Paths of twice as many calls."""
+    first = step.select("sample_id", "caller", F.col("callee").alias("via"))
+    second = step.select("sample_id", F.col("caller").alias("via"), "callee")
+    return cut(first.join(second, ["sample_id", "via"]).select("sample_id", "caller", "callee").distinct(), "calls")
+
+
 def context(path: DataFrame, edge: DataFrame, samples: DataFrame, id_name: str = "sample_id") -> DataFrame:
     """sample_id, taint_context: up to five paths and ten distinct calls as text, empty without any."""
     shown = path.filter(F.col("path_no") <= CONTEXT_PATHS).withColumn("t", F.format_string("  %d. %s(line %d) -[direct]-> %s(line %d) [%s]", "path_no", "source_func", F.col("source_line").cast("int"), "sink_func", F.col("sink_line").cast("int"), "sink_category"))

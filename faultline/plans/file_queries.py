@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evidence, report, selection
+from ..operators import evaluation, evidence, report, selection
 from ..sources import readers, writers
 from ..streaming import index as stream
 from . import fixtures as fx
@@ -220,11 +220,18 @@ def sink_results(spark, sf_dir):
     return read.select("index", "label", "result.hybrid_score", "result.verdict")
 
 
+METRICS_DDL = "mode string, total long, accuracy double, precision double, recall double, f1 double, true_positives long, true_negatives long, false_positives long, false_negatives long, fp_reduction double, exploitation_rate double, avg_time double, median_time double"
+
+
 def sink_metrics(spark, sf_dir):
-    path = place(spark, "metrics")
-    scored = fx.predictions(spark, sf_dir)
-    writers.metrics_json(scored.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hybrid_score") > 0.5).alias("predicted"), F.max("hybrid_score").alias("highest")), path)
-    return spark.read.schema("total long, predicted long, highest double").json(path)
+    """The evaluation file with all its keys, written and read again."""
+    path, n = place(spark, "metrics"), F.col("sample_id")
+    rows = fx.predictions(spark, sf_dir).select(
+        (F.col("hybrid_score") > 0.5).cast("int").alias("prediction"), (F.col("hybrid_score") > 0.3).cast("int").alias("before"), (n % 2).cast("int").alias("label"),
+        (n % 4).alias("tried"), F.when(n % 3 == 0, n % 4).otherwise(0).alias("confirmed"), (n * 13 % 97 / 8).cast("double").alias("seconds"),
+    )
+    writers.metrics_json(evaluation.summary(rows, "full", before="before", tried="tried", confirmed="confirmed", seconds="seconds"), path)
+    return spark.read.schema(METRICS_DDL).json(path)
 
 
 def _results(spark, sf_dir) -> DataFrame:
@@ -322,7 +329,14 @@ SQL = {
     "sink_splits": "SELECT DISTINCT doc_id, text, 'train' AS split FROM documents JOIN labels USING (doc_id) WHERE quality = 1 UNION ALL SELECT DISTINCT doc_id, text, 'test' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",
     "sink_predictions": f"SELECT sample_id AS idx, (hybrid_score > 0.5::DOUBLE)::INTEGER AS prediction FROM {fx.PREDICTIONS_SQL}",
     "sink_results": f"SELECT sample_id AS \"index\", (sample_id % 2)::INTEGER AS label, hybrid_score, 'SAFE' AS verdict FROM {fx.PREDICTIONS_SQL}",
-    "sink_metrics": f"SELECT count(*) AS total, count(*) FILTER (hybrid_score > 0.5::DOUBLE) AS predicted, max(hybrid_score) AS highest FROM {fx.PREDICTIONS_SQL}",
+    "sink_metrics": f"""WITH p AS (SELECT hybrid_score > 0.5::DOUBLE AS p, hybrid_score > 0.3::DOUBLE AS b, sample_id % 2 = 1 AS y, sample_id % 4 AS tried,
+      CASE WHEN sample_id % 3 = 0 THEN sample_id % 4 ELSE 0 END AS confirmed, (sample_id * 13 % 97)::DOUBLE / 8::DOUBLE AS seconds FROM {fx.PREDICTIONS_SQL}),
+    c AS (SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn,
+      count(*) FILTER (b AND NOT y) AS fb, sum(confirmed)::DOUBLE / sum(tried)::DOUBLE AS rate, avg(seconds) AS mean, median(seconds) AS middle FROM p)
+    SELECT 'full' AS mode, tp + tn + fp + fn AS total, (tp + tn)::DOUBLE / (tp + tn + fp + fn)::DOUBLE AS accuracy, tp::DOUBLE / (tp + fp)::DOUBLE AS precision, tp::DOUBLE / (tp + fn)::DOUBLE AS recall,
+      2::DOUBLE * (tp::DOUBLE / (tp + fp)::DOUBLE) * (tp::DOUBLE / (tp + fn)::DOUBLE) / (tp::DOUBLE / (tp + fp)::DOUBLE + tp::DOUBLE / (tp + fn)::DOUBLE) AS f1,
+      tp AS true_positives, tn AS true_negatives, fp AS false_positives, fn AS false_negatives, (fb - fp)::DOUBLE / fb::DOUBLE AS fp_reduction,
+      rate AS exploitation_rate, mean AS avg_time, middle AS median_time FROM c""",
     "report_json": f"WITH {_RESULTS} SELECT sample_id, verdict, 'buffer_overflow' AS vuln_type, 'CWE-121' AS cwe_id, 'asan' AS sanitizer_source, text[1:20] AS taint_context, CASE WHEN reviewed THEN 'true_positive' END AS triage_verdict, CASE WHEN reviewed THEN coalesce(text, '') END AS triage_reasoning, confidence, hybrid_score, tried::DOUBLE AS exploits_tried, total_time, CASE WHEN reviewed THEN tc END AS triage_confidence, CASE WHEN tried > 0 THEN 'x' || sample_id END AS second_exploit, reviewed FROM r",
     "report_text": f"""WITH {_RESULTS} SELECT sample_id, '{_RULE}' || {_N} || 'VULNERABILITY SCAN REPORT' || {_N} || '{_RULE}' || {_N} || {_N} || '  Verdict:      ' || CASE verdict WHEN 'CONFIRMED' THEN '[!!] ' WHEN 'SUGGESTIVE' THEN '[!] ' WHEN 'NEUTRAL' THEN '[?] ' ELSE '[OK] ' END || verdict || {_N}
   || '  Confidence:   ' || {_PERCENT("confidence")} || {_N} || '  Vuln Type:    buffer_overflow (' || {_PERCENT("type_conf")} || ')' || {_N} || format('  Total Time:   {{:.2f}}s', total_time) || {_N}

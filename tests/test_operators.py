@@ -2,6 +2,9 @@
 
 import json
 import math
+import re
+import statistics
+import time
 
 import numpy as np
 import pytest
@@ -192,6 +195,26 @@ def test_times_and_reduction(spark):
     assert evaluation.exploitation_rate(spark.createDataFrame([(50, 30)], "t int, c int"), "t", "c").first()[0] == 0.6
 
 
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [2.0, 2.0, 2.0, 5.0], [float(i * 7 % 31) for i in range(200)], [float(i * i) for i in range(101)], [1.0] * 50 + [9.0] * 50])
+def test_median_by_ranges(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    found = evaluation.median(df, "v")
+    assert found.first().median == (statistics.median(values) if values else None)
+    assert "percentile" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_summary_has_all_keys(spark):
+    rows = [(1, 1, 1, 3, 1, 0.5), (0, 0, 1, 2, 0, 1.5), (1, 0, 1, 0, 0, 2.0), (0, 1, 0, 1, 1, 4.0)]
+    df = spark.createDataFrame(rows, "prediction int, label int, before int, tried long, confirmed long, seconds double")
+    r = evaluation.summary(df, "sandbox-only", before="before", tried="tried", confirmed="confirmed", seconds="seconds").first().asDict()
+    assert r == {
+        "mode": "sandbox-only", "total": 4, "accuracy": 0.5, "precision": 0.5, "recall": 0.5, "f1": 0.5, "true_positives": 1, "true_negatives": 1,
+        "false_positives": 1, "false_negatives": 1, "fp_reduction": 0.5, "exploitation_rate": 1 / 3, "avg_time": 2.0, "median_time": 1.75,
+    }
+    r = evaluation.summary(df.limit(0)).first()
+    assert (r.total, r.accuracy, r.fp_reduction, r.exploitation_rate, r.median_time) == (0, 0.0, 0.0, 0.0, 0.0)
+
+
 def test_auc(spark):
     r = np.random.default_rng(3)
     rows = [(float(r.integers(0, 20)), int(r.integers(0, 2))) for _ in range(300)]
@@ -437,6 +460,66 @@ def test_callers_survive_cycles(spark):
     assert {r.caller for r in taint.callers(edges, wanted).collect()} == {"b", "c"}
 
 
+def test_closing_lines_against_plain_search():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        depth = np.concatenate(([0], np.cumsum(r.integers(-2, 3, r.integers(1, 40)))))
+        starts = [int(s) for s in r.integers(1, len(depth), 6)]
+        want = [next((i for i in range(s + 1, len(depth)) if depth[i] <= depth[s - 1]), s) for s in starts]
+        assert taint.closing_lines(depth, starts) == want
+
+
+def test_spans_and_calls_of_a_long_file(spark):
+    n = 20_000  # functions of five lines
+    code = "".join(f"int f{i}(int a) {{\n  if (a) {{\n    f{i + 1}(a);\n  }}\n}}\n" for i in range(n))
+    df = samples(spark, code).cache()
+    begin = time.perf_counter()
+    f = taint.functions_of(df)
+    spans = {(r.name, r.start_line, r.end_line) for r in f.collect()}
+    assert spans == {(f"f{i}", 5 * i + 1, 5 * i + 5) for i in range(n)}
+    assert taint.call_edges(df, f).count() == n
+    assert time.perf_counter() - begin < 60  # 100,000 lines; quadratic work would take hours
+
+
+def test_calls_meet_functions_across_bins(spark):
+    r = np.random.default_rng(9)
+    lines = [["int f%d(int a) {", "g%d(1);", "}", "{ h%d(2);", "x = 1;"][j] for j in r.integers(0, 5, 400)]
+    code = "\n".join(x % i if "%d" in x else x for i, x in enumerate(lines))
+    df = samples(spark, code)
+    f = taint.functions_of(df)
+    spans = [(x.name, x.start_line, x.end_line) for x in f.collect()]
+    want = set()
+    for no, text in enumerate(code.split("\n"), 1):
+        for callee in re.findall(r"\b(\w+)\s*\(", text):
+            want |= {(name, callee, no) for name, a, b in spans if a <= no <= b and name != callee and callee not in rules.CONTROL_WORDS}
+    assert {(x.caller, x.callee, x.line) for x in taint.call_edges(df, f).collect()} == want
+
+
+def test_callers_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    n, rounds = 1000, []
+    cut = taint.cut
+    monkeypatch.setattr(taint, "cut", lambda df, label: rounds.append(label) or cut(df, label))
+    edges = spark.createDataFrame([(0, f"f{i}", f"f{i + 1}", i) for i in range(n)], "sample_id long, caller string, callee string, line int")
+    wanted = spark.createDataFrame([(0, f"f{n}")], "sample_id long, func string")
+    assert taint.callers(edges, wanted).count() == n
+    assert rounds.count("callers") - 1 <= 12
+
+
+def test_callers_against_plain_closure(spark):
+    r = np.random.default_rng(12)
+    pairs = {(int(s), f"n{a}", f"n{b}") for s, a, b in zip(r.integers(0, 3, 60), r.integers(0, 14, 60), r.integers(0, 14, 60), strict=True)}
+    want = set()
+    for s, _, func in pairs:
+        seen, fresh = set(), {func}
+        while fresh:
+            seen |= fresh
+            fresh = {a for t, a, b in pairs if t == s and b in fresh} - seen
+        want |= {(s, func, c) for c in seen - {func}}
+    edges = spark.createDataFrame([(*p, 1) for p in pairs], "sample_id long, caller string, callee string, line int")
+    got = taint.callers(edges, edges.select("sample_id", F.col("callee").alias("func")).distinct())
+    assert {tuple(x) for x in got.select("sample_id", "func", "caller").collect()} == want
+
+
 # ---- reviews ------------------------------------------------------------------------------------------------
 
 
@@ -518,6 +601,33 @@ def test_scanner(spark):
         api.ScanConfig(mode="other")
 
 
+def test_scanner_counts_the_first_runs_only(spark):
+    _, df, _, _ = scanned(spark)
+    fields = schemas.SCHEMAS["exec_log"].names
+    log = lambda ord_, text: tuple({"sample_id": 1, "ord": ord_, "exit_code": 1 if text else 0, "stdout": "", "stderr": text, "execution_time": 1.0, "timed_out": False, "compiled": True}.get(f) for f in fields)
+    crash = "==1==ERROR: AddressSanitizer: heap-buffer-overflow on address 0x1"
+    logs = spark.createDataFrame([log(i, crash if i == 3 else "") for i in range(5)], schemas.SCHEMAS["exec_log"])
+    tried = {}
+    for most in (2, 4):
+        r = api.Scanner(None, api.ScanConfig(max_exploits=most, taint=False)).scan_batch(df, logs).filter("sample_id = 1").first()
+        tried[most] = (r.exploits_tried, r.exploits_confirmed, len(r.evidence_details))
+    assert tried == {2: (2, 0, 2), 4: (4, 1, 4)}
+
+
+def test_scanner_scores_by_function(spark):
+    _, df, _, _ = scanned(spark)
+    bare = df.select("sample_id", "code")
+    calls = []
+
+    def score(samples):
+        calls.append(1)
+        return samples.withColumn("cls_prob", F.when(F.col("sample_id") == 2, 0.1).otherwise(0.9))
+
+    got = {r.sample_id: (r.cls_prob, r.verdict) for r in api.Scanner(config=api.ScanConfig(taint=False), score_fn=score).scan_batch(bare).collect()}
+    assert got == {1: (0.9, "SUGGESTIVE"), 2: (0.1, "SAFE"), 3: (0.9, "SUGGESTIVE")} and len(calls) == 1
+    assert {r.cls_prob for r in api.Scanner(config=api.ScanConfig(taint=False)).scan_batch(bare).collect()} == {1.0}
+
+
 def test_reports(spark):
     index, df, logs, reviews = scanned(spark)
     results = api.Scanner(index, api.ScanConfig(beta=0.9)).scan_batch(df, logs, reviews).cache()

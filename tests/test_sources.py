@@ -124,3 +124,29 @@ def test_command_line(spark, tmp_path):
     cli.main(["evaluate", "--predictions", str(tmp_path / "p"), "--out", str(tmp_path / "m")])
     m = spark.read.json(str(tmp_path / "m")).first()
     assert (m.recall, m.auc, m.median_time) == (0.5, 1.0, 2.0)
+    assert (m.total, m.true_positives, m.fp_reduction, m.mode) == (3, 1, 0.0, "full")
+
+
+def test_command_line_inputs(spark, tmp_path):
+    from faultline import cli
+
+    def verdicts(*more):
+        out = str(tmp_path / f"o{len(list(tmp_path.iterdir()))}")
+        cli.main(["scan", "--out", out, *more])
+        return out, {r.sample_id: r for r in spark.read.parquet(f"{out}/results").collect()}
+
+    lines = ['{"func": "int a(char *argv) { gets(argv); }", "target": 1, "idx": 7}', "", '{"code": "int b;", "label": 0}', '{"func": " "}', '{"code": "int c;"}']
+    (tmp_path / "d.jsonl").write_text("\n".join(lines) + "\n")
+    out, got = verdicts("--jsonl", str(tmp_path / "d.jsonl"))
+    assert set(got) == {0, 2, 4} and {r.verdict for r in got.values()} == {"SUGGESTIVE"} and "gets" in got[0].taint_context
+    batch = {r["index"]: r for r in spark.read.json(f"{out}/batch").collect()}
+    assert {i: r.label for i, r in batch.items()} == {0: 1, 2: 0, 4: -1} and batch[2].result.verdict == "SUGGESTIVE"
+    assert set(verdicts("--jsonl", str(tmp_path / "d.jsonl"), "--limit", "3")[1]) == {0, 2}
+    spark.createDataFrame([(0, 0.9), (2, 0.1)], "sample_id long, cls_prob double").write.parquet(str(tmp_path / "p"))
+    _, got = verdicts("--jsonl", str(tmp_path / "d.jsonl"), "--scores", str(tmp_path / "p"))
+    assert {i: r.verdict for i, r in got.items()} == {0: "SUGGESTIVE", 2: "SAFE", 4: "SUGGESTIVE"}
+    (tmp_path / "a.c").write_text("int main(void) { return 0; }")
+    assert len(verdicts("--file", str(tmp_path / "a.c"))[1]) == 1
+    assert set(verdicts("--code", "int x;", "--mode", "dry-run")[1]) == {0}
+    with pytest.raises(SystemExit):
+        cli.main(["scan", "--code", "int x;", "--file", "a.c", "--out", "o"])
