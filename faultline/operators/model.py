@@ -6,7 +6,7 @@ are one sparse graph in an Arrow batch, so layers run over their edges in numpy,
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
@@ -173,15 +173,27 @@ def forward(g: Graphs, codes: np.ndarray, w: Mapping[str, np.ndarray]) -> tuple[
     return which, classify(graphs, w), embed(graphs, w)
 
 
+#: Weights of a network may take up so many bytes: they go to every executor once.
+MOST_WEIGHT_BYTES = 1 << 30
+
+
+def shipped(spark: SparkSession, w: Mapping[str, np.ndarray]):
+    """Weights as a broadcast: sent once to an executor and read once by a Python worker, not with every task."""
+    size = sum(x.nbytes for x in w.values())
+    if size > MOST_WEIGHT_BYTES:
+        raise ValueError(f"{size} bytes of weights; at most {MOST_WEIGHT_BYTES} are sent to executors")
+    return spark.sparkContext.broadcast(dict(w))
+
+
 def graph_scores(docs: DataFrame, id_name: str, ids: str, w: Mapping[str, np.ndarray], window: int = WINDOW) -> DataFrame:
     """id, cls_prob, embedding: one row a document of token ids; without any, probability 0.5 and a zero vector."""
-    width = w["embed1"].shape[1]
+    width, sent = w["embed1"].shape[1], shipped(docs.sparkSession, w)
 
     def emit(words: pa.DictionaryArray, sizes: np.ndarray, part: pa.RecordBatch):
         prob, vectors = np.full(len(sizes), 0.5), np.zeros((len(sizes), width))
         if len(words):
             g = Graphs(words.indices.to_numpy().astype(np.int64), sizes.astype(np.int64), window)
-            which, p, v = forward(g, words.dictionary.to_numpy()[g.code], w)
+            which, p, v = forward(g, words.dictionary.to_numpy()[g.code], sent.value)
             prob[which], vectors[which] = p, v
         flat = pa.array(vectors.ravel())
         return np.arange(len(sizes)), [pa.array(prob), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * width), flat)]
@@ -189,6 +201,18 @@ def graph_scores(docs: DataFrame, id_name: str, ids: str, w: Mapping[str, np.nda
     return batched(docs, id_name, [F.col(ids).cast("array<int>")], "cls_prob double, embedding array<double>", emit)
 
 
+def score_function(w: Mapping[str, np.ndarray], ids_of: Callable[[Column], Column], window: int = WINDOW) -> Callable[[DataFrame], DataFrame]:
+    """A scanner's ``score_fn``: samples (sample_id, code, ...) with the network's cls_prob and embedding; ``ids_of`` makes token
+    ids of squeezed code. Of rows that share a sample_id each gets its own."""
+
+    def score(samples: DataFrame) -> DataFrame:
+        row = F.struct(*samples.columns).alias("row")
+        rows = samples.select(row, ids_of(squeeze(F.col("code"))).alias("ids"))
+        return graph_scores(rows, "row", "ids", w, window).select("id.*", "cls_prob", "embedding")
+
+    return score
+
+
 def encode_catalogue(catalogue: DataFrame, ids_of, w: Mapping[str, np.ndarray], window: int = WINDOW) -> DataFrame:
     """exploit_id, embedding of catalogue entries: their harness, else their payload, squeezed and made token ids by
     ``ids_of`` (Column -> Column). Entries without either have no vector."""

@@ -32,6 +32,7 @@ def lines_of(samples: DataFrame, id_name: str = "sample_id", code: str = "code")
 def source_hits(lines: DataFrame) -> DataFrame:
     """sample_id, line, source_func, source_ord: names of input that a line mentions, comments included."""
     hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(rf"\b{s}\b"), F.struct(F.lit(s).alias("source_func"), F.lit(i).alias("source_ord"))) for i, s in enumerate(SOURCES)]))
+    lines = lines.filter(F.col("text").rlike(rf"\b(?:{'|'.join(SOURCES)})\b"))  # one match where a line mentions none
     return lines.select("sample_id", "line", F.explode(hits).alias("h")).select("sample_id", "line", "h.*")
 
 
@@ -42,6 +43,7 @@ def sink_hits(lines: DataFrame) -> DataFrame:
         F.when(F.col("text").rlike(rf"\b{s}\s*\("), F.struct(F.lit(s).alias("sink_func"), F.lit(c).alias("sink_category"), F.lit(i).alias("sink_ord")))
         for i, (s, c) in enumerate(listed)
     ]))
+    lines = lines.filter(F.col("text").rlike(rf"\b(?:{'|'.join(sorted({s for s, _ in listed}))})\s*\("))
     return lines.select("sample_id", "line", F.explode(hits).alias("h")).select("sample_id", "line", "h.*")
 
 

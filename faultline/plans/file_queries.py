@@ -56,6 +56,22 @@ def source_repairing_jsonl(spark, sf_dir):
     return readers.repairing_jsonl(spark, _lines(lines, F.col("value"), "repairing"))
 
 
+def source_rejects(spark, sf_dir):
+    """What became of each raw line of the repairing and the catalogue reader: rows, and what gave none, by reason."""
+    lines = _sample_lines(fx.table(spark, sf_dir, "documents"))
+    path = _lines(lines, F.col("value"), "raw-lines")
+    outcomes = []
+    for reader, rows, rejects in (
+        ("repairing", readers.repairing_jsonl(spark, path), readers.repairing_rejects(spark, path)),
+        ("catalogue", readers.catalogue_jsonl(spark, path), readers.catalogue_rejects(spark, path)),
+    ):
+        outcomes += [rows.select(F.lit(reader).alias("reader"), F.lit("row").alias("outcome")), rejects.select(F.lit(reader).alias("reader"), F.col("reason").alias("outcome"))]
+    every = outcomes[0]
+    for more in outcomes[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("reader", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def source_batch_jsonl(spark, sf_dir):
     """The first raw lines of a folder of files, blank ones counted; both names of code and label."""
     docs = fx.table(spark, sf_dir, "documents")
@@ -276,7 +292,7 @@ def report_summary(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        source_training_jsonl, source_repairing_jsonl, source_batch_jsonl, source_json_array, source_split_ids,
+        source_training_jsonl, source_repairing_jsonl, source_rejects, source_batch_jsonl, source_json_array, source_split_ids,
         source_template_catalogue, source_catalogue_jsonl, source_catalogue_union, source_files, source_word_vectors,
         index_save_load, index_append, index_stream_append, index_rebuild, exec_log_parse, exec_log_cut, sink_splits,
         sink_predictions, sink_results, sink_metrics, report_json, report_text, report_summary,
@@ -312,6 +328,7 @@ _N = "chr(10)"
 SQL = {
     "source_training_jsonl": "SELECT doc_id AS idx, text AS func, (doc_id % 2)::INTEGER AS target, source AS project, lang AS commit_id FROM documents",
     "source_repairing_jsonl": f"SELECT {_CODE} AS func, CASE WHEN doc_id % 7 = 2 THEN 0 ELSE doc_id % 2 END::INTEGER AS target FROM documents WHERE doc_id % 7 < 4",
+    "source_rejects": "SELECT reader, CASE WHEN c = 5 THEN 'blank' WHEN c = 4 OR c = 6 OR (reader = 'catalogue' AND c = 1) THEN 'not JSON' ELSE 'row' END AS outcome, count(*) AS n FROM (SELECT doc_id % 7 AS c FROM documents), (VALUES ('repairing'), ('catalogue')) AS r(reader) GROUP BY 1, 2",
     "source_batch_jsonl": f"SELECT line_no, {_CODE} AS code, CASE WHEN doc_id % 5 = 4 THEN -1 ELSE doc_id % 2 END::INTEGER AS label FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents) WHERE line_no < {RAW_LINES} AND doc_id % 5 IN (0, 1, 4)",
     "source_json_array": "SELECT item_id AS idx, text AS func, (item_id % 2)::INTEGER AS target FROM benchmark",
     "source_split_ids": "SELECT DISTINCT doc_id AS idx FROM labels",

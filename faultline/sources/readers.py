@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,23 +19,61 @@ def training_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["code_samples"]).option("mode", "FAILFAST").json(path)
 
 
-def _objects(lines: DataFrame, text: str) -> DataFrame:
-    """Lines that parse as an object, with their known fields."""
+#: What is said of a line or file that gives no row.
+NOT_JSON, NOT_OBJECT, BLANK = "not JSON", "not an object", "blank"
+
+
+def _told(text: str, objects_only: bool) -> Column:
+    """Why a text gives no row, null where it does."""
     good = F.try_parse_json(text)
-    parsed = lines.filter(good.isNotNull() & F.schema_of_variant(good).startswith("OBJECT"))
-    return parsed.withColumn("__o", F.from_json(text, _LOOSE))
+    told = F.when(strip(F.col(text)) == "", BLANK).when(good.isNull(), NOT_JSON)
+    return told.when(~F.schema_of_variant(good).startswith("OBJECT"), NOT_OBJECT) if objects_only else told
 
 
-def repairing_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """func, target: blank lines skipped, a missing opening brace added, bad lines dropped; ``limit`` counts good rows."""
+def _texts(spark: SparkSession, path: str, **options) -> DataFrame:
+    """value, file, block: the raw lines (or files) with where they come from."""
+    return spark.read.text(path, **options).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def _repaired(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with a missing opening brace added, and what is wrong with those that give no row."""
     line = strip(F.col("value"))
-    lines = spark.read.text(path).filter(line != "").withColumn("value", F.when(line.startswith("{"), line).otherwise(F.concat(F.lit("{"), line)))
-    rows = _objects(lines, "value").select(
-        F.coalesce("__o.func", F.lit("")).alias("func"), F.coalesce(F.col("__o.target").try_cast("int"), F.lit(0)).alias("target")
-    )
+    raw = _texts(spark, path).withColumn("raw", F.col("value"))
+    mended = raw.withColumn("value", F.when((line == "") | line.startswith("{"), line).otherwise(F.concat(F.lit("{"), line)))
+    return mended.withColumn("reason", _told("value", True))
+
+
+def repairing_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """func, target: blank lines skipped, a missing opening brace added, bad lines dropped (``repairing_rejects`` has them);
+    ``limit`` counts good rows."""
+    good = _repaired(spark, path).filter(F.col("reason").isNull()).withColumn("__o", F.from_json("value", _LOOSE))
+    rows = good.select(F.coalesce("__o.func", F.lit("")).alias("func"), F.coalesce(F.col("__o.target").try_cast("int"), F.lit(0)).alias("target"))
     return rows.limit(limit) if limit else rows
 
 
+def _rejects(lines: DataFrame, text: str) -> DataFrame:
+    """file, block, value, reason: what gave no row, where its file's block begins, and why."""
+    return lines.select("file", "block", F.col(text).alias("value"), "reason").filter(F.col("reason").isNotNull())
+
+
+def repairing_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines ``repairing_jsonl`` leaves out: with its rows, every raw line once."""
+    return _rejects(_repaired(spark, path), "raw")
+
+
+def catalogue_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines ``catalogue_jsonl`` leaves out; none where there is no file."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "file string, block long, value string, reason string")
+    return _rejects(_texts(spark, path).withColumn("reason", _told("value", False)), "value")
+
+
+def template_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The files ``template_catalogue`` leaves out, as a whole; a file of no bytes holds nothing that could be left out."""
+    files = _texts(spark, path, wholetext=True, pathGlobFilter="*.json")
+    return _rejects(files.withColumn("reason", _told("value", False)), "value")
+
+
 def batch_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """line_no, code, label: ``limit`` counts raw lines, blank ones too; the code is ``func`` or ``code``, the label
     ``target`` or ``label`` or -1; rows without code are left out; a malformed line is an error."""

@@ -331,6 +331,22 @@ def test_graph_scores_equal_dense_matrices(spark):
     assert vectors_of.keys() == {"a", "b"} and np.allclose(vectors_of["a"], vectors_of["b"])
 
 
+def test_large_vocabulary_scores_in_the_scanner(spark):
+    r = np.random.default_rng(2)
+    shapes = {"table": (50_000, 128), "layer0": (128, 8), "attention": (8, 1), "value": (8, 8), "dense": (8, 4), "out": (4, 1), "embed0": (8, 6), "embed1": (6, 4)}
+    w = {k: r.normal(0, 0.2, s) for k, s in shapes.items()}
+    ids_of = lambda c: F.transform(text.tokens(c), lambda t: F.pmod(F.crc32(t), F.lit(50_000)).cast("int"))
+    codes = spark.createDataFrame([(i, f"int f{i}(int a) {{ return a + {i}; }}") for i in range(6)], "sample_id long, code string").repartition(3)
+    scored = model.score_function(w, ids_of)(codes)
+    want = {x.id: x.cls_prob for x in model.graph_scores(codes.select("sample_id", ids_of(F.col("code")).alias("ids")), "sample_id", "ids", w).collect()}
+    assert scored.columns == ["sample_id", "code", "cls_prob", "embedding"] and len(set(want.values())) == 6
+    index = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.5], 1, "exec")], "vec_id long, embedding array<double>, label int, vuln_type string")
+    got = api.Scanner(index, api.ScanConfig(taint=False), score_fn=model.score_function(w, ids_of)).scan_batch(codes).collect()
+    assert {x.sample_id: x.cls_prob for x in got} == want and {x.vuln_type for x in got} == {"exec"}
+    with pytest.raises(ValueError, match="bytes of weights"):
+        model.shipped(spark, {"table": np.lib.stride_tricks.as_strided(np.zeros(1), (1 << 28,), (0,))})
+
+
 def test_layers(spark):
     ids = np.array([5, 7, 5, 9, 7])
     nodes, norm = dense(ids.tolist(), 2)

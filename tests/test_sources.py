@@ -25,6 +25,22 @@ def test_repairing_reader(spark, write):
     assert [(r.func, r.target) for r in rows] == [("void f(){}", 0)]
 
 
+def test_rejects_and_rows_are_all_lines(spark, write, tmp_path):
+    lines = ['{"func": "a", "target": 1}', '"func": "b"}', "", "  ", "no", "[1, 2]", '{"func": 3', "4"]
+    path = write("r.jsonl", "\n".join(lines))
+    rejects = readers.repairing_rejects(spark, path).collect()
+    assert readers.repairing_jsonl(spark, path).count() + len(rejects) == len(lines)
+    assert sorted((r.value, r.reason) for r in rejects) == sorted([("", "blank"), ("  ", "blank"), ("no", "not JSON"), ("[1, 2]", "not JSON"), ('{"func": 3', "not JSON"), ("4", "not JSON")])
+    assert {r.file.rsplit("/", 1)[1] for r in rejects} == {"r.jsonl"}
+    assert readers.catalogue_jsonl(spark, path).count() + readers.catalogue_rejects(spark, path).count() == len(lines)
+    assert readers.catalogue_rejects(spark, path + ".missing").count() == 0
+    folder = tmp_path / "templates"
+    folder.mkdir()
+    for name, body in (("a.json", '{"id": "x"}'), ("b.json", "{broken"), ("c.json", " \n")):
+        (folder / name).write_text(body)
+    assert {(r.file.rsplit("/", 1)[1], r.reason) for r in readers.template_rejects(spark, str(folder)).collect()} == {("b.json", "not JSON"), ("c.json", "blank")}
+
+
 def test_batch_reader(spark, write):
     path = write("a", '{"func": "a", "target": 1}', "", '{"code": "b", "label": "0"}', '{"func": " "}', '{"func": "c"}')
     rows = readers.batch_jsonl(spark, path).orderBy("line_no").collect()
