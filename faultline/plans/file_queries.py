@@ -328,7 +328,7 @@ _N = "chr(10)"
 SQL = {
     "source_training_jsonl": "SELECT doc_id AS idx, text AS func, (doc_id % 2)::INTEGER AS target, source AS project, lang AS commit_id FROM documents",
     "source_repairing_jsonl": f"SELECT {_CODE} AS func, CASE WHEN doc_id % 7 = 2 THEN 0 ELSE doc_id % 2 END::INTEGER AS target FROM documents WHERE doc_id % 7 < 4",
-    "source_rejects": "SELECT reader, CASE WHEN c = 5 THEN 'blank' WHEN c = 4 OR c = 6 OR (reader = 'catalogue' AND c = 1) THEN 'not JSON' ELSE 'row' END AS outcome, count(*) AS n FROM (SELECT doc_id % 7 AS c FROM documents), (VALUES ('repairing'), ('catalogue')) AS r(reader) GROUP BY 1, 2",
+    "source_rejects": "SELECT reader, CASE WHEN c = 5 THEN 'blank' WHEN c = 4 OR c = 6 THEN 'not JSON' WHEN reader = 'catalogue' AND c = 1 THEN 'not an object' ELSE 'row' END AS outcome, count(*) AS n FROM (SELECT doc_id % 7 AS c FROM documents), (VALUES ('repairing'), ('catalogue')) AS r(reader) GROUP BY 1, 2",
     "source_batch_jsonl": f"SELECT line_no, {_CODE} AS code, CASE WHEN doc_id % 5 = 4 THEN -1 ELSE doc_id % 2 END::INTEGER AS label FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents) WHERE line_no < {RAW_LINES} AND doc_id % 5 IN (0, 1, 4)",
     "source_json_array": "SELECT item_id AS idx, text AS func, (item_id % 2)::INTEGER AS target FROM benchmark",
     "source_split_ids": "SELECT DISTINCT doc_id AS idx FROM labels",

@@ -23,11 +23,14 @@ def training_jsonl(spark: SparkSession, path: str) -> DataFrame:
 NOT_JSON, NOT_OBJECT, BLANK = "not JSON", "not an object", "blank"
 
 
-def _told(text: str, objects_only: bool) -> Column:
-    """Why a text gives no row, null where it does."""
-    good = F.try_parse_json(text)
-    told = F.when(strip(F.col(text)) == "", BLANK).when(good.isNull(), NOT_JSON)
-    return told.when(~F.schema_of_variant(good).startswith("OBJECT"), NOT_OBJECT) if objects_only else told
+def _told(text: str, arrays: bool = False) -> Column:
+    """Why a text gives no row, null where it does: an object, or an array if ``arrays``, from its first to its last
+    character. (The parser alone takes a text whose beginning it can read.)"""
+    good, whole = F.try_parse_json(text), strip(F.col(text))
+    kind = F.schema_of_variant(good)
+    wanted = kind.startswith("OBJECT") | kind.startswith("ARRAY") if arrays else kind.startswith("OBJECT")
+    told = F.when(whole == "", BLANK).when(good.isNull(), NOT_JSON).when(~wanted, NOT_OBJECT)
+    return told.when(~(whole.endswith("}") | whole.endswith("]")), NOT_JSON)
 
 
 def _texts(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -40,7 +43,7 @@ def _repaired(spark: SparkSession, path: str) -> DataFrame:
     line = strip(F.col("value"))
     raw = _texts(spark, path).withColumn("raw", F.col("value"))
     mended = raw.withColumn("value", F.when((line == "") | line.startswith("{"), line).otherwise(F.concat(F.lit("{"), line)))
-    return mended.withColumn("reason", _told("value", True))
+    return mended.withColumn("reason", _told("value"))
 
 
 def repairing_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
@@ -65,13 +68,13 @@ def catalogue_rejects(spark: SparkSession, path: str) -> DataFrame:
     """The lines ``catalogue_jsonl`` leaves out; none where there is no file."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "file string, block long, value string, reason string")
-    return _rejects(_texts(spark, path).withColumn("reason", _told("value", False)), "value")
+    return _rejects(_texts(spark, path).withColumn("reason", _told("value")), "value")
 
 
 def template_rejects(spark: SparkSession, path: str) -> DataFrame:
     """The files ``template_catalogue`` leaves out, as a whole; a file of no bytes holds nothing that could be left out."""
     files = _texts(spark, path, wholetext=True, pathGlobFilter="*.json")
-    return _rejects(files.withColumn("reason", _told("value", False)), "value")
+    return _rejects(files.withColumn("reason", _told("value", True)), "value")
 
 
 def batch_jsonl(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
@@ -113,7 +116,7 @@ def split_ids(spark: SparkSession, path: str) -> DataFrame:
 def template_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Template files (an object or an array each), in order of their paths; a file that does not parse is skipped."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.input_file_name().alias("file"), F.col("value"))
-    objects = files.filter(F.try_parse_json("value").isNotNull())
+    objects = files.filter(_told("value", True).isNull())
     many = F.from_json("value", T.ArrayType(SCHEMAS["template_catalogue"]))  # a lone object reads as an array of one
     rows = objects.select("file", F.posexplode(many).alias("pos", "t")).orderBy("file", "pos")
     return _with_defaults(rows.select("t.*"))
@@ -124,7 +127,7 @@ def catalogue_jsonl(spark: SparkSession, path: str) -> DataFrame:
     schema = SCHEMAS["template_catalogue"]
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(path).filter(F.try_parse_json("value").isNotNull())
+    lines = spark.read.text(path).filter(_told("value").isNull())
     return _with_defaults(lines.select(F.from_json("value", schema).alias("t")).select("t.*"))
 
 

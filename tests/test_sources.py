@@ -26,11 +26,11 @@ def test_repairing_reader(spark, write):
 
 
 def test_rejects_and_rows_are_all_lines(spark, write, tmp_path):
-    lines = ['{"func": "a", "target": 1}', '"func": "b"}', "", "  ", "no", "[1, 2]", '{"func": 3', "4"]
+    lines = ['{"func": "a", "target": 1}', '"func": "b"}', "", "  ", "no", "[1, 2]", '{"func": 3', "4", '{"func": "c"} and more']
     path = write("r.jsonl", "\n".join(lines))
     rejects = readers.repairing_rejects(spark, path).collect()
     assert readers.repairing_jsonl(spark, path).count() + len(rejects) == len(lines)
-    assert sorted((r.value, r.reason) for r in rejects) == sorted([("", "blank"), ("  ", "blank"), ("no", "not JSON"), ("[1, 2]", "not JSON"), ('{"func": 3', "not JSON"), ("4", "not JSON")])
+    assert sorted((r.value, r.reason) for r in rejects) == sorted([("", "blank"), ("  ", "blank"), ("no", "not JSON"), ("[1, 2]", "not JSON"), ('{"func": 3', "not JSON"), ("4", "not JSON"), ('{"func": "c"} and more', "not JSON")])
     assert {r.file.rsplit("/", 1)[1] for r in rejects} == {"r.jsonl"}
     assert readers.catalogue_jsonl(spark, path).count() + readers.catalogue_rejects(spark, path).count() == len(lines)
     assert readers.catalogue_rejects(spark, path + ".missing").count() == 0
