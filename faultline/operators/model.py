@@ -1,12 +1,13 @@
-"""Models: a trained baseline over hashed tokens, and graph-network inference with given weights.
+"""Models: a trained baseline over hashed tokens, and graph networks applied with given weights (``network`` trains them).
 
-Training is MLlib's; the graph network is applied, not trained: its weights are an input. The graphs of many documents
+The baseline's training is MLlib's. The graphs of many documents
 are one sparse graph in an Arrow batch, so layers run over their edges in numpy, with no exchange and no dense matrix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -109,29 +110,34 @@ def embed(graphs: np.ndarray, w: Mapping[str, np.ndarray]) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)
 
 
-def convolve(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Rows convolved along their order: ``kernel`` is width x in x out, no padding, then cut at zero."""
+def convolve(x: np.ndarray, owner: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of several graphs convolved along their order, and the graphs of what is left: ``kernel`` is width x in x out,
+    no padding, so that a graph of n rows keeps n - width + 1; then cut at zero."""
     k = len(kernel)
-    return np.maximum(sum(x[i : len(x) - k + 1 + i] @ kernel[i] for i in range(k)), 0)
+    at = np.flatnonzero(owner[: max(len(x) - k + 1, 0)] == owner[k - 1 :])
+    return np.maximum(sum(x[at + i] @ kernel[i] for i in range(k)), 0), owner[at]
 
 
-def pooled(x: np.ndarray, size: int, step: int = 2) -> np.ndarray:
-    """Maxima of ``size`` rows, every ``step``; what does not fill a window is left out."""
-    n = (len(x) - size) // step + 1
-    return np.stack([x[i * step : i * step + size].max(axis=0) for i in range(max(n, 0))]) if n > 0 else np.zeros((0, x.shape[1]))
+def pooled(x: np.ndarray, owner: np.ndarray, size: int, step: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Maxima of ``size`` rows, every ``step`` of each graph, and their graphs; what does not fill a window is left out."""
+    place = np.arange(len(x)) - np.searchsorted(owner, owner)
+    at = np.flatnonzero((owner[: max(len(x) - size + 1, 0)] == owner[size - 1 :]) & (place[: max(len(x) - size + 1, 0)] % step == 0))
+    return np.maximum.reduce([x[at + i] for i in range(size)]), owner[at]
 
 
-def conv_read_out(states: np.ndarray, features: np.ndarray, w: Mapping[str, np.ndarray]) -> float:
-    """One graph's probability: node states, and states beside features, each through two convolutions and pools; their
-    scores are multiplied and averaged. Fewer than nine nodes fill no window and give 0.5."""
-    def branch(x: np.ndarray, wide: str, narrow: str, score: str) -> np.ndarray:
-        return pooled(convolve(pooled(convolve(x, w[wide]), 3), w[narrow]), 2) @ w[score]
+def conv_read_out(states: np.ndarray, features: np.ndarray, owner: np.ndarray, w: Mapping[str, np.ndarray], n: int) -> np.ndarray:
+    """Probabilities of graphs 0 to n - 1: node states, and states beside features, each through two convolutions and pools;
+    their scores are multiplied and averaged. ``owner`` rises. Fewer than nine nodes fill no window and give 0.5."""
 
-    if len(states) < 9:
-        return 0.5
-    alone = branch(states, "conv0", "conv1", "score")
-    beside = branch(np.concatenate((states, features), axis=1), "both_conv0", "both_conv1", "both_score")
-    return float(sigmoid((alone * beside).mean(axis=0))[0])
+    def branch(x: np.ndarray, wide: str, narrow: str, score: str) -> tuple[np.ndarray, np.ndarray]:
+        x, of = pooled(*convolve(x, owner, w[wide]), 3)
+        x, of = pooled(*convolve(x, of, w[narrow]), 2)
+        return (x @ w[score])[:, 0], of
+
+    alone, of = branch(states, "conv0", "conv1", "score")
+    beside, _ = branch(np.concatenate((states, features), axis=1), "both_conv0", "both_conv1", "both_score")
+    count = np.bincount(of, minlength=n)
+    return sigmoid(np.bincount(of, weights=alone * beside, minlength=n) / np.maximum(count, 1))
 
 
 def chebyshev(adjacency_matrix: np.ndarray, order: int) -> list[np.ndarray]:
@@ -160,17 +166,56 @@ def chebyshev_terms(edges: DataFrame, order: int) -> DataFrame:
     return edges.groupBy("id").applyInPandas(one, "id long, k int, i int, j int, value double")
 
 
-def forward(g: Graphs, codes: np.ndarray, w: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Network:
+    """How a network is put together. ``kind``: "gcn" takes a layer for each of layer0, layer1, ...; "gated" encodes the table's
+    rows (weight encode, with encode_down and encode_up a low-rank correction scaled by ``scale``) and makes ``steps`` steps of
+    shared weights. ``residual`` adds what a layer is given to what it makes (not in a first gcn layer). ``how`` combines sum
+    and maximum of the nodes: mul, sum or concat. ``conv``: probabilities come from convolutions over the nodes instead."""
+
+    kind: str = "gcn"
+    steps: int = 2
+    residual: bool = True
+    how: str = "mul"
+    conv: bool = False
+    scale: float = 1.0
+
+
+def layers(w: Mapping[str, np.ndarray]) -> int:
+    return sum(name.startswith("layer") for name in w)
+
+
+def encoded(features: np.ndarray, w: Mapping[str, np.ndarray], net: Network) -> np.ndarray:
+    if "encode_down" in w:
+        return lora(features, w["encode"], w["encode_down"], w["encode_up"], net.scale)
+    return features @ w["encode"]
+
+
+def states(g: Graphs, features: np.ndarray, w: Mapping[str, np.ndarray], net: Network) -> np.ndarray:
+    """Node states after all layers."""
+    gated = net.kind == "gated"
+    x = encoded(features, w, net) if gated else gcn(g, features, w["layer0"])
+    for k in range(net.steps) if gated else range(1, layers(w)):
+        new = gated_step(g, x, w) if gated else gcn(g, x, w[f"layer{k}"])
+        x = x + new if net.residual else new
+    return x
+
+
+def forward(g: Graphs, codes: np.ndarray, w: Mapping[str, np.ndarray], net: Network = Network()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number, probability, unit embedding) of every graph that has nodes; ``codes`` are the rows of ``table`` by node.
 
-    ``w``: table, layer0, layer1, ... (square after the first), attention, value, dense, out, embed0, embed1.
+    ``w``: table, those of ``net``, attention, value, dense, out, embed0, embed1; with convolutions conv0, conv1, score,
+    both_conv0, both_conv1, both_score in place of dense and out. Nodes stand in the order of their first tokens.
     """
-    x = gcn(g, w["table"][codes], w["layer0"])
-    for k in range(1, sum(name.startswith("layer") for name in w)):
-        x = x + gcn(g, x, w[f"layer{k}"])
+    features = w["table"][codes]
+    x = states(g, features, w, net)
     which, starts = np.unique(g.owner, return_index=True)
-    graphs = read_out(x, starts, w["attention"], w["value"])
-    return which, classify(graphs, w), embed(graphs, w)
+    graphs = read_out(x, starts, w["attention"], w["value"], net.how)
+    if not net.conv:
+        return which, classify(graphs, w), embed(graphs, w)
+    order = np.argsort(g.first)
+    prob = conv_read_out(x[order], features[order], np.searchsorted(which, g.owner[order]), w, len(which))
+    return which, prob, embed(graphs, w)
 
 
 #: Weights of a network may take up so many bytes: they go to every executor once.
@@ -185,7 +230,7 @@ def shipped(spark: SparkSession, w: Mapping[str, np.ndarray]):
     return spark.sparkContext.broadcast(dict(w))
 
 
-def graph_scores(docs: DataFrame, id_name: str, ids: str, w: Mapping[str, np.ndarray], window: int = WINDOW) -> DataFrame:
+def graph_scores(docs: DataFrame, id_name: str, ids: str, w: Mapping[str, np.ndarray], window: int = WINDOW, net: Network = Network()) -> DataFrame:
     """id, cls_prob, embedding: one row a document of token ids; without any, probability 0.5 and a zero vector."""
     width, sent = w["embed1"].shape[1], shipped(docs.sparkSession, w)
 
@@ -193,7 +238,7 @@ def graph_scores(docs: DataFrame, id_name: str, ids: str, w: Mapping[str, np.nda
         prob, vectors = np.full(len(sizes), 0.5), np.zeros((len(sizes), width))
         if len(words):
             g = Graphs(words.indices.to_numpy().astype(np.int64), sizes.astype(np.int64), window)
-            which, p, v = forward(g, words.dictionary.to_numpy()[g.code], sent.value)
+            which, p, v = forward(g, words.dictionary.to_numpy()[g.code], sent.value, net)
             prob[which], vectors[which] = p, v
         flat = pa.array(vectors.ravel())
         return np.arange(len(sizes)), [pa.array(prob), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * width), flat)]
@@ -201,14 +246,14 @@ def graph_scores(docs: DataFrame, id_name: str, ids: str, w: Mapping[str, np.nda
     return batched(docs, id_name, [F.col(ids).cast("array<int>")], "cls_prob double, embedding array<double>", emit)
 
 
-def score_function(w: Mapping[str, np.ndarray], ids_of: Callable[[Column], Column], window: int = WINDOW) -> Callable[[DataFrame], DataFrame]:
+def score_function(w: Mapping[str, np.ndarray], ids_of: Callable[[Column], Column], window: int = WINDOW, net: Network = Network()) -> Callable[[DataFrame], DataFrame]:
     """A scanner's ``score_fn``: samples (sample_id, code, ...) with the network's cls_prob and embedding; ``ids_of`` makes token
     ids of squeezed code. Of rows that share a sample_id each gets its own."""
 
     def score(samples: DataFrame) -> DataFrame:
         row = F.struct(*samples.columns).alias("row")
         rows = samples.select(row, ids_of(squeeze(F.col("code"))).alias("ids"))
-        return graph_scores(rows, "row", "ids", w, window).select("id.*", "cls_prob", "embedding")
+        return graph_scores(rows, "row", "ids", w, window, net).select("id.*", "cls_prob", "embedding")
 
     return score
 

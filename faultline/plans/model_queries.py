@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, model
+from ..operators import graph, model, network
 from ..sources import readers
 from . import fixtures as fx
 from .file_queries import template_folder
@@ -20,14 +20,26 @@ SHAPES = {
 }
 
 
-def weights_by_rule() -> dict[str, np.ndarray]:
-    """Stand-in weights of the graph network, in thirty-seconds; real ones are an input."""
-    return {name: ((np.arange(n)[:, None] * 7 + np.arange(m) * 13 + i * 5) % 17 - 8) / 32 for i, (name, (n, m)) in enumerate(SHAPES.items())}
+#: A gated network with a low-rank correction whose probability comes from convolutions; kernels with their width first.
+CONV_SHAPES = {
+    "table": (VOCABULARY, WIDTH), "encode": (WIDTH, WIDTH), "encode_down": (WIDTH, 2), "encode_up": (2, WIDTH), **dict.fromkeys(network.GATES, (WIDTH, WIDTH)),
+    "conv0": (3, WIDTH, WIDTH), "conv1": (1, WIDTH, WIDTH), "score": (WIDTH, 1), "both_conv0": (3, 2 * WIDTH, 2 * WIDTH), "both_conv1": (1, 2 * WIDTH, 2 * WIDTH),
+    "both_score": (2 * WIDTH, 1), "attention": (WIDTH, 1), "value": (WIDTH, WIDTH), "embed0": (WIDTH, WIDTH), "embed1": (WIDTH, EMBED),
+}
+CONV_NET = model.Network("gated", steps=1, residual=False, conv=True, scale=0.5)
+LEARNED = network.Training(epochs=8, steps=4, batch=64, rate=0.02, contrast=0.2)
+LEARNED_VOCABULARY, LEARNED_WIDTH = 4096, 16
+
+
+def weights_by_rule(shapes: dict[str, tuple[int, ...]] = SHAPES) -> dict[str, np.ndarray]:
+    """Stand-in weights of the graph network, in thirty-seconds; real ones are an input or trained."""
+    rule = lambda i, n, m: ((np.arange(n)[:, None] * 7 + np.arange(m) * 13 + i * 5) % 17 - 8) / 32
+    return {name: rule(i, int(np.prod(s[:-1])), s[-1]).reshape(s) for i, (name, s) in enumerate(shapes.items())}
 
 
-def token_ids(code: Column) -> Column:
+def token_ids(code: Column, vocabulary: int = VOCABULARY) -> Column:
     """Tokens by the first digits of their MD5."""
-    return F.transform(text.tokens(code), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"), F.lit(VOCABULARY)))
+    return F.transform(text.tokens(code), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"), F.lit(vocabulary)))
 
 
 def _rated(spark, sf_dir):
@@ -70,6 +82,32 @@ def model_graph_scores(spark, sf_dir):
     return scored.select(F.col("id").alias("doc_id"), F.round("cls_prob", 6).alias("cls_prob"), *_rounded(scored))
 
 
+def model_conv_scores(spark, sf_dir):
+    """Probability of every document by a gated step and convolutions over its nodes."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
+    scored = model.graph_scores(docs, "doc_id", "ids", weights_by_rule(CONV_SHAPES), net=CONV_NET)
+    return scored.select(F.col("id").alias("doc_id"), F.round("cls_prob", 6).alias("cls_prob"))
+
+
+def model_gradients(spark, sf_dir):
+    """Mean log loss of all rated documents under the given weights, and its gradients of the two last layers."""
+    rated = _rated(spark, sf_dir).select(token_ids(F.col("text")).alias("ids"), "target")
+    how = network.Training(contrast=0.0)
+    _, loss, grads = network.mean_gradient(network.batches(rated, "ids", "target", how), weights_by_rule(), model.Network(), how)
+    rows = [("loss", 0, 0, loss)] + [(name, *at, float(x)) for name in ("dense", "out") for at, x in np.ndenumerate(grads[name])]
+    made = spark.createDataFrame(rows, "name string, i int, j int, value double")
+    return made.withColumn("value", F.round("value", 6) + 0.0)
+
+
+def model_network(spark, sf_dir):
+    """Rated documents scored by a graph network that was trained on others, its best epoch chosen on a third part."""
+    rated = _rated(spark, sf_dir).select("doc_id", token_ids(F.col("text"), LEARNED_VOCABULARY).alias("ids"), "target")
+    start = network.fresh_weights(LEARNED_VOCABULARY, LEARNED_WIDTH, LEARNED_WIDTH)
+    best = network.train(rated.filter("doc_id % 5 > 1"), rated.filter("doc_id % 5 = 1"), place(spark, "network"), start=start, how=LEARNED)
+    held_out = rated.filter("doc_id % 5 = 0").withColumn("id", F.struct("doc_id", "target"))
+    return model.graph_scores(held_out, "id", "ids", best.weights).select("id.*", "cls_prob")
+
+
 def model_catalogue_vectors(spark, sf_dir):
     """A template catalogue re-encoded by the network."""
     catalogue = readers.template_catalogue(spark, template_folder(spark, sf_dir))
@@ -87,7 +125,7 @@ def model_chebyshev(spark, sf_dir):
     return terms.select("id", "k", "i", "j", (F.round("value", 6) + 0.0).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (model_baseline, model_checkpoint, model_graph_scores, model_catalogue_vectors, model_chebyshev)}
+QUERIES = {f.__name__: f for f in (model_baseline, model_checkpoint, model_graph_scores, model_conv_scores, model_gradients, model_network, model_catalogue_vectors, model_chebyshev)}
 
 
 def _product(x: str, name: str, column: int) -> str:
@@ -105,13 +143,18 @@ def _passed(features: str) -> str:
     return f"SELECT id, src AS node, [{sums}] AS x FROM m JOIN {features} f ON f.id = m.id AND f.node = m.dst GROUP BY 1, 2".replace("SELECT id,", "SELECT m.id,", 1)
 
 
-def _network_sql(samples: str) -> str:
-    """id, p, v of ``samples`` (id, text): the layers as joins over edges."""
+def _edges_sql(samples: str) -> str:
+    """tk: token ids; m: normalised edges of ``samples`` (id, text)."""
     return f"""tk AS (SELECT id, list_transform(regexp_extract_all(text, '\\w+|[^\\w\\s]'), lambda t: ('0x' || substring(md5(t), 1, 4))::INTEGER % {VOCABULARY}) AS k FROM {samples}),
 q AS (SELECT id, k[p + 1] AS a, k[p - d + 1] AS b FROM tk, unnest(range(1, len(k))) AS x(p), (VALUES (1), (2)) AS w(d) WHERE p - d >= 0),
 e AS (SELECT DISTINCT id, a AS src, b AS dst FROM q WHERE a <> b UNION SELECT DISTINCT id, b, a FROM q WHERE a <> b),
 g AS (SELECT id, src, count(*)::DOUBLE AS degree FROM e GROUP BY 1, 2),
-m AS (SELECT e.id, e.src, e.dst, 1 / sqrt(y.degree * z.degree) AS w FROM e JOIN g y ON y.id = e.id AND y.src = e.src JOIN g z ON z.id = e.id AND z.src = e.dst),
+m AS (SELECT e.id, e.src, e.dst, 1 / sqrt(y.degree * z.degree) AS w FROM e JOIN g y ON y.id = e.id AND y.src = e.src JOIN g z ON z.id = e.id AND z.src = e.dst)"""
+
+
+def _network_sql(samples: str) -> str:
+    """id, p, v of ``samples`` (id, text): the layers as joins over edges."""
+    return f"""{_edges_sql(samples)},
 n AS (SELECT DISTINCT id, unnest(k) AS node FROM tk),
 t0 AS (SELECT id, node, list_transform(range({WIDTH}), lambda c: ((node * 7 + c * 13) % 17 - 8)::DOUBLE / 32::DOUBLE) AS x FROM n),
 h0 AS (SELECT id, node, {_layer("x", "layer0")} AS h FROM t0), p0 AS ({_passed("h0")}),
@@ -125,10 +168,68 @@ o AS (SELECT id, 1 / (1 + exp(-{_product("t", "out", 0)})) AS p, {_layer("u", "e
 z AS (SELECT id, p, v, sqrt(list_inner_product(v, v)) AS l FROM o)"""
 
 
+def _by(x: str, matrix: np.ndarray, more: str = "{}") -> str:
+    """The row ``x`` times a matrix, each number within ``more``."""
+    return "[" + ", ".join(more.format(f"list_inner_product({x}, [{', '.join(repr(float(v)) for v in column)}]::DOUBLE[])") for column in matrix.T) + "]"
+
+
+def _conv_sql() -> str:
+    """id, p of ``s`` (id, text): one gated step, then both branches of convolutions over lists of node rows."""
+    w = weights_by_rule(CONV_SHAPES)
+    zero = f"list_transform(range({WIDTH}), lambda c: 0::DOUBLE)"
+    each = range(WIDTH)
+    gate = lambda name: "[" + ", ".join(f"1 / (1 + exp(-({a} + {b})))" for a, b in zip(_parts(_by("a", w[name + "_in"])), _parts(_by("x", w[name + "_self"])), strict=True)) + "]"
+    new = "[" + ", ".join(f"greatest({a} + {b}, 0)" for a, b in zip(_parts(_by("a", w["h_in"])), _parts(_by("q", w["h_self"])), strict=True)) + "]"
+
+    def branch(rows: str, name: str, wide: str, narrow: str, score: str) -> str:
+        n = w[wide].shape[2]
+        slid = "[" + ", ".join("greatest(" + " + ".join(_parts(_by(f"{rows}[i + {k}]", w[wide][k][:, [j]]))[0] for k in range(3)) + ", 0)" for j in range(n)) + "]"
+        most = lambda size: "[" + ", ".join("greatest(" + ", ".join(f"c[2 * i + {k + 1}][{j + 1}]" for k in range(size)) + ")" for j in range(n)) + "]"
+        return f"""{name}1 AS (SELECT id, list_transform(range(1, len({rows}) - 1), lambda i: {slid}) AS c FROM gx),
+{name}2 AS (SELECT id, list_transform(range(0, (len(c) - 3) // 2 + 1), lambda i: {most(3)}) AS c FROM {name}1),
+{name}3 AS (SELECT id, list_transform(c, lambda y: {_by("y", w[narrow][0], "greatest({}, 0)")}) AS c FROM {name}2),
+{name}4 AS (SELECT id, list_transform(range(0, (len(c) - 2) // 2 + 1), lambda i: {_parts(_by(most(2), w[score]))[0]}) AS c FROM {name}3)"""
+
+    return f"""{_edges_sql("s")},
+n AS (SELECT id, node, min(place) AS place FROM (SELECT id, unnest(k) AS node, generate_subscripts(k, 1) AS place FROM tk) GROUP BY 1, 2),
+f AS (SELECT *, list_transform(range({WIDTH}), lambda c: ((node * 7 + c * 13) % 17 - 8)::DOUBLE / 32::DOUBLE) AS f FROM n),
+x0 AS (SELECT *, {_by("f", w["encode"] + CONV_NET.scale * w["encode_down"] @ w["encode_up"])} AS x FROM f),
+mm AS (SELECT m.id, m.src AS node, [{", ".join(f"sum(w * x[{j + 1}])" for j in each)}] AS a FROM m JOIN x0 ON x0.id = m.id AND x0.node = m.dst GROUP BY 1, 2),
+x1 AS (SELECT x0.*, coalesce(a, {zero}) AS a FROM x0 LEFT JOIN mm USING (id, node)),
+x2 AS (SELECT *, {gate("z")} AS z, {gate("r")} AS r FROM x1),
+x3 AS (SELECT *, [{", ".join(f"r[{j + 1}] * x[{j + 1}]" for j in each)}] AS q FROM x2),
+x4 AS (SELECT *, {new} AS h FROM x3),
+x5 AS (SELECT id, place, f, [{", ".join(f"h[{j + 1}] * z[{j + 1}] + x[{j + 1}] * (1 - z[{j + 1}])" for j in each)}] AS x FROM x4),
+gx AS (SELECT id, list(x ORDER BY place) AS alone, list(list_concat(x, f) ORDER BY place) AS beside FROM x5 GROUP BY 1 HAVING count(*) >= 9),
+{branch("alone", "a", "conv0", "conv1", "score")},
+{branch("beside", "b", "both_conv0", "both_conv1", "both_score")},
+z AS (SELECT id, 1 / (1 + exp(-list_inner_product(a4.c, b4.c) / len(a4.c))) AS p FROM a4 JOIN b4 USING (id))"""
+
+
+def _parts(listed: str) -> list[str]:
+    """The numbers of a list that ``_by`` wrote."""
+    return [x + "::DOUBLE[])" for x in listed[1:-1].removesuffix("::DOUBLE[])").split("::DOUBLE[]), ")]
+
+
+def _gradient_sql() -> str:
+    """Loss and gradients of the last layers in closed form."""
+    out = ", ".join(repr(float(v)) for v in weights_by_rule()["out"][:, 0])
+    return f"""WITH v AS (SELECT doc_id AS id, text, target FROM documents JOIN (SELECT doc_id, min(quality) AS target FROM labels GROUP BY 1) AS l USING (doc_id) WHERE target IS NOT NULL),
+s AS (SELECT id, text FROM v), {_network_sql('s')},
+b AS (SELECT coalesce(p, 0.5) AS p, target, g, t, (SELECT count(*) FROM v) AS n FROM v LEFT JOIN o USING (id) LEFT JOIN d USING (id) LEFT JOIN r USING (id)),
+c AS (SELECT *, (-target / (p + 1e-10) + (1 - target) / (1 - p + 1e-10)) * p * (1 - p) / n AS ds, [{out}]::DOUBLE[] AS w FROM b),
+u AS (SELECT 'loss' AS name, 0 AS i, 0 AS j, -sum(target * ln(p + 1e-10) + (1 - target) * ln(1 - p + 1e-10)) / any_value(n) AS value FROM c HAVING count(*) > 0
+UNION ALL SELECT 'out', i, 0, sum(ds * t[i + 1]) FROM c, unnest(range({WIDTH})) AS a(i) GROUP BY i
+UNION ALL SELECT 'dense', i, j, sum(g[i + 1] * ds * w[j + 1] * (1 - t[j + 1] * t[j + 1])) FROM c, unnest(range({WIDTH})) AS a(i), unnest(range({WIDTH})) AS e(j) GROUP BY i, j)
+SELECT name, i::INTEGER AS i, j::INTEGER AS j, round(value, 6) + 0.0 AS value FROM u"""
+
+
 _PARTS = ", ".join(f"coalesce(round(CASE WHEN l > 0 THEN v[{i + 1}] / l ELSE v[{i + 1}] END, 6), 0) AS e{i}" for i in range(EMBED))
 SQL = {
     "model_checkpoint": "SELECT DISTINCT doc_id, true AS same, true AS in_range FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0",
     "model_graph_scores": f"WITH s AS (SELECT doc_id AS id, text FROM documents), {_network_sql('s')} SELECT s.id AS doc_id, coalesce(round(p, 6), 0.5) AS cls_prob, {_PARTS} FROM s LEFT JOIN z USING (id)",
+    "model_conv_scores": f"WITH s AS (SELECT doc_id AS id, text FROM documents), {_conv_sql()} SELECT s.id AS doc_id, coalesce(round(p, 6), 0.5) AS cls_prob FROM s LEFT JOIN z USING (id)",
+    "model_gradients": _gradient_sql(),
     "model_catalogue_vectors": f"WITH s AS (SELECT 't' || item_id AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark), {_network_sql('s')} SELECT s.id AS exploit_id, {_PARTS} FROM s LEFT JOIN z USING (id) WHERE s.text <> ''",
     "model_chebyshev": f"SELECT doc_id AS id, k::INTEGER AS k, i::INTEGER AS i, j::INTEGER AS j, round((i = j)::INTEGER - CASE WHEN k % 2 = 1 THEN 2::DOUBLE / (doc_id % 5 + 2) ELSE 0 END, 6) AS value FROM documents, unnest(range({ORDER + 1})) AS a(k), unnest(range(doc_id % 5 + 2)) AS b(i), unnest(range(doc_id % 5 + 2)) AS c(j)",
 }

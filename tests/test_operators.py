@@ -383,7 +383,10 @@ def test_conv_read_out():
 
     one, two = branch(h.tolist(), w["conv0"], w["conv1"], w["score"]), branch(np.hstack((h, f)).tolist(), w["both_conv0"], w["both_conv1"], w["both_score"])
     mean = sum(a * b for a, b in zip(one, two, strict=True)) / len(one)
-    assert math.isclose(model.conv_read_out(h, f, w), 1 / (1 + math.exp(-mean))) and model.conv_read_out(h[:8], f[:8], w) == 0.5
+    several = np.repeat([0, 1, 3, 4], [8, 14, 1, 14])  # graph 2 has no node
+    got = model.conv_read_out(np.vstack((h[:8], h, h[:1], h)), np.vstack((f[:8], f, f[:1], f)), several, w, 5)
+    assert got[[0, 2, 3]].tolist() == [0.5] * 3 and np.allclose(got[[1, 4]], 1 / (1 + math.exp(-mean)))
+    assert model.conv_read_out(h[:0], f[:0], several[:0], w, 1).tolist() == [0.5]
 
 
 def test_position_edges(spark):
