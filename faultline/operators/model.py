@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -18,8 +18,10 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import squeeze
+from ..plans.lineage import cut
 from .graph import WINDOW, Graphs, batched
 
 FEATURES, EPOCHS, REGULAR = 1 << 14, 25, 0.01
@@ -127,7 +129,7 @@ def pooled(x: np.ndarray, owner: np.ndarray, size: int, step: int = 2) -> tuple[
 
 def conv_read_out(states: np.ndarray, features: np.ndarray, owner: np.ndarray, w: Mapping[str, np.ndarray], n: int) -> np.ndarray:
     """Probabilities of graphs 0 to n - 1: node states, and states beside features, each through two convolutions and pools;
-    their scores are multiplied and averaged. ``owner`` rises. Fewer than nine nodes fill no window and give 0.5."""
+    their scores are multiplied and averaged. ``owner`` rises. Fewer than seven nodes fill no window and give 0.5."""
 
     def branch(x: np.ndarray, wide: str, narrow: str, score: str) -> tuple[np.ndarray, np.ndarray]:
         x, of = pooled(*convolve(x, owner, w[wide]), 3)
@@ -140,30 +142,159 @@ def conv_read_out(states: np.ndarray, features: np.ndarray, owner: np.ndarray, w
     return sigmoid(np.bincount(of, weights=alone * beside, minlength=n) / np.maximum(count, 1))
 
 
-def chebyshev(adjacency_matrix: np.ndarray, order: int) -> list[np.ndarray]:
-    """Chebyshev polynomials T_0..T_order of the scaled Laplacian of a normalised graph."""
-    n = len(adjacency_matrix)
-    laplacian = np.eye(n) - adjacency_matrix
-    scaled = 2 / np.linalg.eigvalsh(laplacian).max() * laplacian - np.eye(n)
-    out = [np.eye(n), scaled]
-    while len(out) <= order:
-        out.append(2 * scaled @ out[-1] - out[-2])
-    return out[: order + 1]
+#: A graph's largest eigenvalue is taken when its residual is at most so much, checked every so many Lanczos steps, of at most so many.
+RESIDUAL, CHECK_EVERY, MOST_STEPS = 1e-7, 12, 600
+
+
+def ritz(alphas: np.ndarray, betas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalue of each tridiagonal matrix and the residual of its vector; ``betas`` has one more after the last row."""
+    steps = alphas.shape[1]
+    t = np.zeros((len(alphas), steps, steps))
+    t[:, np.arange(steps), np.arange(steps)] = alphas
+    t[:, np.arange(steps - 1), np.arange(1, steps)] = t[:, np.arange(1, steps), np.arange(steps - 1)] = betas[:, : steps - 1]
+    values, vectors = np.linalg.eigh(t)
+    return values[:, -1], betas[:, steps - 1] * np.abs(vectors[:, -1, -1])
+
+
+def lanczos(g: Graphs) -> tuple[np.ndarray, np.ndarray]:
+    """Graphs that have nodes and the largest eigenvalues of their normalised Laplacians, all graphs a step at a time. Only two
+    vectors are held: lost orthogonality repeats eigenvalues, but leaves the largest as it is."""
+    which, starts, owner = np.unique(g.owner, return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(g.first)) - starts[owner]
+    summed = lambda x: np.bincount(owner, weights=x, minlength=len(which))
+    v = 1.5 + np.sin(1.0 + place * (place + 0.618))  # by a node's place, so that a graph's figures are its own
+    v /= np.sqrt(summed(v * v))[owner]
+    before, beta = np.zeros_like(v), np.zeros(len(which))
+    alphas, betas = [], []
+    largest, left = np.zeros(len(which)), np.arange(len(which))
+    while len(left):
+        w = v - np.bincount(g.src, weights=g.norm * v[g.dst], minlength=len(v)) - beta[owner] * before
+        alpha = summed(v * w)
+        w -= alpha[owner] * v
+        beta = np.sqrt(summed(w * w))
+        beta[beta < 1e-10] = 0  # the graph's vectors are used up
+        before, v = v, np.where(beta[owner] > 0, w / np.where(beta > 0, beta, 1)[owner], 0)
+        alphas.append(alpha)
+        betas.append(beta)
+        if len(alphas) % CHECK_EVERY == 0 or not beta[left].any():
+            found, off = ritz(np.stack([a[left] for a in alphas], axis=1), np.stack([b[left] for b in betas], axis=1))
+            largest[left] = found
+            left = left[off > RESIDUAL] if len(alphas) < MOST_STEPS else left[:0]
+    return which, largest
+
+
+def _graphs_of(words: pa.DictionaryArray, sizes: np.ndarray, window: int) -> Graphs:
+    return Graphs(words.indices.to_numpy().astype(np.int64), sizes.astype(np.int64), window)
+
+
+def largest_eigenvalues(docs: DataFrame, id_name: str, tokens: str, window: int = WINDOW) -> DataFrame:
+    """id, nodes, largest: of every document's token graph; a document without tokens has no graph and 0."""
+
+    def emit(words: pa.DictionaryArray, sizes: np.ndarray, part: pa.RecordBatch):
+        found = np.zeros(len(sizes))
+        nodes = np.zeros(len(sizes), np.int64)
+        if len(words):
+            g = _graphs_of(words, sizes, window)
+            which, values = lanczos(g)
+            found[which], nodes = values, np.bincount(g.owner, minlength=len(sizes))
+        return np.arange(len(sizes)), [pa.array(nodes), pa.array(found)]
+
+    return batched(docs, id_name, [F.col(tokens)], "nodes long, largest double", emit)
+
+
+def token_chebyshev(docs: DataFrame, id_name: str, tokens: str, values: str, order: int, window: int = WINDOW, largest: float | None = None) -> DataFrame:
+    """id, node, terms: T_0 x to T_order x of the scaled Laplacian of each document's token graph; ``values`` runs beside ``tokens``,
+    a token's value being that of its first place. The scale is each graph's own largest eigenvalue, or ``largest`` (2 bounds
+    them all). The recurrence runs over edges, so memory grows with edges and no matrix is filled."""
+    kind = docs.schema[tokens].dataType.elementType.simpleString()
+
+    def emit(words: pa.DictionaryArray, sizes: np.ndarray, part: pa.RecordBatch):
+        if not len(words):
+            none = pa.array([], pa.list_(pa.float64()))
+            return np.zeros(0, np.int64), [words.dictionary.slice(0, 0), none]
+        g = _graphs_of(words, sizes, window)
+        x = part.column(2).flatten().to_numpy(zero_copy_only=False)[g.first]
+        if largest is None:
+            which, found = lanczos(g)
+            scale = np.zeros(len(sizes))
+            scale[which] = 2 / found
+            scale = scale[g.owner]
+        else:
+            scale = np.full(len(x), 2 / largest)
+        scaled = lambda y: scale * (y - np.bincount(g.src, weights=g.norm * y[g.dst], minlength=len(y))) - y
+        terms = [x, scaled(x)]
+        while len(terms) <= order:
+            terms.append(2 * scaled(terms[-1]) - terms[-2])
+        flat = np.stack(terms[: order + 1], axis=1).ravel()
+        starts = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (order + 1))
+        return g.owner, [words.dictionary.take(pa.array(g.code)), pa.ListArray.from_arrays(starts, pa.array(flat))]
+
+    return batched(docs, id_name, [F.col(tokens), F.col(values).cast("array<double>")], f"node {kind}, terms array<double>", emit)
+
+
+def edge_eigenvalues(edges: DataFrame) -> DataFrame:
+    """id, largest: the largest eigenvalue of I - W of each graph of ``edges`` (id, src, dst, w; symmetric), by Lanczos steps that
+    are joins: a graph may be larger than a task. Rounds go on until every graph's residual is small; a round's vectors are
+    a table, and a graph keeps its coefficients as one row."""
+    spark, n = edges.sparkSession, 0
+    edges = cut(edges.select("id", "src", "dst", "w"), "edges")
+    nodes = edges.select("id", F.col("src").alias("node")).union(edges.select("id", F.col("dst"))).distinct()
+    start = nodes.withColumn("v", F.lit(1.5) + F.sin(F.pmod(F.xxhash64("node"), F.lit(1 << 20)).cast("double")))
+    norm = start.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    state = cut(start.join(norm, "id").select("id", "node", F.lit(0.0).alias("u"), (F.col("v") / F.col("norm")).alias("v")), "lanczos")
+    rows = state.select("id").distinct().select("id", F.array().cast("array<double>").alias("alphas"), F.array().cast("array<double>").alias("betas"))
+    rows, done = cut(rows, "lanczos"), []
+
+    def judged(batches):
+        for batch in batches:
+            out = {"id": batch.column(0), "largest": [], "residual": []}
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                value, off = ritz(np.array([a]), np.array([b]))
+                out["largest"].append(float(value[0]))
+                out["residual"].append(float(off[0]))
+            yield pa.RecordBatch.from_pydict({"id": out["id"], "largest": pa.array(out["largest"], pa.float64()), "residual": pa.array(out["residual"], pa.float64())})
+
+    last = F.coalesce(F.element_at("betas", -1), F.lit(0.0))
+    while n < MOST_STEPS:
+        n += 1
+        near = state.select("id", F.col("node").alias("dst"), F.col("v").alias("x"))
+        passed = edges.join(near, ["id", "dst"]).groupBy("id", F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("m"))
+        beta = rows.select("id", (last if n > 1 else F.lit(0.0)).alias("beta"))
+        w = state.join(passed, ["id", "node"], "left").join(beta, "id")
+        w = cut(w.select("id", "node", "v", (F.col("v") - F.coalesce("m", F.lit(0.0)) - F.col("beta") * F.col("u")).alias("w")), "lanczos")
+        # beta squared is the rest of w beside v, summed after alpha is known
+        alpha = w.groupBy("id").agg(F.sum(F.col("v") * F.col("w")).alias("alpha"))
+        rest = cut(w.join(alpha, "id").select("id", "node", "v", (F.col("w") - F.col("alpha") * F.col("v")).alias("w"), "alpha"), "lanczos")
+        found = rest.groupBy("id").agg(F.first("alpha").alias("alpha"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("beta"))
+        rows = cut(rows.join(found, "id").select("id", F.array_append("alphas", F.col("alpha")).alias("alphas"), F.array_append("betas", F.when(F.col("beta") < 1e-10, 0.0).otherwise(F.col("beta"))).alias("betas")), "lanczos")
+        known = cut(rows.mapInArrow(judged, T.StructType([edges.schema["id"], T.StructField("largest", T.DoubleType()), T.StructField("residual", T.DoubleType())])), "lanczos")
+        enough = F.col("residual") <= (RESIDUAL if n < MOST_STEPS else float("inf"))
+        done.append(known.filter(enough).select("id", "largest"))
+        rows = rows.join(known.filter(~enough).select("id"), "id", "left_semi")
+        state = rest.join(rows.select("id", last.alias("beta")), "id").select("id", "node", F.col("v").alias("u"), (F.col("w") / F.col("beta")).alias("v"))
+        if known.filter(~enough).isEmpty():
+            break
+        state, rows = cut(state, "lanczos"), cut(rows, "lanczos")
+    return reduce(DataFrame.union, done) if done else spark.createDataFrame([], T.StructType([edges.schema["id"], T.StructField("largest", T.DoubleType())]))
 
 
 def chebyshev_terms(edges: DataFrame, order: int) -> DataFrame:
-    """id, k, i, j, value: polynomials T_0..T_order of each graph of ``edges`` (id, src, dst, w; nodes from 0, weights
-    normalised), dense and one graph a group, so for graphs of some thousand nodes at most."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(rows["src"].max(), rows["dst"].max())) + 1
-        a = np.zeros((n, n))
-        a[rows["src"], rows["dst"]] = rows["w"]
-        terms = np.stack(chebyshev(a, order))
-        k, i, j = (x.ravel() for x in np.indices(terms.shape))
-        return pd.DataFrame({"id": rows["id"].iloc[0], "k": k, "i": i, "j": j, "value": terms.ravel()})
-
-    return edges.groupBy("id").applyInPandas(one, "id long, k int, i int, j int, value double")
+    """id, k, i, j, value: the entries of Chebyshev polynomials T_0..T_order of the scaled Laplacian of each graph of ``edges``
+    (id, src, dst, w; weights normalised), by joins; entries that no path of k edges reaches are left out."""
+    largest = cut(edge_eigenvalues(edges), "largest")
+    nodes = edges.select("id", F.col("src").alias("i")).union(edges.select("id", F.col("dst"))).distinct()
+    unit = nodes.select("id", "i", F.col("i").alias("j"), F.lit(1.0).alias("value"))
+    whole = unit.union(edges.select("id", "src", "dst", -F.col("w"))).groupBy("id", "i", "j").agg(F.sum("value").alias("value"))
+    scaled = whole.join(largest, "id").select("id", "i", "j", (2 / F.col("largest") * F.col("value") - (F.col("i") == F.col("j")).cast("double")).alias("value"))
+    scaled = cut(scaled, "scaled")
+    terms = [unit, scaled]
+    step = scaled.select("id", "i", F.col("j").alias("via"), F.col("value").alias("a"))
+    while len(terms) <= order:
+        onward = terms[-1].select("id", F.col("i").alias("via"), "j", F.col("value").alias("b"))
+        product = step.join(onward, ["id", "via"]).select("id", "i", "j", (2 * F.col("a") * F.col("b")).alias("value"))
+        both = product.union(terms[-2].select("id", "i", "j", -F.col("value")))
+        terms.append(cut(both.groupBy("id", "i", "j").agg(F.sum("value").alias("value")), "term"))
+    return reduce(DataFrame.union, [t.select("id", F.lit(k).alias("k"), "i", "j", "value") for k, t in enumerate(terms[: order + 1])])
 
 
 @dataclass(frozen=True)

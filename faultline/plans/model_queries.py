@@ -27,7 +27,8 @@ CONV_SHAPES = {
     "both_score": (2 * WIDTH, 1), "attention": (WIDTH, 1), "value": (WIDTH, WIDTH), "embed0": (WIDTH, WIDTH), "embed1": (WIDTH, EMBED),
 }
 CONV_NET = model.Network("gated", steps=1, residual=False, conv=True, scale=0.5)
-LEARNED = network.Training(epochs=8, steps=4, batch=64, rate=0.02, contrast=0.2)
+LEARNED = network.Training(epochs=8, steps=8, batch=64, rate=0.02, contrast=0.1)
+LEARNED_NET = model.Network(how="concat")
 LEARNED_VOCABULARY, LEARNED_WIDTH = 4096, 16
 
 
@@ -94,7 +95,7 @@ def model_gradients(spark, sf_dir):
     rated = _rated(spark, sf_dir).select(token_ids(F.col("text")).alias("ids"), "target")
     how = network.Training(contrast=0.0)
     _, loss, grads = network.mean_gradient(network.batches(rated, "ids", "target", how), weights_by_rule(), model.Network(), how)
-    rows = [("loss", 0, 0, loss)] + [(name, *at, float(x)) for name in ("dense", "out") for at, x in np.ndenumerate(grads[name])]
+    rows = [("loss", 0, 0, float(loss))] + [(name, *at, float(x)) for name in ("dense", "out") for at, x in np.ndenumerate(grads[name])]
     made = spark.createDataFrame(rows, "name string, i int, j int, value double")
     return made.withColumn("value", F.round("value", 6) + 0.0)
 
@@ -102,10 +103,10 @@ def model_gradients(spark, sf_dir):
 def model_network(spark, sf_dir):
     """Rated documents scored by a graph network that was trained on others, its best epoch chosen on a third part."""
     rated = _rated(spark, sf_dir).select("doc_id", token_ids(F.col("text"), LEARNED_VOCABULARY).alias("ids"), "target")
-    start = network.fresh_weights(LEARNED_VOCABULARY, LEARNED_WIDTH, LEARNED_WIDTH)
-    best = network.train(rated.filter("doc_id % 5 > 1"), rated.filter("doc_id % 5 = 1"), place(spark, "network"), start=start, how=LEARNED)
+    start = network.fresh_weights(LEARNED_VOCABULARY, LEARNED_WIDTH, LEARNED_WIDTH, LEARNED_NET)
+    best = network.train(rated.filter("doc_id % 5 > 1"), rated.filter("doc_id % 5 = 1"), place(spark, "network"), start=start, net=LEARNED_NET, how=LEARNED)
     held_out = rated.filter("doc_id % 5 = 0").withColumn("id", F.struct("doc_id", "target"))
-    return model.graph_scores(held_out, "id", "ids", best.weights).select("id.*", "cls_prob")
+    return model.graph_scores(held_out, "id", "ids", best.weights, net=LEARNED_NET).select("id.*", "cls_prob")
 
 
 def model_catalogue_vectors(spark, sf_dir):
@@ -122,10 +123,29 @@ def model_chebyshev(spark, sf_dir):
     pairs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n"), F.explode(every).alias("src")).withColumn("dst", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     edges = pairs.filter("src <> dst").select("id", "src", "dst", F.lit(1.0).alias("w"))
     terms = model.chebyshev_terms(graph.normalized(edges), ORDER)
-    return terms.select("id", "k", "i", "j", (F.round("value", 6) + 0.0).alias("value"))
+    whole = pairs.select("id", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k"), F.col("src").alias("i"), F.col("dst").alias("j"))
+    filled = whole.join(terms, ["id", "k", "i", "j"], "left")  # with the zeros that the terms leave out
+    return filled.select("id", "k", "i", "j", (F.round(F.coalesce("value", F.lit(0.0)), 6) + 0.0).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (model_baseline, model_checkpoint, model_graph_scores, model_conv_scores, model_gradients, model_network, model_catalogue_vectors, model_chebyshev)}
+def _valued(spark, sf_dir):
+    """Token ids of every document, and a number for each."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
+    return docs.withColumn("x", F.transform("ids", lambda t: (t % 17) / F.lit(16.0)))
+
+
+def model_chebyshev_tokens(spark, sf_dir):
+    """Chebyshev terms of every document's token graph applied to node values, under the bound 2 of all its eigenvalues."""
+    terms = model.token_chebyshev(_valued(spark, sf_dir), "doc_id", "ids", "x", ORDER, largest=2.0)
+    return terms.select(F.col("id").alias("doc_id"), "node", *[(F.round(F.get("terms", k), 6) + 0.0).alias(f"t{k}") for k in range(1, ORDER + 1)])
+
+
+def model_eigenvalues(spark, sf_dir):
+    """The largest eigenvalue of the normalised Laplacian of every document's token graph."""
+    return model.largest_eigenvalues(_valued(spark, sf_dir), "doc_id", "ids").select(F.col("id").alias("doc_id"), "nodes", "largest")
+
+
+QUERIES = {f.__name__: f for f in (model_baseline, model_checkpoint, model_graph_scores, model_conv_scores, model_gradients, model_network, model_catalogue_vectors, model_chebyshev, model_chebyshev_tokens, model_eigenvalues)}
 
 
 def _product(x: str, name: str, column: int) -> str:
@@ -200,12 +220,21 @@ x2 AS (SELECT *, {gate("z")} AS z, {gate("r")} AS r FROM x1),
 x3 AS (SELECT *, [{", ".join(f"r[{j + 1}] * x[{j + 1}]" for j in each)}] AS q FROM x2),
 x4 AS (SELECT *, {new} AS h FROM x3),
 x5 AS (SELECT id, place, f, [{", ".join(f"h[{j + 1}] * z[{j + 1}] + x[{j + 1}] * (1 - z[{j + 1}])" for j in each)}] AS x FROM x4),
-gx AS (SELECT id, list(x ORDER BY place) AS alone, list(list_concat(x, f) ORDER BY place) AS beside FROM x5 GROUP BY 1 HAVING count(*) >= 9),
+gx AS (SELECT id, list(x ORDER BY place) AS alone, list(list_concat(x, f) ORDER BY place) AS beside FROM x5 GROUP BY 1 HAVING count(*) >= 7),
 {branch("alone", "a", "conv0", "conv1", "score")},
 {branch("beside", "b", "both_conv0", "both_conv1", "both_score")},
 z AS (SELECT id, 1 / (1 + exp(-list_inner_product(a4.c, b4.c) / len(a4.c))) AS p FROM a4 JOIN b4 USING (id))"""
 
 
+def _chebyshev_sql() -> str:
+    """t1 = -A x, then 2 (-A) t_k - t_{k-1}, as joins over edges."""
+    made = [f"x{k} AS (SELECT n.id, n.node, -{min(k, 2)} * coalesce(sum(w * x{k - 1}.x), 0) - {'any_value(b.x)' if k > 1 else '0'} AS x FROM n LEFT JOIN m ON m.id = n.id AND m.src = n.node LEFT JOIN x{k - 1} ON x{k - 1}.id = m.id AND x{k - 1}.node = m.dst {f'JOIN x{k - 2} b ON b.id = n.id AND b.node = n.node' if k > 1 else ''} GROUP BY 1, 2)" for k in range(1, ORDER + 1)]
+    listed = ", ".join(f"round(x{k}.x, 6) + 0.0 AS t{k}" for k in range(1, ORDER + 1))
+    joined = " ".join(f"JOIN x{k} USING (id, node)" for k in range(2, ORDER + 1))
+    return f"""WITH s AS (SELECT doc_id AS id, text FROM documents), {_edges_sql("s")}, n AS (SELECT DISTINCT id, unnest(k) AS node FROM tk),
+x0 AS (SELECT id, node, (node % 17) / 16.0::DOUBLE AS x FROM n), {", ".join(made)} SELECT id AS doc_id, node, {listed} FROM x1 {joined}"""
+
+
 def _parts(listed: str) -> list[str]:
     """The numbers of a list that ``_by`` wrote."""
     return [x + "::DOUBLE[])" for x in listed[1:-1].removesuffix("::DOUBLE[])").split("::DOUBLE[]), ")]
@@ -231,5 +260,6 @@ SQL = {
     "model_conv_scores": f"WITH s AS (SELECT doc_id AS id, text FROM documents), {_conv_sql()} SELECT s.id AS doc_id, coalesce(round(p, 6), 0.5) AS cls_prob FROM s LEFT JOIN z USING (id)",
     "model_gradients": _gradient_sql(),
     "model_catalogue_vectors": f"WITH s AS (SELECT 't' || item_id AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark), {_network_sql('s')} SELECT s.id AS exploit_id, {_PARTS} FROM s LEFT JOIN z USING (id) WHERE s.text <> ''",
+    "model_chebyshev_tokens": _chebyshev_sql(),
     "model_chebyshev": f"SELECT doc_id AS id, k::INTEGER AS k, i::INTEGER AS i, j::INTEGER AS j, round((i = j)::INTEGER - CASE WHEN k % 2 = 1 THEN 2::DOUBLE / (doc_id % 5 + 2) ELSE 0 END, 6) AS value FROM documents, unnest(range({ORDER + 1})) AS a(k), unnest(range(doc_id % 5 + 2)) AS b(i), unnest(range(doc_id % 5 + 2)) AS c(j)",
 }

@@ -353,11 +353,6 @@ def test_layers(spark):
     g = graph.Graphs(np.unique(ids, return_inverse=True)[1], np.array([5]), 2)
     x = np.random.default_rng(1).normal(size=(3, 3))
     assert np.allclose(model.messages(g, x), norm @ x) and np.allclose(model.gcn(g, x, x), np.maximum(norm @ x @ x, 0))
-    t = model.chebyshev(norm, 3)
-    assert len(t) == 4 and np.allclose(t[2], 2 * t[1] @ t[1] - np.eye(3))
-    edges = [(1, i, j, float(norm[i, j])) for i in range(3) for j in range(3) if norm[i, j]]
-    terms = model.chebyshev_terms(spark.createDataFrame(edges, "id long, src int, dst int, w double"), 3).collect()
-    assert len(terms) == 36 and all(abs(t[r.k][r.i, r.j] - r.value) < 1e-12 for r in terms)
     assert np.allclose(model.lora(x, x, np.ones((3, 1)), np.ones((1, 3)), 2.0), x @ x + x.sum(axis=1, keepdims=True) * 2)
     w = {k: np.full((3, 3), 0.1) for k in ("z_in", "z_self", "r_in", "r_self", "h_in", "h_self")}
     z = 1 / (1 + np.exp(-(norm @ x @ w["z_in"] + x @ w["z_self"])))
@@ -368,6 +363,51 @@ def test_layers(spark):
     assert both.shape == (2, 6) and np.allclose(both[0], both[1])
 
 
+def polynomials(norm, order, largest=None):
+    n = len(norm)
+    scaled = 2 / (largest or np.linalg.eigvalsh(np.eye(n) - norm).max()) * (np.eye(n) - norm) - np.eye(n)
+    out = [np.eye(n), scaled]
+    while len(out) <= order:
+        out.append(2 * scaled @ out[-1] - out[-2])
+    return out[: order + 1]
+
+
+def test_chebyshev_terms_of_edges(spark):
+    r, edges, want = np.random.default_rng(4), [], {}
+    for i, n in enumerate([2, 3, 8]):
+        _, norm = dense([int(x) for x in r.permutation(n)] * 2, 2)
+        want[i] = polynomials(norm, 3)
+        edges += [(i, a, b, float(norm[a, b])) for a in range(n) for b in range(n) if norm[a, b]]
+    df = spark.createDataFrame(edges, "id long, src int, dst int, w double")
+    terms = model.chebyshev_terms(df, 3).collect()
+    got = {i: [np.zeros_like(t) for t in want[i]] for i in want}
+    for x in terms:
+        got[x.id][x.k][x.i, x.j] = x.value
+    assert len({(x.id, x.k, x.i, x.j) for x in terms}) == len(terms)
+    assert all(np.allclose(got[i][k], want[i][k], atol=1e-9) for i in want for k in range(4))
+    assert model.chebyshev_terms(df.limit(0), 2).count() == 0
+
+
+def test_chebyshev_of_token_graphs(spark):
+    r = np.random.default_rng(9)
+    docs = [(i, [f"t{x}" for x in r.integers(0, 60, n)]) for i, n in enumerate([1, 2, 5, 40, 400, 3])] + [(6, []), (7, None), (8, ["a", "b"] * 4), (9, ["z"] * 5)]
+    df = spark.createDataFrame([(i, t, None if t is None else [float(len(x) + ord(x[-1])) for x in t]) for i, t in docs], "id long, t array<string>, x array<double>").repartition(2)
+    largest = {x.id: x for x in model.largest_eigenvalues(df, "id", "t").collect()}
+    assert len(largest) == 10 and largest[6].largest == largest[7].largest == 0 and math.isclose(largest[8].largest, 2)
+    for bound in (None, 2.0):
+        rows = model.token_chebyshev(df, "id", "t", "x", 3, largest=bound).collect()
+        for i, tokens in docs:
+            mine = {x.node: x.terms for x in rows if x.id == i}
+            assert mine.keys() == set(tokens or [])
+            if tokens:
+                nodes, norm = dense(tokens, 3)
+                assert math.isclose(largest[i].largest, np.linalg.eigvalsh(np.eye(len(nodes)) - norm).max(), abs_tol=1e-9) and largest[i].nodes == len(nodes)
+                value = np.array([float(len(x) + ord(x[-1])) for x in nodes])
+                for k, t in enumerate(polynomials(norm, 3, bound)):
+                    assert np.allclose([mine[x][k] for x in nodes], t @ value)
+    assert model.token_chebyshev(df.limit(0), "id", "t", "x", 2).count() == 0
+
+
 def test_conv_read_out():
     r = np.random.default_rng(6)
     h, f = r.normal(size=(14, 2)), r.normal(size=(14, 3))
@@ -383,8 +423,8 @@ def test_conv_read_out():
 
     one, two = branch(h.tolist(), w["conv0"], w["conv1"], w["score"]), branch(np.hstack((h, f)).tolist(), w["both_conv0"], w["both_conv1"], w["both_score"])
     mean = sum(a * b for a, b in zip(one, two, strict=True)) / len(one)
-    several = np.repeat([0, 1, 3, 4], [8, 14, 1, 14])  # graph 2 has no node
-    got = model.conv_read_out(np.vstack((h[:8], h, h[:1], h)), np.vstack((f[:8], f, f[:1], f)), several, w, 5)
+    several = np.repeat([0, 1, 3, 4], [6, 14, 1, 14])  # graph 2 has no node
+    got = model.conv_read_out(np.vstack((h[:6], h, h[:1], h)), np.vstack((f[:6], f, f[:1], f)), several, w, 5)
     assert got[[0, 2, 3]].tolist() == [0.5] * 3 and np.allclose(got[[1, 4]], 1 / (1 + math.exp(-mean)))
     assert model.conv_read_out(h[:0], f[:0], several[:0], w, 1).tolist() == [0.5]
 
