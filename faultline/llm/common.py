@@ -32,17 +32,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def decoded(texts: pa.Array) -> list[str | None]:
+    """Texts of a column; where bytes are not valid UTF-8 (Parquet does not check) they are read as U+FFFD."""
+    try:
+        return texts.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()]
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """(offset, texts) runs of a batch, so that a batch of long texts is not unpacked at once."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     begin, held = 0, 0
     for i, n in enumerate(lengths):
         if i > begin and (held + n > SLICE_CHARS or i - begin >= SLICE_ROWS):
-            yield begin, texts.slice(begin, i - begin).to_pylist()
+            yield begin, decoded(texts.slice(begin, i - begin))
             begin, held = i, 0
         held += n
     if begin < len(lengths):
-        yield begin, texts.slice(begin).to_pylist()
+        yield begin, decoded(texts.slice(begin))
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
@@ -71,9 +79,11 @@ def text_map(
     """
     picked = docs.select(*carry, text.cast("string").alias("__text"))
     added = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
-    schema = T.StructType(picked.schema.fields[:-1] + added.fields)
+    fields_out = picked.schema.fields[:-1] + added.fields
     types = [arrow_type(f.dataType) for f in added.fields]
-    names = schema.names
+    names = [f"c{i}" for i in range(len(fields_out))]  # a carried name may hold a dot
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, fields_out, strict=True)])
+    picked = picked.toDF(*[f"t{i}" for i in range(len(picked.columns))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
@@ -85,14 +95,15 @@ def text_map(
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema).toDF(*[f.name for f in fields_out])
 
 
 def text_filter(
     docs: DataFrame, text_name: str, make: Callable[[], Callable[[list[str | None]], Sequence[bool]]]
 ) -> DataFrame:
-    """Rows of ``docs`` whose text passes; all columns stay, nothing is shuffled or joined."""
-    at_text = docs.columns.index(text_name)
+    """Rows of ``docs`` whose text passes; all columns stay as they are, nothing is shuffled or joined."""
+    at_text, names = docs.columns.index(text_name), docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # a name may hold a dot
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()
@@ -102,7 +113,12 @@ def text_filter(
                 yield part.filter(pa.array([bool(x) for x in passes(some)], pa.bool_()))
         pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, also where it holds a dot."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import WORD_PATTERN, fresh_name, table, word_count
+from .common import WORD_PATTERN, fresh_name, quoted, table, word_count
 
 WEIGHTS, BUDGET, CAP, SEED = (5, 2, 1), (3, 2), 2, "mix-1"
 HEX_DIGITS = 3
@@ -119,7 +119,7 @@ def mix(
         fresh_name(docs, f"__mix_{x}") for x in ("n", "group", "order", "part", "begin", "of", "rank", "to", "once", "again", "first", "second")
     )
     base = (
-        docs.select(*kept)
+        docs.select(*map(quoted, kept))
         .withColumn(size, F.coalesce(F.col(counted).cast("long"), F.lit(0)) if counted else word_count(F.col(text_name)))
         .withColumn(group, F.coalesce(F.concat(F.lit("s"), F.col(source_name).cast("string")), F.lit("n")))
         .withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_name).cast("string"), F.lit("null")))))
@@ -166,7 +166,7 @@ def mix(
     if cap > 2:
         made["taken"] += F.aggregate(F.transform(passes, passed), F.lit(0).cast("long"), lambda a, b: a + b)
         made[LATER] = F.transform(F.filter(passes, lambda p: passed(p) > 0), lambda p: position(F.col(begin) + F.col(size_of) * p))
-    return placed.select(*kept, *[made[x].alias(added[x]) for x in added])
+    return placed.select(*map(quoted, kept), *[made[x].alias(added[x]) for x in added])
 
 
 def training_rows(
@@ -189,7 +189,7 @@ def training_rows(
     pieces = F.split(F.col(text_name), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     begin = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
     out = mixed.withColumn(copy, F.explode(copies)).orderBy(F.col(copy)["at"], F.md5(F.col(id_name).cast("string")))
-    return out.select(*[F.when(words < size, begin).otherwise(F.col(c)).alias(c) if c == text_name else F.col(c) for c in columns])
+    return out.select(*[F.when(words < size, begin).otherwise(F.col(quoted(c))).alias(c) if c == text_name else F.col(quoted(c)) for c in columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 LENGTH, END_ID, BLOCK_TOKENS = 1024, 0, 1 << 21
+#: A block closes at so many documents too: each is an array of its own, however short.
+BLOCK_DOCS = 1 << 18
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Sequences a block may end with beyond the fewest possible, as a share of them.
 SLACK = 0.01
@@ -187,8 +191,8 @@ def pack(
             return batch
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype(np.uint32)
+            for doc, text in zip(batch.column(0).to_pylist(), (x for _, some in slices(batch.column(1)) for x in some), strict=True):
+                ids = np.append(encode(text or ""), np.uint32(end_id)).astype(np.uint32)
                 whole = len(ids) // length * length
                 for at in range(0, whole, length):
                     rows.append((doc, at, length, crc(ids[at : at + length]), len(ids), base + opened, 0, length))
@@ -196,7 +200,7 @@ def pack(
                 if whole < len(ids):
                     held.append((doc, whole, ids[whole:].copy()))  # a view would keep the whole document
                     weight += len(ids) - whole
-                if weight >= BLOCK_TOKENS:
+                if weight >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
                     close()
                 if len(rows) >= 20_000:
                     yield flush()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, discard, written
-from .common import LOWER_AZ, fresh_name, table, text_map
+from .common import LOWER_AZ, fresh_name, quoted, table, text_map
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 #: (shift, width) of the segments, lowest bits first.
@@ -269,11 +269,11 @@ def drop_near_duplicates(
     if several.isEmpty():
         return left
     again = docs.join(several, same, "left_semi")
-    carry = [F.col(c) for c in again.columns]
+    carry = [F.col(quoted(c)) for c in again.columns]
     again = text_map(again, F.col(text_name), carry, f"{mine} long", lambda: lambda texts: [[printed(t) for t in texts]])
     chosen = again.join(keepers, same & (F.col(mine) == F.col(kept_fp)), "left_semi")
     once = chosen.withColumn(kept_id, F.col(id_name).cast("long")).dropDuplicates([kept_id, mine])
-    return left.unionByName(once.select(*docs.columns))
+    return left.unionByName(once.select(*map(quoted, docs.columns)))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -103,9 +103,14 @@ class _Parts(dict):
         return n
 
 
+#: Texts on which other model types, normalisers or pieces of the user's own would show: words that a unigram model cuts
+#: otherwise, ligatures and wide letters, runs of blanks, symbols of control pieces.
+PROBES = ("An unbelievable misunderstanding of internationalisation", "ﬁ Ａｂ e\u0301 ½ ™", "  two   runs  ", "a\tb\nc", "<s> </s> <unk> [INST] <pad>", "北京 😀")
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> Callable[[str], int]:
-    """text -> number of tokens for a BPE ``.model`` file whose normalizer leaves characters alone."""
+    """text -> number of tokens for a BPE ``.model`` file whose normalizer leaves characters alone; a file that counts otherwise is refused."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
@@ -153,6 +158,10 @@ def counter(path: str) -> Callable[[str], int]:
                 held = 0
         return total + (first[MARK * held] if held else 0)
 
+    special = [model.id_to_piece(i) for i in range(model.get_piece_size()) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)]
+    for probe in (*PROBES, *special[:100]):
+        if count(probe) != len(model.encode(probe)):
+            raise ValueError(f"{path} is no plain byte-pair model: {probe!r} is counted otherwise")
     return count
 
 
